@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,14 +33,14 @@ def padding_report(df: DataFrame, length: str = "length") -> DataFrame:
 
 
 def pad_longest(
-    df: DataFrame, src: str, tgt: str, max_length: int, batch: str = "batch_id"
+    df: DataFrame, src: str, tgt: str, max_length: int, batch: Sequence[str] = ("batch_id",)
 ) -> DataFrame:
     """Tokenize both sides, cut to ``max_length`` and pad to the longest row of the batch.
 
     Widths come from byte counts, so the shuffle by batch moves texts and the
     arrays are built after it.
     """
-    in_batch = W.partitionBy(batch)
+    in_batch = W.partitionBy(*batch)
     width = {
         side: F.max(F.least(token_count(column), F.lit(max_length))).over(in_batch)
         for side, column in (("_src_width", src), ("_tgt_width", tgt))

@@ -109,16 +109,17 @@ def running_max(df: DataFrame, key: str, value: Column, column: str, by: str | N
     return _running(df, key, value, column, by, F.max, with_self=True)
 
 
-def key_at_rank(df: DataFrame, key: str, k: int, tie: Sequence[str] = ()) -> tuple | None:
-    """The key, with its tie-breakers, of the k-th row in order; None when there are fewer rows.
+def key_at_rank(df: DataFrame, key: str, rank: Callable[[int], int], tie: Sequence[str] = ()) -> tuple | None:
+    """The key, with its tie-breakers, of the row at a rank; None when there are fewer rows.
+
+    ``rank`` tells the rank, counted from 1, for a given number of rows.
 
     Each pass counts rows in at most ``CELLS`` cells and keeps the cell that
     holds rank k, so no rows move. Keys are integers that few rows share.
     """
-    if k < 1:
-        return None
     low, high, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if k > total:
+    k = rank(total)
+    if not 1 <= k <= total:
         return None
     inside = total
     while inside > FEW_ROWS and low < high:
@@ -139,32 +140,38 @@ def key_at_rank(df: DataFrame, key: str, k: int, tie: Sequence[str] = ()) -> tup
 
 def cap_rows(df: DataFrame, k: int, key: str = "row_idx") -> DataFrame:
     """Keep exactly the first ``k`` rows by ``key``, or all when there are fewer."""
-    last = key_at_rank(df, key, k)
+    last = key_at_rank(df, key, lambda _: k)
     if last is None:
         return df.filter(F.lit(k > 0))
     return df.filter(F.col(key) <= F.lit(last[0]))
 
 
-def length_rank(df: DataFrame, length: str = "length", key: str = "row_idx", column: str = "rank") -> DataFrame:
-    """Add each row's position in the order (length, key), with one shuffle of the rows.
+def length_rank(
+    df: DataFrame, length: str = "length", key: str = "row_idx", by: str | None = None, column: str = "rank"
+) -> DataFrame:
+    """Add each row's position in the order (length, key), per ``by`` when given, with one shuffle of the rows.
 
     Rows of one length are spread over many cells of the key, so a length that
     many rows share does not fall to one task.
     """
+    group = [by] if by else []
     df = with_cells(df, key, cells=CELLS // 8)
-    counts = settle(df.groupBy(length, "_cell").agg(F.count("*").alias("_n")), "lengths")
-    shorter = W.orderBy(length).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(length).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    per_length = counts.groupBy(length).agg(F.sum("_n").alias("_n"))
-    per_length = per_length.select(length, F.coalesce(F.sum("_n").over(shorter), F.lit(0)).alias("_shorter"))
-    starts = counts.join(per_length, length).select(
+    counts = df.groupBy(*group, length, "_cell").agg(F.count("*").alias("_n"))
+    shorter = W.partitionBy(*group).orderBy(length).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*group, length).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    per_length = counts.groupBy(*group, length).agg(F.sum("_n").alias("_n"))
+    per_length = per_length.select(
+        *group, length, F.coalesce(F.sum("_n").over(shorter), F.lit(0)).alias("_shorter")
+    )
+    starts = counts.join(per_length, [*group, length]).select(
+        *group,
         length,
         "_cell",
         (F.col("_shorter") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_start"),
     )
-    inside = W.partitionBy(length, "_cell").orderBy("_key")
+    inside = W.partitionBy(*group, length, "_cell").orderBy("_key")
     return (
-        df.join(settle(starts, "starts"), [length, "_cell"])
+        df.join(settle(starts, "starts"), [*group, length, "_cell"])
         .withColumn(column, F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_key", "_cell", "_start")
     )

@@ -59,20 +59,21 @@ def shard_by_weight(
         .mapInPandas(lambda frames: _chain(frames, budget), ENTRY)
     )
     segments = settle(
-        weights.join(settle(entries, "entries"), "chunk")
+        weights.join(entries, "chunk")
         .groupBy("chunk")
         .applyInPandas(lambda pdf: _cut(pdf, budget), SEGMENT),
         "segments",
     )
     n, last = segments.agg(F.count("*"), F.max("last_batch")).first()
     span = max(1, (last or 0) // max(n, 1))
+    # A segment covers few spans, so this stays near the measured size of the segments.
     lookup = segments.withColumn(
         "_span", F.explode(F.sequence(int_div("first_batch", span), int_div("last_batch", span)))
     )
     here = F.col(batch).between(F.col("first_batch"), F.col("last_batch"))
     return (
         df.withColumn("_span", int_div(F.col(batch).cast("long"), span))
-        .join(settle(lookup, "lookup"), "_span")
+        .join(lookup, "_span")
         .filter(here)
         .select(*df.columns, "shard_id")
     )

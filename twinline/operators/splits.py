@@ -18,7 +18,7 @@ def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 0, key: str
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))
     ranked = df.select(_leading(digest).alias("lead"), digest.alias("digest"), F.col(key).alias("key"))
-    border = key_at_rank(ranked, "lead", math.ceil(test_size * df.count()), ["digest", "key"])
+    border = key_at_rank(ranked, "lead", lambda n: math.ceil(test_size * n), ["digest", "key"])
     if border is None:
         return df.withColumn("split", F.lit("train"))
     inside = F.struct(digest.alias("digest"), F.col(key).alias("key")) <= F.struct(

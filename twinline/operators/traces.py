@@ -35,8 +35,8 @@ def peak_trace(
     if time is None:
         return trace
     begin = settle(df.groupBy(run).agg(F.min(time).alias("_begin")), "begin")
-    seconds = F.unix_micros(time) - F.unix_micros("_begin")
-    return trace.join(begin, run).withColumn("elapsed", seconds / 1e6).drop("_begin")
+    seconds = (F.col(time) - F.col("_begin")).cast("interval second").cast("decimal(18,6)").cast("double")
+    return trace.join(begin, run).withColumn("elapsed", seconds).drop("_begin")
 
 
 def peak_alerts(trace: DataFrame, run: str = "run", value: str = "value") -> DataFrame:

@@ -10,7 +10,6 @@ from twinline.functions.tokens import token_count
 from twinline.operators.batches import micro_batches, pack_sequences, pad_longest, tokenize_fixed
 from twinline.operators.filters import cap_pairs, drop_empty, length_filter
 from twinline.operators.order import int_div, length_rank
-from twinline.operators.pairing import concat
 from twinline.operators.shards import ROWS_PER_SHARD, TOKENS_PER_SHARD, batch_weights, shard_by_weight, split_by_shard
 from twinline.operators.splits import random_split
 from twinline.sources.parallel_text import ParallelText
@@ -63,12 +62,8 @@ def training_batches(
     """Numbered pairs as token rows, sorted by length inside each split and padded per batch."""
     rows = split_sides(random_split(pairs, test_size, seed))
     rows = length_filter(rows, keep_length).withColumn("length", token_count("src"))
-    parts = []
-    for split in ("train", "test"):
-        ranked = length_rank(rows.filter(F.col("split") == split))
-        parts.append(ranked.withColumn("batch_id", int_div("rank", batch)))
-    padded = [pad_longest(part, "src", "tgt", max_length) for part in parts]
-    return concat(padded).select(
+    ranked = length_rank(rows, by="split").withColumn("batch_id", int_div("rank", batch))
+    return pad_longest(ranked, "src", "tgt", max_length, ["split", "batch_id"]).select(
         "split", "batch_id", "rank", "row_idx", "length", "input_ids", "attention_mask", "labels"
     )
 

@@ -408,11 +408,12 @@ def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(rows: str, key: str) -> str:
-    """Blocks of the concatenated ids of all rows in key order."""
+    """Blocks of the ids of all rows joined in key order, the short last one dropped."""
     return f"""
-stream AS (SELECT flatten(list(ids ORDER BY {key})) AS ids FROM {rows}),
-packed AS (SELECT unnest(range(0, len(ids) // {BLOCK})) AS block_id, ids FROM stream)
-SELECT block_id, {sql.joined(f'ids[block_id * {BLOCK} + 1:(block_id + 1) * {BLOCK}]')} AS input_ids FROM packed"""
+placed AS (SELECT ids, sum(len(ids)) OVER (ORDER BY {key}) - len(ids) AS start FROM {rows}),
+stream AS (SELECT start + generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS x FROM placed)
+SELECT (i // {BLOCK})::BIGINT AS block_id, string_agg(x, ' ' ORDER BY i) AS input_ids
+FROM stream GROUP BY ALL HAVING count(*) = {BLOCK}"""
 
 
 @query(f"WITH {sql.LINES}, rows AS (SELECT row_idx, {sql.ids('text')} AS ids FROM lines), {_packed('rows', 'row_idx')}")

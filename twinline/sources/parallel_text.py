@@ -15,20 +15,16 @@ from twinline.functions.text import strip_text
 from twinline.operators.order import index_rows, int_div
 from twinline.operators.pairing import check_even, concat, kept_lines, zip_numbered
 from twinline.session import settle
-from twinline.sources.paths import check_folder, list_files
+from twinline.sources.paths import check_folder, list_files, name_below
 
 
 def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
     """Zip the source and target names, each in name order: ``(file_pair, src_name, tgt_name)``."""
-    sides = [
-        index_rows(
-            names.filter(F.endswith("name", F.lit(f".{lang}"))).select(F.col("name").alias(side)).distinct(),
-            [side],
-            column="file_pair",
-        )
-        for side, lang in (("src_name", src), ("tgt_name", tgt))
-    ]
-    both = settle(sides[0].join(sides[1], "file_pair", "full"), "file-pairs")
+    side = F.when(F.endswith("name", F.lit(f".{src}")), "src").when(F.endswith("name", F.lit(f".{tgt}")), "tgt")
+    sides = names.select(side.alias("side"), "name").filter("side is not null").distinct()
+    placed = index_rows(sides, ["name"], within="side", column="file_pair")
+    name_of = {s: F.max(F.when(F.col("side") == s, F.col("name"))).alias(f"{s}_name") for s in ("src", "tgt")}
+    both = settle(placed.groupBy("file_pair").agg(*name_of.values()), "file-pairs")
     if not both.filter(F.col("src_name").isNull() | F.col("tgt_name").isNull()).isEmpty():
         raise ValueError(f"the numbers of .{src} and .{tgt} files differ")
     return both
@@ -136,14 +132,14 @@ def open_parallel_text(
         raise ValueError("the two languages must differ")
     check_folder(spark, root)
     names = concat([list_files(spark, root, f"*.{lang}") for lang in (src, tgt)])
-    names = settle(names, "names")
     pairs = pair_files(names, src, tgt)
     if pairs.isEmpty():
         raise ValueError(f"no .{src} and .{tgt} files under {root}")
 
     sides = F.expr("stack(2, 'src', src_name, 'tgt', tgt_name) as (side, name)")
     splits = settle(concat([_splits(spark, root, src, "src"), _splits(spark, root, tgt, "tgt")]), "splits")
-    splits = splits.join(names, "path").join(pairs.select("file_pair", sides), ["side", "name"])
+    splits = splits.withColumn("name", name_below("path", root))
+    splits = splits.join(pairs.select("file_pair", sides), ["side", "name"])
     of_side = {side: F.sum(F.when(F.col("side") == side, F.col("n"))) for side in ("src", "tgt")}
     lines = splits.groupBy("file_pair").agg(of_side["src"].alias("n_src"), of_side["tgt"].alias("n_tgt"))
     counts = pairs.select("file_pair").join(lines, "file_pair", "left").fillna(0)
@@ -151,14 +147,11 @@ def open_parallel_text(
     # One row per file pair: a file listing, which the driver holds anyway.
     before = W.orderBy("file_pair").rowsBetween(W.unboundedPreceding, -1)
     batches = F.ceil(F.col("kept") / batch)
-    files = settle(
-        kept_lines(counts, ragged, batch).withColumns(
-            {
-                "rows_before": F.coalesce(F.sum("kept").over(before), F.lit(0)),
-                "batches_before": F.coalesce(F.sum(batches).over(before), F.lit(0)),
-            }
-        ),
-        "files",
+    files = kept_lines(counts, ragged, batch).withColumns(
+        {
+            "rows_before": F.coalesce(F.sum("kept").over(before), F.lit(0)),
+            "batches_before": F.coalesce(F.sum(batches).over(before), F.lit(0)),
+        }
     )
     check_even(files, ragged)
     earlier = W.partitionBy("side", "file_pair").orderBy(_part_order("path"), "block")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import quote, urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,17 +16,21 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     folder that holds its parts. No match gives no rows.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    root = root.rstrip("/")
     try:
-        found = reader.load(f"{root}/{pattern}").select(F.col("_metadata.file_path").alias("path"))
+        found = reader.load(f"{root.rstrip('/')}/{pattern}").select(F.col("_metadata.file_path").alias("path"))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         found = spark.createDataFrame([], "path string")
+    return found.withColumn("name", name_below("path", root))
+
+
+def name_below(path: str, root: str) -> Column:
+    """The first component of a path below ``root``."""
     # Fixed value: the characters that stay unquoted in the paths Spark reports.
-    below = quote(urlparse(root).path, safe="/:=_-!.~'()*,;$&+@") + "/"
-    rest = F.split_part("path", F.lit(below), F.lit(2))
-    return found.withColumn("name", F.split_part(rest, F.lit("/"), F.lit(1)))
+    below = quote(urlparse(root).path.rstrip("/"), safe="/:=_-!.~'()*,;$&+@") + "/"
+    rest = F.split_part(F.col(path), F.lit(below), F.lit(2))
+    return F.split_part(rest, F.lit("/"), F.lit(1))
 
 
 def check_folder(spark: SparkSession, path: str) -> None:
