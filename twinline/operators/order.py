@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from twinline.session import settle
 
 CELLS = 1 << 16  # bound of every per-cell table
-MIN_CELL = 1 << 12  # rows below which cutting further does not pay
+MIN_CELL = 1 << 8  # rows below which cutting further does not pay
 SPARSE = 1 << 8  # key range per row above which cells may be uneven
 FEW_ROWS = 10_000  # rows that may be ordered in one place
 

@@ -11,7 +11,7 @@ from twinline.operators import batches, filters, order, pairing, scores, shards,
 from twinline.plans import flows, inputs, sql
 from twinline.plans.registry import query
 from twinline.schemas import NUMBERED_PAIRS
-from twinline.session import new_path
+from twinline.session import new_path, settle
 from twinline.sources import shards as shard_files
 from twinline.sources.parallel_text import count_pairs as count_lines
 from twinline.sources.parallel_text import open_parallel_text, read_lines
@@ -404,6 +404,7 @@ SELECT rank // 96 AS batch_id, count(*) AS rows, max(length) AS width, sum(lengt
 FROM ranked GROUP BY ALL""")
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = inputs.numbered_lines(spark, sf_dir).select("row_idx", tk.token_count("text").alias("length"))
+    sized = settle(sized, "sized")
     return batches.padding_report(batches.length_batches(sized, 96))
 
 
@@ -418,7 +419,8 @@ FROM stream GROUP BY ALL HAVING count(*) = {BLOCK}"""
 
 @query(f"WITH {sql.LINES}, rows AS (SELECT row_idx, {sql.ids('text')} AS ids FROM lines), {_packed('rows', 'row_idx')}")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = batches.pack_sequences(inputs.numbered_lines(spark, sf_dir), "text", BLOCK)
+    lines = settle(inputs.numbered_lines(spark, sf_dir).select("row_idx", "text"), "lines")
+    blocks = batches.pack_sequences(lines, "text", BLOCK)
     return blocks.select("block_id", joined("input_ids").alias("input_ids"))
 
 
@@ -538,7 +540,7 @@ SELECT shard_id::BIGINT AS shard_id, min(row_idx) AS first_row, max(row_idx) AS
 FROM cut JOIN folded USING (batch_id) GROUP BY ALL""")
 def shard_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = inputs.numbered_lines(spark, sf_dir).select("row_idx", tk.token_count("text").alias("n"))
-    cut = batches.micro_batches(sized, BATCH)
+    cut = batches.micro_batches(settle(sized, "sized"), BATCH)
     sharded = shards.shard_by_weight(cut, shards.batch_weights(cut, F.col("n")), SHARD_TOKENS)
     return sharded.groupBy("shard_id").agg(
         F.min("row_idx").alias("first_row"),
