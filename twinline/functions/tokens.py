@@ -26,18 +26,21 @@ def token_count(c: Column | str, eos: bool = True) -> Column:
 
 
 def token_ids(c: Column | str, max_length: int | None = None) -> Column:
-    """Ids of the text followed by the end mark, which a cut keeps.
-
-    Reading the UTF-8 bytes as Latin-1 gives one character per byte, so one
-    split yields all bytes in linear time.
-    """
+    """Ids of the text followed by the end mark, which a cut keeps."""
     raw = F.encode(_col(c), "UTF-8")
     if max_length is not None:
         raw = F.substring(raw, 1, max_length - 1)
-    letters = F.decode(raw, "ISO-8859-1")
-    ids = F.transform(F.split(letters, ""), lambda x: F.ascii(x) + F.lit(BYTE_SHIFT))
-    end = F.array(F.lit(EOS))
-    return F.when(F.octet_length(raw) == 0, end).otherwise(F.concat(ids, end))
+    return F.concat(byte_ids(raw), F.array(F.lit(EOS)))
+
+
+def byte_ids(raw: Column) -> Column:
+    """Ids of bytes, without an end mark.
+
+    Reading the bytes as Latin-1 gives one character per byte, so one split
+    yields all bytes in linear time.
+    """
+    ids = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda x: F.ascii(x) + F.lit(BYTE_SHIFT))
+    return F.when(F.octet_length(raw) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def _fill(ids: Column, width: Column, value: int) -> Column:
@@ -73,8 +76,8 @@ def unmask_labels(ids: Column | str, pad: int = PAD) -> Column:
 def decode_ids(ids: Column | str) -> Column:
     """Text of the byte ids, without special ids. A cut character is replaced, not raised on."""
     data = F.filter(_col(ids), lambda x: (x >= BYTE_SHIFT) & (x < VOCAB))
-    digits = F.transform(data, lambda x: F.lpad(F.hex(x - BYTE_SHIFT), 2, "0"))
-    return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
+    letters = F.array_join(F.transform(data, lambda x: F.chr(x - BYTE_SHIFT)), "")
+    return F.make_valid_utf8(F.encode(letters, "ISO-8859-1").cast("string"))
 
 
 def nonpad_count(ids: Column | str, fill: int = PAD) -> Column:

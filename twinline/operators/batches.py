@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinline.functions.tokens import attention_mask, label_pad, pad_fixed, token_count, token_ids
+from twinline.functions.tokens import EOS, attention_mask, byte_ids, label_pad, pad_fixed, token_count, token_ids
 from twinline.operators.order import int_div, length_rank, prefix_sum
 
 
@@ -76,23 +76,37 @@ def pack_sequences(
 ) -> DataFrame:
     """Join all token sequences in row order and cut the stream into blocks of ``block`` ids.
 
-    Each row finds its place in the stream by a prefix sum of token counts. It
-    is then cut where blocks end, and the pieces meet by block number.
+    Each row finds its place in the stream by a prefix sum of token counts. Its
+    bytes are then cut where blocks end, and the pieces meet by block number;
+    only there do they become ids. A piece has at least one token, so no group
+    holds more than ``block`` pieces.
     """
-    placed = prefix_sum(df.select(key, text), key, token_count(text), "_at")
-    ids = placed.withColumns({"_ids": token_ids(text), "_n": token_count(text).cast("long")})
-    blocks = F.sequence(int_div("_at", block), int_div(F.col("_at") + F.col("_n") - 1, block))
-    cuts = ids.withColumn("block_id", F.explode(blocks)).withColumns(
-        {
-            "_from": F.greatest(F.col("block_id") * block - F.col("_at"), F.lit(0)),
-            "_to": F.least((F.col("block_id") + 1) * block - F.col("_at"), F.col("_n")),
-        }
+    placed = prefix_sum(df.select(key, text), key, token_count(text), "_at").select(
+        "_at", F.encode(text, "UTF-8").alias("_raw"), token_count(text).cast("long").alias("_n")
     )
-    piece = F.slice("_ids", (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int"))
+    start, n = F.col("_at"), F.col("_n")
+
+    def piece(b: Column) -> Column:
+        first = F.greatest(b * block - start, F.lit(0))
+        end = F.least((b + 1) * block - start, n)
+        return F.struct(
+            b.alias("block_id"),
+            (start + first).alias("at"),
+            F.substring(F.col("_raw"), (first + 1).cast("int"), (end - first).cast("int")).alias("raw"),
+            (end == n).alias("ends"),
+            (end - first).alias("n"),
+        )
+
+    blocks = F.sequence(int_div(start, block), int_div(start + n - 1, block))
     packed = (
-        cuts.select("block_id", F.struct((F.col("_at") + F.col("_from")).alias("at"), piece.alias("ids")).alias("piece"))
+        placed.select(F.inline(F.transform(blocks, piece)))
         .groupBy("block_id")
-        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-        .select("block_id", F.flatten(F.col("pieces.ids")).alias("input_ids"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "raw", "ends"))).alias("pieces"), F.sum("n").alias("n"))
+    )
+    if drop_last:
+        packed = packed.filter(F.col("n") == block)
+    end_mark = F.array(F.lit(EOS))
+    ids = F.transform(
+        "pieces", lambda p: F.when(p.ends, F.concat(byte_ids(p.raw), end_mark)).otherwise(byte_ids(p.raw))
     )
-    return packed.filter(F.size("input_ids") == block) if drop_last else packed
+    return packed.select("block_id", F.flatten(ids).alias("input_ids"))

@@ -42,19 +42,17 @@ def bleu_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "i
 def _ngrams(side: str, n: int) -> Column:
     """Structs of order, gram and the side it counts for; none for a text shorter than ``n`` words."""
     words = F.col(side)
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    # Words are picked one by one: a slice inside a lambda would copy the whole array each time.
     grams = F.transform(
-        starts,
-        lambda i: F.struct(
+        words,
+        lambda word, i: F.struct(
             F.lit(n).alias("n"),
-            F.array_join(F.slice(words, i, n), " ").alias("gram"),
+            F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)]).alias("gram"),
             F.lit(int(side == "hyp")).alias("in_hyp"),
             F.lit(int(side == "ref")).alias("in_ref"),
         ),
     )
-    return F.when(F.size(words) >= n, grams).otherwise(F.filter(F.array(F.struct(
-        F.lit(n).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("in_hyp"), F.lit(0).alias("in_ref")
-    )), lambda _: F.lit(False)))
+    return F.slice(grams, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
 def brevity() -> Column:

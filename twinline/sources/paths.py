@@ -8,43 +8,50 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the characters that stay unquoted in the paths Spark reports.
+UNQUOTED = "/:=_-!.~'()*,;$&+@"
+
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``(path, name)`` of the files under ``root``; their content is not read.
+    """``(path, name)`` of the files under ``root``, empty files included; none is opened.
 
     ``name`` is the first component below ``root``: the file itself, or the
     folder that holds its parts. No match gives no rows.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    paths = _paths(spark, f"{root.rstrip('/')}/{pattern}") or []
+    found = spark.createDataFrame([(p,) for p in paths], "path string")
+    return found.withColumn("name", name_below("path", root))
+
+
+def _paths(spark: SparkSession, path: str) -> list[str] | None:
+    """The files that Spark's own listing holds for a path; None when there is no such path."""
     try:
-        found = reader.load(f"{root.rstrip('/')}/{pattern}").select(F.col("_metadata.file_path").alias("path"))
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = spark.createDataFrame([], "path string")
-    return found.withColumn("name", name_below("path", root))
+        return None
 
 
 def name_below(path: str, root: str) -> Column:
     """The first component of a path below ``root``."""
-    # Fixed value: the characters that stay unquoted in the paths Spark reports.
-    below = quote(urlparse(root).path.rstrip("/"), safe="/:=_-!.~'()*,;$&+@") + "/"
-    rest = F.split_part(F.col(path), F.lit(below), F.lit(2))
-    return F.split_part(rest, F.lit("/"), F.lit(1))
+    return F.split_part(path_below(path, root), F.lit("/"), F.lit(1))
+
+
+def path_below(path: str, root: str) -> Column:
+    """A path without ``root``. Listings and scans write the part before it in different ways."""
+    below = quote(urlparse(root).path.rstrip("/"), safe=UNQUOTED) + "/"
+    return F.split_part(F.col(path), F.lit(below), F.lit(2))
 
 
 def check_folder(spark: SparkSession, path: str) -> None:
     """Raise when ``path`` is absent, is not a folder, or holds nothing."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    try:
-        first = reader.load(path).select("path").first()
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise FileNotFoundError(f"folder {path} not found") from problem
-    if first is None:
+    paths = _paths(spark, path)
+    if paths is None:
+        raise FileNotFoundError(f"folder {path} not found")
+    if not paths:
         raise ValueError(f"folder {path} is empty")
-    if urlparse(first[0]).path.rstrip("/") == urlparse(path).path.rstrip("/"):
+    if urlparse(paths[0]).path == quote(urlparse(path).path.rstrip("/"), safe=UNQUOTED):
         raise NotADirectoryError(f"{path} is not a folder")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from twinline.operators.pairing import concat
 from twinline.schemas import PAIRS, require, require_schema
-from twinline.sources.paths import check_folder, folder_exists, list_files
+from twinline.sources.paths import check_folder, folder_exists, list_files, path_below
 
 SPLITS = ("train", "val")
 PLACE = [T.StructField("split", T.StringType()), T.StructField("shard_id", T.LongType())]
@@ -51,10 +51,11 @@ def read_shards(
 
 
 def unreadable_shards(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
-    """Paths of the shard files that :func:`read_shards` skipped."""
-    files = list_files(spark, out, "split=*").select("path")
+    """Paths below ``out`` of the shard files that :func:`read_shards` skipped."""
+    files = list_files(spark, out, "split=*").filter(F.endswith("path", F.lit(".parquet")))
     read = shards.select(F.col("_metadata.file_path").alias("path")).distinct()
-    return files.filter(F.endswith("path", F.lit(".parquet"))).join(read, "path", "left_anti")
+    below = path_below("path", out).alias("path")
+    return files.select(below).join(read.select(below), "path", "left_anti")
 
 
 def publish(df: DataFrame, target: str) -> None:
