@@ -95,13 +95,16 @@ def side_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def line_files(spark: SparkSession, sf_dir: str) -> str:
-    """Turns as two pairs of line files, ``even`` and ``odd``; returns their folder."""
+    """Turns as two pairs of line files, for even and odd conversations; returns their folder.
+
+    Each file is a folder of parts. The rows are range-sorted, so the parts of
+    a folder follow each other in row order.
+    """
     root = new_path(spark, "lines")
-    rows = turns(spark, sf_dir)
-    for name, odd in (("even", 0), ("odd", 1)):
-        mine = rows.filter(F.col("conv_id") % 2 == odd).sort("conv_id", "turn")
-        for side in ("src", "tgt"):
-            mine.select(F.translate(side, "\r\n", "  ")).write.text(f"{root}/{name}.{side}")
+    sides = turns(spark, sf_dir).selectExpr("conv_id", "turn", "stack(2, 'src', src, 'tgt', tgt) as (side, text)")
+    name = F.concat(F.when(F.col("conv_id") % 2 == 0, "even.").otherwise("odd."), "side")
+    lines = sides.select(name.alias("file"), "conv_id", "turn", F.translate("text", "\r\n", "  ").alias("text"))
+    lines.sort("file", "conv_id", "turn").select("file", "text").write.partitionBy("file").text(root)
     return root
 
 

@@ -567,7 +567,7 @@ WITH {sql.LINES}, keyed AS (SELECT doc_id || '-' || pos AS id FROM doc_lines), d
 SELECT id, split FROM divided""")
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = inputs.doc_lines(spark, sf_dir).select(F.concat_ws("-", "doc_id", "pos").alias("id"))
-    return splits.random_split(lines)
+    return splits.random_split(settle(lines, "ids"))
 
 
 # --- Whole flows -------------------------------------------------------------------------------

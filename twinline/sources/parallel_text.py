@@ -22,12 +22,13 @@ def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
     """Zip the source and target names, each in name order: ``(file_pair, src_name, tgt_name)``."""
     side = F.when(F.endswith("name", F.lit(f".{src}")), "src").when(F.endswith("name", F.lit(f".{tgt}")), "tgt")
     sides = names.select(side.alias("side"), "name").filter("side is not null").distinct()
-    placed = index_rows(sides, ["name"], within="side", column="file_pair")
-    name_of = {s: F.max(F.when(F.col("side") == s, F.col("name"))).alias(f"{s}_name") for s in ("src", "tgt")}
-    both = settle(placed.groupBy("file_pair").agg(*name_of.values()), "file-pairs")
-    if not both.filter(F.col("src_name").isNull() | F.col("tgt_name").isNull()).isEmpty():
-        raise ValueError(f"the numbers of .{src} and .{tgt} files differ")
-    return both
+    n_src, n_tgt = sides.agg(*[F.count_if(F.col("side") == s) for s in ("src", "tgt")]).first()
+    if n_src != n_tgt:
+        raise ValueError(f"the numbers of .{src} and .{tgt} files differ: {n_src} and {n_tgt}")
+    # All source names come first, so the i-th target name is n_src behind the i-th source name.
+    placed = index_rows(sides, ["side", "name"], column="file_pair").withColumn("file_pair", F.col("file_pair") % n_src)
+    names_of = [F.max(F.when(F.col("side") == s, F.col("name"))).alias(f"{s}_name") for s in ("src", "tgt")]
+    return settle(placed.groupBy("file_pair").agg(*names_of), "file-pairs")
 
 
 def read_lines(spark: SparkSession, root: str, lang: str) -> DataFrame:
