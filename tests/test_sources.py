@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twinline.operators import pairing
 from twinline.plans import flows
-from twinline.schemas import NUMBERED_PAIRS
+from twinline.schemas import NUMBERED_PAIRS, PAIRS
 from twinline.sources import shards as files
 from twinline.sources.parallel_text import open_parallel_text, pair_files, read_parallel_text
 from twinline.sources.paths import check_folder
@@ -158,6 +158,16 @@ def test_corrupt_shard_and_missing_split(spark, tmp_path):
         files.read_shards(spark, out, NUMBERED_PAIRS, ["val"])
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_pairs_with_language_names(spark, tmp_path, fmt):
+    pairs = spark.createDataFrame([("0", ("a", "b")), ("1", ("c", None))], PAIRS)
+    files.name_sides(pairs, "en", "ko").write.format(fmt).save(str(tmp_path / "p"))
+    assert set(spark.read.format(fmt).load(str(tmp_path / "p")).select("translation.*").columns) == {"en", "ko"}
+    back = files.read_pairs(spark, str(tmp_path / "p"), fmt, "en", "ko")
+    assert back.schema == pairs.schema
+    assert sorted(back.collect()) == sorted(pairs.collect())
+
+
 def test_publish_needs_rows_and_a_target(spark, tmp_path):
     empty = spark.createDataFrame([], "split string, id string")
     with pytest.raises(ValueError, match="no valid"):

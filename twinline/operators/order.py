@@ -47,9 +47,12 @@ def index_rows(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    # Without groups there is one row per sort range, a bound that Spark's own
-    # settings fix. With groups the table may be long, so its size is measured.
-    starts = settle(starts, "starts") if within else F.broadcast(starts)
+    # Without groups there is one row per sort range, a number that Spark's own
+    # settings bound. With groups the table may be long, so its size is measured.
+    if within:
+        starts = settle(starts, "starts")
+    else:
+        starts = F.broadcast(df.sparkSession.createDataFrame(starts.collect(), starts.schema))
     return (
         ranges.join(starts, [*group, "_range"])
         .withColumn(column, F.col("_start") + F.col("_seq") - F.col("_first"))

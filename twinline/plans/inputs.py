@@ -75,23 +75,29 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
-    """All document lines with a row number, per ``by`` when given: ``(row_idx, doc_id, lang, text)``.
+    """All document lines with a row number, per ``by`` when given: ``(row_idx, doc_id, file, text)``.
 
     Documents get the number of their first line from a prefix sum of their line
     counts, so lines are not sorted.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    docs = docs.withColumn("lines", F.split("text", "\n")).drop("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat_ws(".", "source", "lang").alias("file"),
+        F.split("text", "\n").alias("lines"),
+    )
     first = prefix_sum(docs, "doc_id", F.size("lines"), "first", by)
-    lines = first.select("first", "doc_id", "lang", F.posexplode("lines").alias("pos", "text"))
-    return lines.select((F.col("first") + F.col("pos")).alias("row_idx"), "doc_id", "lang", "text")
+    lines = first.select("first", "doc_id", "file", F.posexplode("lines").alias("pos", "text"))
+    return lines.select((F.col("first") + F.col("pos")).alias("row_idx"), "doc_id", "file", "text")
 
 
 def side_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """English and French lines as the two ragged sides of one file pair."""
-    lines = numbered_lines(spark, sf_dir, by="lang")
-    one = lines.select("lang", F.lit(0).alias("file_pair"), F.col("row_idx").alias("line_no"), "text")
-    return tuple(one.filter(F.col("lang") == lang).drop("lang") for lang in ("en", "fr"))
+    """English and French lines as the two ragged sides of one file pair per source."""
+    lines = numbered_lines(spark, sf_dir, by="file")
+    parts = F.split("file", "[.]")
+    sides = lines.select(
+        parts[0].alias("file_pair"), parts[1].alias("lang"), F.col("row_idx").alias("line_no"), "text"
+    )
+    return tuple(sides.filter(F.col("lang") == lang).drop("lang") for lang in ("en", "fr"))
 
 
 def line_files(spark: SparkSession, sf_dir: str) -> str:

@@ -126,19 +126,19 @@ def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Joins and concatenation -------------------------------------------------------------------
 
 
-@query(f"WITH {sql.SIDES} SELECT line_no, src, tgt FROM zipped")
+@query(f"WITH {sql.SIDES} SELECT file_pair, line_no, src, tgt FROM zipped")
 def zip_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.zip_lines(*inputs.side_lines(spark, sf_dir), "truncate").drop("file_pair")
+    return pairing.zip_lines(*inputs.side_lines(spark, sf_dir), "truncate")
 
 
 @query(f"""
 WITH {sql.SIDES}, sizes AS (
-  SELECT count(*) FILTER (lang = 'en') AS n, count(*) FILTER (lang = 'fr') AS m FROM sides
+  SELECT file_pair, count(*) FILTER (lang = 'en') AS n, count(*) FILTER (lang = 'fr') AS m FROM sides GROUP BY ALL
 )
-SELECT line_no, src, tgt FROM zipped
-WHERE line_no < (SELECT CASE WHEN n = m THEN n ELSE least(n, m) // {BATCH} * {BATCH} END FROM sizes)""")
+SELECT file_pair, line_no, src, tgt FROM zipped JOIN sizes USING (file_pair)
+WHERE line_no < CASE WHEN n = m THEN n ELSE least(n, m) // {BATCH} * {BATCH} END""")
 def zip_drop_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.zip_lines(*inputs.side_lines(spark, sf_dir), "drop_batch", BATCH).drop("file_pair")
+    return pairing.zip_lines(*inputs.side_lines(spark, sf_dir), "drop_batch", BATCH)
 
 
 SFT = "'Translate English to Korean: ' || src || ' => ' || tgt"
@@ -389,7 +389,7 @@ def map_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.LINES} SELECT row_idx, doc_id, row_idx // {BATCH} AS batch_id FROM lines")
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batches.micro_batches(inputs.numbered_lines(spark, sf_dir).drop("lang", "text"), BATCH)
+    return batches.micro_batches(inputs.numbered_lines(spark, sf_dir).drop("file", "text"), BATCH)
 
 
 RANKED = sql.LINES + """,

@@ -36,18 +36,20 @@ arrows AS (
 
 LINES = """
 doc_lines AS (
-  SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text,
+  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS text,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents
 ),
 lines AS (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS row_idx, * FROM doc_lines)"""
 SIDES = LINES + """,
 sides AS (
-  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) - 1 AS line_no, text FROM doc_lines
+  SELECT source AS file_pair, lang, text,
+         row_number() OVER (PARTITION BY source, lang ORDER BY doc_id, pos) - 1 AS line_no
+  FROM doc_lines
 ),
 zipped AS (
-  SELECT s.line_no, s.text AS src, t.text AS tgt
-  FROM sides s JOIN sides t ON s.lang = 'en' AND t.lang = 'fr' AND s.line_no = t.line_no
+  SELECT file_pair, s.line_no, s.text AS src, t.text AS tgt
+  FROM sides s JOIN sides t USING (file_pair, line_no) WHERE s.lang = 'en' AND t.lang = 'fr'
 )"""
 
 

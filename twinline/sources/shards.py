@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinline.operators.pairing import concat
-from twinline.schemas import PAIRS, require, require_schema
+from twinline.schemas import TRANSLATION, require, require_schema
 from twinline.sources.paths import check_folder, folder_exists, list_files, path_below
 
 SPLITS = ("train", "val")
 PLACE = [T.StructField("split", T.StringType()), T.StructField("shard_id", T.LongType())]
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Nested ``(id, translation)`` rows from Parquet or JSON, with the declared schema."""
-    return spark.read.schema(PAIRS).format(fmt).load(path)
+def read_pairs(
+    spark: SparkSession, path: str, fmt: str = "parquet", src: str = "src", tgt: str = "tgt"
+) -> DataFrame:
+    """Nested ``(id, translation)`` rows from Parquet or JSON, whose sides are named ``src`` and ``tgt`` on disk."""
+    schema = f"id string, translation struct<`{src}`: string, `{tgt}`: string>"
+    return spark.read.schema(schema).format(fmt).load(path).withColumn("translation", F.col("translation").cast(TRANSLATION))
+
+
+def name_sides(df: DataFrame, src: str, tgt: str) -> DataFrame:
+    """Name the sides of ``translation`` by their languages, as shared corpora do."""
+    return df.withColumn("translation", F.col("translation").cast(f"struct<`{src}`: string, `{tgt}`: string>"))
 
 
 def write_shards(df: DataFrame, out: str) -> None:
