@@ -47,7 +47,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session("bench", f"local[{cpus}]", cpus)
+    spark = get_session("bench", f"local[{cpus}]", cpus, "12g")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").count().collect()
     seconds = {}

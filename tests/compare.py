@@ -57,7 +57,7 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = get_session("compare", "local[8]", 8)
+    spark = get_session("compare", "local[8]", 8, "12g")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = database(sf_dir), oracle_sql(), 0
     for name, fn in queries().items():

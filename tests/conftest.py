@@ -10,7 +10,7 @@ from twinline.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("tests", "local[4]", 4)
+    session = get_session("tests", "local[4]", 4, "8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

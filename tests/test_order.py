@@ -1,10 +1,11 @@
+import hashlib
 import random
 from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinline.operators import order
+from twinline.operators import order, splits
 from twinline.operators.splits import random_split
 
 
@@ -110,13 +111,15 @@ def test_length_sort(frame):
     assert got == sorted((n, k) for k, _, n in skewed())
 
 
-@pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 999])
-def test_random_split_is_exact_and_repeatable(spark, n):
+@pytest.mark.parametrize("n, few", [(0, 10), (1, 10), (4, 1), (5, 10), (6, 0), (999, 0), (999, 10_000)])
+def test_random_split_is_exact_and_repeatable(spark, monkeypatch, n, few):
+    monkeypatch.setattr(splits, "FEW_ROWS", few)
     df = spark.range(n).select(F.col("id").cast("string").alias("id"))
     first, again, other = (random_split(df, 0.2, seed).filter("split = 'test'") for seed in (3, 3, 4))
     ids = {r.id for r in first.collect()}
     assert len(ids) == -(-n // 5)
-    assert ids == {r.id for r in again.collect()}
+    digests = sorted((hashlib.md5(f"3|{i}".encode()).hexdigest(), str(i)) for i in range(n))
+    assert ids == {i for _, i in digests[: len(ids)]} == {r.id for r in again.collect()}
     assert n < 900 or ids != {r.id for r in other.collect()}
 
 

@@ -67,6 +67,8 @@ def test_scan(spark, corpus, rule, split_bytes):
 
 
 def test_scan_of_folders_and_gzip(spark, tmp_path):
+    tmp_path = tmp_path / "with space+and=signs"
+    tmp_path.mkdir()
     for side in ("en", "ko"):
         (tmp_path / f"p.{side}").mkdir()
         for part in range(3):

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from twinline.functions.text import make_pairs
 from twinline.operators.order import index_rows, prefix_sum
-from twinline.session import new_path
+from twinline.session import new_path, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A file with a single row group is read by one task however many cores there
+    are. Only such a small table is spread; a large one has enough row groups.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +98,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str, by: str | None = None) -> D
 
 def side_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """English and French lines as the two ragged sides of one file pair per source."""
-    lines = numbered_lines(spark, sf_dir, by="file")
+    lines = settle(numbered_lines(spark, sf_dir, by="file"), "lines")
     parts = F.split("file", "[.]")
     sides = lines.select(
         parts[0].alias("file_pair"), parts[1].alias("lang"), F.col("row_idx").alias("line_no"), "text"

@@ -552,8 +552,8 @@ def shard_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RANKED} SELECT rank, row_idx, length FROM ranked")
 def length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = inputs.numbered_lines(spark, sf_dir).select("row_idx", "text")
-    ordered = order.length_sort(lines, tk.token_count("text")).drop("text")
+    sized = inputs.numbered_lines(spark, sf_dir).select("row_idx", tk.token_count("text").alias("n"))
+    ordered = order.length_sort(settle(sized, "sized"), F.col("n")).drop("n")
     return order.index_rows(ordered, ["length", "row_idx"], column="rank")
 
 

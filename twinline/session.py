@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "twinline", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with the settings the operators are tested with."""
+def get_session(
+    app: str = "twinline", master: str | None = None, partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
+    """A session with the settings the operators are tested with. ``memory`` is for a local master."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,6 +22,8 @@ def get_session(app: str = "twinline", master: str | None = None, partitions: in
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     return builder.getOrCreate()
 
 
