@@ -101,7 +101,7 @@ def pack_sequences(
     packed = (
         placed.select(F.inline(F.transform(blocks, piece)))
         .groupBy("block_id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "raw", "ends"))).alias("pieces"), F.sum("n").alias("n"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "raw", "ends"))).alias("pieces"), F.sum("n").alias("n"))
     )
     if drop_last:
         packed = packed.filter(F.col("n") == block)

@@ -142,8 +142,8 @@ def open_parallel_text(
     splits = splits.withColumn("name", name_below("path", root))
     splits = splits.join(pairs.select("file_pair", sides), ["side", "name"])
     of_side = {side: F.sum(F.when(F.col("side") == side, F.col("n"))) for side in ("src", "tgt")}
-    lines = splits.groupBy("file_pair").agg(of_side["src"].alias("n_src"), of_side["tgt"].alias("n_tgt"))
-    counts = pairs.select("file_pair").join(lines, "file_pair", "left").fillna(0)
+    # Pairs of two empty files have no splits and no lines, so nothing is lost without them.
+    counts = splits.groupBy("file_pair").agg(of_side["src"].alias("n_src"), of_side["tgt"].alias("n_tgt")).fillna(0)
 
     # One row per file pair: a file listing, which the driver holds anyway.
     before = W.orderBy("file_pair").rowsBetween(W.unboundedPreceding, -1)
