@@ -15,7 +15,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
-    assert mismatch(queries()[name](spark, SF).toPandas(), con.execute(oracle_sql()[name]).df()) is None
+    rows = queries()[name](spark, SF)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert name == "map_batches" or "Python" not in plan and "InPandas" not in plan
+    assert mismatch(rows.toPandas(), con.execute(oracle_sql()[name]).df()) is None
 
 
 def test_entry(spark):

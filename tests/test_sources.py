@@ -66,6 +66,19 @@ def test_scan(spark, corpus, rule, split_bytes):
     assert weights == {b: sum(e[2] == b for e in expected) for b in {e[2] for e in expected}}
 
 
+def test_moved_splits_stop_the_job(spark, corpus):
+    root, sides = corpus
+    text = open_parallel_text(spark, root, "en", "ko")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        with pytest.raises(Exception, match="file splits moved"):
+            text.pairs().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert text.pairs().count() == len(expected_pairs(sides, "drop_batch", 32))
+
+
 def test_scan_of_folders_and_gzip(spark, tmp_path):
     tmp_path = tmp_path / "with space+and=signs"
     tmp_path.mkdir()
@@ -178,10 +191,20 @@ def test_publish_needs_rows_and_a_target(spark, tmp_path):
         files.publish(empty, "")
 
 
-@pytest.mark.parametrize("n, m, rule, kept", [(64, 70, "drop_batch", 64), (65, 70, "drop_batch", 64), (65, 70, "truncate", 65), (70, 70, "drop_batch", 70), (0, 5, "drop_batch", 0)])
+@pytest.mark.parametrize(
+    "n, m, rule, kept",
+    [
+        (64, 70, "drop_batch", 64),
+        (65, 70, "drop_batch", 64),
+        (65, 70, "truncate", 65),
+        (70, 70, "drop_batch", 70),
+        (0, 5, "drop_batch", 0),
+    ],
+)
 def test_zip_lines(spark, n, m, rule, kept):
+    text = lambda p: F.concat(F.lit(p), "id").alias("text")
     src, tgt = (
-        spark.range(k).select(F.lit(0).alias("file_pair"), F.col("id").alias("line_no"), F.concat(F.lit(p), "id").alias("text"))
+        spark.range(k).select(F.lit(0).alias("file_pair"), F.col("id").alias("line_no"), text(p))
         for k, p in ((n, "s"), (m, "t"))
     )
     rows = pairing.zip_lines(src, tgt, rule).orderBy("line_no").collect()

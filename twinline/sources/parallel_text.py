@@ -74,9 +74,10 @@ class ParallelText:
     def batch_rows(self) -> DataFrame:
         """``(batch, weight)``: the rows of every batch, from the line counts alone."""
         size = F.least(F.lit(self.batch), F.col("kept") - F.col("i") * self.batch)
+        numbers = F.sequence(F.lit(0).cast("long"), int_div(F.col("kept") - 1, self.batch))
         return (
             self.files.filter("kept > 0")
-            .select("kept", "batches_before", F.explode(F.sequence(F.lit(0).cast("long"), int_div(F.col("kept") - 1, self.batch))).alias("i"))
+            .select("kept", "batches_before", F.explode(numbers).alias("i"))
             .select((F.col("batches_before") + F.col("i")).alias("batch"), size.cast("long").alias("weight"))
         )
 
