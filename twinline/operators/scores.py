@@ -20,11 +20,21 @@ def bleu_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "i
     words = df.repartition(shuffle_width(df.sparkSession), key).select(
         F.col(key).alias("key"), words_13a(F.col(hyp)).alias("hyp"), words_13a(F.col(ref)).alias("ref")
     )
-    grams = F.concat(*[_ngrams(side, n) for side in ("hyp", "ref") for n in ORDERS])
+    parts = [
+        F.struct(
+            F.lit(n).alias("n"),
+            F.lit(int(side == "hyp")).alias("in_hyp"),
+            F.lit(int(side == "ref")).alias("in_ref"),
+            _ngrams(F.col(side), n).alias("grams"),
+        )
+        for side in ("hyp", "ref")
+        for n in ORDERS
+    ]
     clipped = (
-        words.select("key", F.explode(grams).alias("g"))
-        .groupBy("key", "g.n", "g.gram")
-        .agg(F.sum("g.in_hyp").alias("in_hyp"), F.sum("g.in_ref").alias("in_ref"))
+        words.select("key", F.inline(F.array(*parts)))
+        .select("key", "n", "in_hyp", "in_ref", F.explode("grams").alias("gram"))
+        .groupBy("key", "n", "gram")
+        .agg(F.sum("in_hyp").alias("in_hyp"), F.sum("in_ref").alias("in_ref"))
     )
     per_order = [
         F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0)).cast("long").alias(f"{name}{n}")
@@ -39,19 +49,10 @@ def bleu_counts(df: DataFrame, hyp: str = "hyp", ref: str = "ref", key: str = "i
     )
 
 
-def _ngrams(side: str, n: int) -> Column:
-    """Structs of order, gram and the side it counts for; none for a text shorter than ``n`` words."""
-    words = F.col(side)
+def _ngrams(words: Column, n: int) -> Column:
+    """The n-grams of a text; none when it has fewer than ``n`` words."""
     # Words are picked one by one: a slice inside a lambda would copy the whole array each time.
-    grams = F.transform(
-        words,
-        lambda word, i: F.struct(
-            F.lit(n).alias("n"),
-            F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)]).alias("gram"),
-            F.lit(int(side == "hyp")).alias("in_hyp"),
-            F.lit(int(side == "ref")).alias("in_ref"),
-        ),
-    )
+    grams = F.transform(words, lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)]))
     return F.slice(grams, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
