@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import binary_packing, chat, separator_scan, warc_store
+from twinline.llm import binary_packing, chat, language_id, separator_scan, toxicity, warc_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def crc_mod(key: str, n: int) -> Column:
+    """crc32 of the key as text, modulo ``n``."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +64,13 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", binary_packing.ids_crc32()).drop("ids")
 
 
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("toxic"))
+    return toxicity.predict(docs, model).drop("text")
+
+
 @query()
 def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -81,3 +93,12 @@ def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("under", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 4) == 2
+    dictionaries = language_id.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    predicted = language_id.predict(docs.select("doc_id", "text"), dictionaries)
+    return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
