@@ -1,8 +1,62 @@
-"""A corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents in, packed sequences of clean documents out.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written
+as Parquet and read again as the next stage's ``docs``. All stages but the last
+keep the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinline.llm import binary_packing, decontaminate, language_id, simhash, toxicity
+from twinline.session import settle
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.col("toxic"))
+    return toxicity.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compressors tell with a clear margin."""
+    dictionaries = language_id.fit(docs, F.lit(True))
+    return language_id.predict(docs, dictionaries).filter("accepted").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths."""
+    return binary_packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", no_benchmark),
+    ("packing", packed),
+]
+
+#: No stage before the last can be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``; every stage before it is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

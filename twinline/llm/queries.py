@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import binary_packing, chat, language_id, separator_scan, simhash, toxicity, warc_store
+from twinline.llm import binary_packing, chat, decontaminate, language_id, separator_scan, simhash, toxicity, warc_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.overlaps(docs, items).drop("check")
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group(table(spark, sf_dir, "documents"))
