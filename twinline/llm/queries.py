@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import binary_packing, chat, decontaminate, language_id, separator_scan, simhash, toxicity, warc_store
+from twinline.llm import binary_packing, chat, decontaminate, language_id, separator_scan, simhash, suffix_tree, toxicity, warc_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 @query()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
