@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import binary_packing, chat, decontaminate, language_id, separator_scan, simhash, suffix_tree, toxicity, warc_store
+from twinline.llm import binary_packing, chat, decontaminate, language_id, projected_tree, separator_scan, simhash, suffix_tree, toxicity, warc_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_projected_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projected_tree.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select(
+        F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").alias("score")
+    )
+
+
 @query(
     """
     WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
