@@ -18,13 +18,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.col("toxic"))
-    return toxicity.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return toxicity.predict(docs, model).filter(~F.col("rejected")).select("_row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the compressors tell with a clear margin."""
     dictionaries = language_id.fit(docs, F.lit(True))
-    return language_id.predict(docs, dictionaries).filter("accepted").select(*docs.columns)
+    return language_id.predict(docs, dictionaries).filter("accepted").select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

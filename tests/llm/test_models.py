@@ -1,0 +1,131 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from twinline.llm import language_id, suffix_tree, toxicity
+from twinline.llm.queries import crc_mod
+
+from .conftest import prose
+
+
+def test_ordinal_fit_orders_grades():
+    rng = np.random.default_rng(1)
+    cells = [sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist()) for _ in range(3000)]
+    effect = np.array([2.5, 1.5, 1.0, 0.0, 0.0, -1.0])
+    score = np.array([effect[c].sum() for c in cells]) + rng.logistic(size=3000)
+    grades = (score > 0.5).astype(int) + (score > 2.5)
+    model = toxicity.fit_ordinal(cells, grades, tuple("abcdef"), 3)
+    assert np.allclose(model.weights, effect, atol=0.35) and np.allclose(model.thresholds, [0.5, 2.5], atol=0.35)
+
+
+def test_toxicity(spark, odd_docs):
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(600):
+        words = prose(i, 60).split()
+        toxic = i % 5 == 0
+        for _ in range(rng.randint(1, 8) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["zzbad", "zzworse", "ZZWORST", "yyfoul", "yyvile"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = spark.createDataFrame(labels, "doc_id long, toxic int").filter("doc_id % 2 = 0 or doc_id < 0")
+    model = toxicity.fit(docs, half, F.col("toxic"))
+    found = toxicity.predict(docs, model).select("_row.doc_id", "rejected", "severity", "p_toxic").collect()
+    truth = dict(labels)
+    assert sum(r.rejected != bool(truth[r.doc_id]) for r in found if r.doc_id % 2) <= 3
+    assert all(0 <= r.severity <= 2 and 0 <= r.p_toxic <= 1 for r in found)
+    odd = toxicity.predict(odd_docs, model)
+    assert odd.count() == odd_docs.count() and odd.filter("rejected").count() == 0
+    assert odd.select("_row.*").columns == odd_docs.columns
+
+
+def test_toxicity_without_labels(odd_docs, no_docs, spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    one = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    for labels in (none, one):
+        model = toxicity.fit(odd_docs, labels, F.col("toxic"))
+        assert toxicity.predict(odd_docs, model).filter("rejected").count() == 0
+    assert toxicity.predict(no_docs, toxicity.fit(no_docs, one, F.col("toxic"))).count() == 0
+
+
+def test_language_id(spark, odd_docs, no_docs):
+    parts = {"aa": "wal mun tek".split(), "bb": "io ea ui".split(), "cc": "shr zdr prk".split()}
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        lang = rng.choice(sorted(parts))
+        text = " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(40))
+        rows.append((i, text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = language_id.fit(docs, F.col("doc_id") % 2 == 0)
+    found = language_id.predict(docs, dictionaries).select("_row.doc_id", "lang_pred", "score", "accepted").collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] and r.accepted and 0 < r.score <= 1 for r in found)
+    odd = language_id.predict(odd_docs, dictionaries).select("_row.doc_id", "_row.text", "lang_pred", "score", "accepted").collect()
+    for r in odd:
+        blank = not any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == blank and 0 <= r.score <= 1 and not (blank and r.accepted)
+    nothing = language_id.fit(odd_docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert nothing == {} and {r.lang_pred for r in language_id.predict(odd_docs, nothing).collect()} == {"und"}
+    assert language_id.predict(no_docs, dictionaries).count() == 0
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = [(i, prose(i % 90, 40)) for i in range(200)] + [(900, None), (901, ""), (None, "x y"), (902, prose(7, 3000)), (902, prose(7, 3000)), (903, "Ünï ✓ new")]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("row", F.lit("r"))
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+def is_held_out(key):
+    return key is not None and zlib.crc32(str(key).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("common", [1e-2, 1e-9])
+def test_base_and_score(spark, texts, common):
+    rows = [(r.doc_id, r.text) for r in texts.select("doc_id", "text").collect()]
+    counts = Counter(w for i, t in rows if not is_held_out(i) for w in tokens(t))
+    total, kinds = sum(counts.values()), len(counts)
+    found = suffix_tree.score(texts, crc_mod("doc_id", 5) == 1, common=common, least=1e-4).collect()
+    assert len(found) == len(rows)
+    expected = sorted((i or -1, len(tokens(t)), round(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tokens(t)), 6)) for i, t in rows)
+    assert sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6)) for r in found) == expected
+    by_key = {i: t for i, t in rows}
+    for r in found:
+        assert r.train_tokens == total and r.held_out == is_held_out(r.doc_id)
+        assert r.n_known == sum(counts[w] > 0 for w in tokens(by_key[r.doc_id]))
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_the_tree_spells_a_distribution(spark, texts):
+    rows = texts.select(F.col("text").cast("string").alias("text"))
+    counted = rows.mapInArrow(lambda b: suffix_tree._contexts(b, 3), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    tree = suffix_tree.grow(counted, depth=3, least=1e-3)
+    table = suffix_tree.Table(tree)
+    probability = 10.0 ** table.gain.reshape(-1, table.width)
+    assert np.allclose(probability[:, :-1].sum(1) + probability[:, -1] * (256 - len(tree.alphabet)), 1, atol=1e-4)
+    assert tree.retained.sum() > 1 and (tree.depths[tree.retained] > 1).any()
+    text = suffix_tree.stream(tokens(prose(5, 700))[:-1])
+    names = {(d, c): i for i, (d, c) in enumerate(zip(tree.depths.tolist(), tree.contexts.tolist()))}
+    line, slow = b"\n" * 3 + text, []
+    for at in range(3, len(line)):
+        for d in range(3, -1, -1):
+            context = sum(line[at - k] << 8 * (4 - k) for k in range(1, d + 1))
+            state = names.get((d, context))
+            if state is not None and tree.retained[state]:
+                slow.append(math.log10(probability[state, table.column[line[at]]]))
+                break
+    assert np.allclose(table.spell([text, b"\n"], 3)[:-1], slow, atol=1e-4)
+
+
+def test_score_without_training(spark, no_docs, texts):
+    found = suffix_tree.score(texts, F.lit(True)).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in found)
+    assert suffix_tree.score(no_docs, crc_mod("doc_id", 5) == 1).count() == 0

@@ -188,7 +188,7 @@ def overlaps(
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns."""
     dirty = overlaps(docs, items, key, text, **options).select(F.col(key).alias("_key"), "check").distinct()
-    own, check = F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))
-    rows = docs.withColumns({"_own": own, "_hash": check})
+    own, check = F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash")
+    rows = docs.select(F.struct("*").alias("_row"), own, check)
     kept = rows.join(dirty, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("check")), "left_anti")
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")

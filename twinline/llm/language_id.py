@@ -83,7 +83,7 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> lis
 def predict(
     docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, margin: float = MARGIN
 ) -> DataFrame:
-    """Add ``lang_pred``, ``score`` (0 to 1) and ``accepted`` to all rows."""
+    """All rows as ``(_row, lang_pred, score, accepted)``; ``_row`` is the row itself, the score is between 0 and 1."""
     learnt = tuple(dictionaries.items())
 
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
@@ -92,15 +92,16 @@ def predict(
 
         compressors, rows = _compressors(learnt, level), []
         for x in texts:
-            content = letters(x).encode("utf-8", "replace")
+            content = letters(x)
             if not compressors or not content:
                 rows.append((UNKNOWN, 0.0, False))
                 continue
+            content = f" {content} ".encode("utf-8", "replace")
             sizes = np.array([len(c.compress(content)) for c in compressors], dtype=float)
             best = int(sizes.argmin())
             gap = (np.delete(sizes, best).min() - sizes[best]) / sizes[best] if len(sizes) > 1 else 1.0
             rows.append((learnt[best][0], min(1.0, float(gap)), bool(gap >= margin)))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "accepted"])
 
-    scored = docs.withColumn("_scored", classify(F.col(text).cast("string")))
-    return scored.select(*docs.columns, "_scored.lang_pred", "_scored.score", "_scored.accepted")
+    scored = docs.select(F.struct("*").alias("_row"), classify(F.col(text).cast("string")).alias("_scored"))
+    return scored.select("_row", "_scored.*")

@@ -93,7 +93,7 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("toxic"))
-    return toxicity.predict(docs, model).drop("text")
+    return toxicity.predict(docs, model).select("_row.doc_id", "p_toxic", "severity", "grade", "rejected")
 
 
 @query()
@@ -126,4 +126,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 4) == 2
     dictionaries = language_id.fit(docs, ~F.coalesce(held_out, F.lit(False)))
     predicted = language_id.predict(docs.select("doc_id", "text"), dictionaries)
-    return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+    predicted = predicted.select("_row.doc_id", "lang_pred", "score", "accepted")
+    return predicted.withColumn("held_out", F.coalesce(held_out, F.lit(False)))

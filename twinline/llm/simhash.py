@@ -318,6 +318,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     grouped = settle(group(docs, key, text, shingle, ring), "groups")
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "check", "fp")
     kept = grouped.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
-    rows = docs.withColumns({"_own": F.col(key).cast("long"), "_hash": F.xxhash64(F.col(text).cast("string"))})
+    own, check = F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash")
+    rows = docs.select(F.struct("*").alias("_row"), own, check)
     chosen = rows.join(kept.distinct(), F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_check")), "left_semi")
-    return chosen.dropDuplicates(["_own", "_hash"]).select(*docs.columns)
+    return chosen.dropDuplicates(["_own", "_hash"]).select("_row.*")

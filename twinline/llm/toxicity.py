@@ -157,7 +157,11 @@ def fit_ordinal(cells: list[list[int]], grades: np.ndarray, vocabulary: tuple[st
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """Add ``p_toxic`` (of any grade above 0), ``severity`` (expected grade), ``grade`` (the likeliest) and ``rejected``."""
+    """All rows as ``(_row, p_toxic, severity, grade, rejected)``.
+
+    ``_row`` is the row itself, so no column of it can clash; ``p_toxic`` is the
+    probability of any grade above 0, ``severity`` the expected grade, ``grade`` the likeliest.
+    """
     weights = dict(zip(model.terms, model.weights.tolist()))
     thresholds = model.thresholds
     lengths = sorted({len(t) - 1 for t in model.terms if t.endswith("*")})
@@ -172,5 +176,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", reject: float = R
         each = -np.diff(np.column_stack([np.ones(len(total)), above, np.zeros(len(total))]), axis=1)
         return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1), "grade": each.argmax(1).astype("int32")})
 
-    scored = docs.withColumn("_scored", score(F.col(text).cast("string")))
-    return scored.select(*docs.columns, "_scored.*", (F.col("_scored.p_toxic") >= reject).alias("rejected"))
+    scored = docs.select(F.struct("*").alias("_row"), score(F.col(text).cast("string")).alias("_scored"))
+    return scored.select("_row", "_scored.*", (F.col("_scored.p_toxic") >= reject).alias("rejected"))
