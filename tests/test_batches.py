@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinline.functions.tokens import token_count
-from twinline.operators import batches, order, stats
+from twinline.operators import batches, stats
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +16,7 @@ def texts(spark):
 
 
 @pytest.mark.parametrize("block", [1, 7, 64, 1024])
-def test_pack_sequences(texts, partitions, block, monkeypatch):
-    monkeypatch.setattr(order, "MIN_CELL", 16)
+def test_pack_sequences(texts, partitions, block):
     rows, df = texts
     stream = [x for _, t in rows for x in [b + 3 for b in t.encode()] + [1]]
     packed = batches.pack_sequences(df, "text", block).orderBy("block_id").collect()

@@ -5,7 +5,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from twinline.operators import order, splits
+from twinline.operators import order
 from twinline.operators.splits import random_split
 
 
@@ -22,13 +22,6 @@ def frame(spark):
     return spark.createDataFrame(rows, "k long, g string, n int").repartition(6)
 
 
-@pytest.fixture
-def small_cells(monkeypatch):
-    monkeypatch.setattr(order, "MIN_CELL", 8)
-    monkeypatch.setattr(order, "FEW_ROWS", 20)
-    monkeypatch.setattr(order, "CELLS", 64)
-
-
 def test_index_rows(frame, partitions):
     got = order.index_rows(frame, ["g", "k"]).orderBy("row_idx").collect()
     expected = sorted(skewed(), key=lambda r: (r[1], r[0]))
@@ -43,13 +36,13 @@ def test_index_rows_within(frame, partitions):
     assert {(r.g, r.k): r["at"] for r in got} == {(g, k): i for g, ks in seen.items() for i, k in enumerate(ks)}
 
 
-def test_prefix_sum(frame, partitions, small_cells):
+def test_prefix_sum(frame, partitions):
     got = {r.k: r.s for r in order.prefix_sum(frame, "k", F.col("n"), "s").collect()}
     sizes = [n for _, _, n in skewed()]
     assert got == dict(enumerate([0, *accumulate(sizes)][:-1]))
 
 
-def test_prefix_sum_of_sparse_keys(frame, small_cells):
+def test_prefix_sum_of_sparse_keys(frame):
     sparse = frame.withColumn("k", F.col("k") * F.col("k") * 1000)
     got = {r.k: r.s for r in order.prefix_sum(sparse, "k", F.col("n"), "s").collect()}
     sizes = [n for _, _, n in skewed()]
@@ -57,7 +50,7 @@ def test_prefix_sum_of_sparse_keys(frame, small_cells):
     assert order.prefix_sum(sparse, "k", F.col("n"), "s").columns == ["k", "g", "n", "s"]
 
 
-def test_running_max_by_group(frame, small_cells):
+def test_running_max_by_group(frame):
     got = {r.k: r.m for r in order.running_max(frame, "k", F.col("n"), "m", by="g").collect()}
     top, expected = {}, {}
     for k, g, n in skewed():
@@ -67,24 +60,37 @@ def test_running_max_by_group(frame, small_cells):
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 777, 2999, 3000, 3001])
-def test_cap_rows(frame, small_cells, k):
+def test_cap_rows(frame, k):
     kept = sorted(r.k for r in order.cap_rows(frame, k, "k").collect())
     assert kept == list(range(min(k, 3000)))
 
 
-def test_key_at_rank_with_ties(frame, small_cells):
+def test_key_at_rank_with_ties(frame):
     expected = sorted((n, k) for k, _, n in skewed())
     for rank in (1, 400, 1500, 3000):
         assert order.key_at_rank(frame, "n", lambda _: rank, ["k"]) == expected[rank - 1]
 
 
-def test_key_at_rank_of_wide_keys(spark, small_cells):
+def test_key_at_rank_of_wide_keys(spark):
     keys = [random.Random(i).randrange(1 << 60) for i in range(500)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     for rank in (1, 250, 500):
         assert order.key_at_rank(df, "k", lambda _: rank)[0] == sorted(keys)[rank - 1]
 
 
+def test_key_at_rank_of_one_value(spark):
+    df = spark.range(50_000).select(F.lit(7).alias("n"), "id")
+    assert order.key_at_rank(df, "n", lambda total: total // 2, ["id"]) == (7, 24_999)
+    assert order.key_at_rank(df, "n", lambda total: total)[0] == 7
+
+
+def test_prefix_sum_of_negative_and_far_off_keys(spark, partitions):
+    keys = [-(1 << 62), -5, -4, 0, 3, 10**6, 1 << 62, *range(100, 400)]
+    df = spark.createDataFrame([(k, 1) for k in keys], "k long, n int")
+    got = {r.k: r.s for r in order.prefix_sum(df, "k", F.col("n"), "s").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
 def test_rank_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "row_idx long")
     assert order.cap_rows(empty, 5).count() == 0
@@ -92,13 +98,13 @@ def test_rank_of_an_empty_table(spark):
     assert order.index_rows(empty.withColumnRenamed("row_idx", "k"), ["k"]).count() == 0
 
 
-def test_length_rank(frame, partitions, small_cells):
+def test_length_rank(frame, partitions):
     got = {r.k: r["rank"] for r in order.length_rank(frame, "n", "k").collect()}
     expected = sorted((n, k) for k, _, n in skewed())
     assert got == {k: i for i, (_, k) in enumerate(expected)}
 
 
-def test_length_rank_by(frame, small_cells):
+def test_length_rank_by(frame):
     got = {r.k: r["rank"] for r in order.length_rank(frame, "n", "k", by="g").collect()}
     seen = {}
     for k, g, n in skewed():
@@ -111,9 +117,14 @@ def test_length_sort(frame):
     assert got == sorted((n, k) for k, _, n in skewed())
 
 
-@pytest.mark.parametrize("n, few", [(0, 10), (1, 10), (4, 1), (5, 10), (6, 0), (999, 0), (999, 10_000)])
-def test_random_split_is_exact_and_repeatable(spark, monkeypatch, n, few):
-    monkeypatch.setattr(splits, "FEW_ROWS", few)
+@pytest.mark.parametrize("share", [-0.1, 1.5])
+def test_random_split_wants_a_share(spark, share):
+    with pytest.raises(ValueError):
+        random_split(spark.range(3).select(F.col("id").cast("string").alias("id")), share)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 999])
+def test_random_split_is_exact_and_repeatable(spark, n):
     df = spark.range(n).select(F.col("id").cast("string").alias("id"))
     first, again, other = (random_split(df, 0.2, seed).filter("split = 'test'") for seed in (3, 3, 4))
     ids = {r.id for r in first.collect()}

@@ -1,11 +1,10 @@
 """Order on unordered data: numbering, prefix sums and selection by rank.
 
-No function here sorts or scans all rows in one task. Two ways are used:
-
-* ``index_rows`` range-sorts by any unique key. Spark samples the key, so a
-  heavy leading value is spread over many ranges by the columns behind it.
-* The others cut an integer key into at most ``CELLS``
-  cells that depend on the key alone, and combine the small per-cell table.
+No function here sorts or scans all rows in one task. ``index_rows`` range-sorts
+by any unique key: Spark samples the key, so a heavy leading value is spread over
+many ranges by the columns behind it. The others number, sum or rank a narrow
+table of keys in the same way, whatever its size or the spread of its keys, and join
+the result back, so wide rows move once and are never sorted.
 """
 
 from __future__ import annotations
@@ -18,12 +17,6 @@ from pyspark.sql import functions as F
 
 from twinline.session import settle
 
-CELLS = 1 << 16  # bound of every per-cell table
-MIN_CELL = 1 << 8  # rows below which cutting further does not pay
-SPARSE = 1 << 8  # key range per row above which cells may be uneven
-FEW_ROWS = 10_000  # rows that may be ordered in one place
-
-
 def index_rows(
     df: DataFrame, order: Sequence[str], within: str | None = None, column: str = "row_idx"
 ) -> DataFrame:
@@ -65,41 +58,31 @@ def int_div(c: Column | str, n: int) -> Column:
     return F.call_function("div", F.col(c) if isinstance(c, str) else c, F.lit(n))
 
 
-def with_cells(df: DataFrame, key: str, by: str | None = None, cells: int = CELLS) -> DataFrame:
-    """Add ``_key`` and its cell ``_cell``; at most ``cells`` different cells per ``by``.
-
-    ``key`` is a unique, non-negative integer. A unique key close to a row
-    number fills its cells evenly. A sparse one may not, so it is replaced by
-    the row number first.
-    """
-    rows, top = df.agg(F.count(key), F.max(key)).first()
-    if (top or 0) > SPARSE * rows + MIN_CELL:
-        df, top = index_rows(df, [key], by, "_key"), rows
-    else:
-        df = df.withColumn("_key", F.col(key))
-    return df.withColumn("_cell", int_div("_key", max(MIN_CELL, (top or 0) // cells + 1)))
-
-
 def _running(
     df: DataFrame, key: str, value: Column, column: str, by: str | None, how: Callable, with_self: bool
 ) -> DataFrame:
-    """Add ``how`` of ``value`` over the earlier rows of a group, as ``_earlier`` cells and ``_inside`` rows."""
-    columns = df.columns
+    """Add ``how`` of ``value`` over the earlier rows of a group.
+
+    The narrow table is sorted once and kept; its sort ranges are the cells whose
+    totals are combined, so a sparse key or one far-off key makes no cell larger.
+    """
     group = [by] if by else []
-    df = with_cells(df.withColumn("_value", value), key, by)
-    cells = df.groupBy(*group, "_cell").agg(how("_value").alias("_total"))
-    earlier = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(*group, "_cell", how("_total").over(earlier).alias("_earlier"))
-    # At most CELLS rows without groups; with groups the size is measured.
+    narrow = df.select(*group, F.col(key).alias("_key"), value.alias("_value"))
+    ranges = settle(narrow.sort(*group, "_key").withColumn("_range", F.spark_partition_id()), "sorted")
+    cells = ranges.groupBy(*group, "_range").agg(how("_value").alias("_total"))
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select(*group, "_range", how("_total").over(earlier).alias("_earlier"))
+    # Without groups one row per sort range, a number that Spark's own settings bound; else the size is measured.
     cells = settle(cells, "cells") if by else F.broadcast(cells)
-    inside = W.partitionBy(*group, "_cell").orderBy("_key")
+    inside = W.partitionBy(*group, "_range").orderBy("_key")
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow if with_self else -1)
-    both = df.join(cells, [*group, "_cell"]).withColumn("_inside", how("_value").over(inside))
+    both = ranges.join(cells, [*group, "_range"]).withColumn("_inside", how("_value").over(inside))
     if with_self:
         result = F.greatest("_earlier", "_inside")
     else:
         result = F.coalesce("_earlier", F.lit(0)) + F.coalesce("_inside", F.lit(0))
-    return both.select(*columns, result.alias(column))
+    both = both.select(*group, F.col("_key").alias(key), result.alias(column))
+    return df.join(both, [*group, key]).select(*df.columns, column)
 
 
 def prefix_sum(df: DataFrame, key: str, weight: Column, column: str, by: str | None = None) -> DataFrame:
@@ -115,30 +98,16 @@ def running_max(df: DataFrame, key: str, value: Column, column: str, by: str | N
 def key_at_rank(df: DataFrame, key: str, rank: Callable[[int], int], tie: Sequence[str] = ()) -> tuple | None:
     """The key, with its tie-breakers, of the row at a rank; None when there are fewer rows.
 
-    ``rank`` tells the rank, counted from 1, for a given number of rows.
-
-    Each pass counts rows in at most ``CELLS`` cells and keeps the cell that
-    holds rank k, so no rows move. Keys are integers that few rows share.
+    ``rank`` tells the rank, counted from 1, for a given number of rows. The keys
+    are numbered in order, and one row comes to the driver.
     """
-    low, high, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    keys = [key, *tie]
+    numbered = index_rows(df.select(*keys).dropna(subset=[key]), keys, column="_rank")
+    total = numbered.count()
     k = rank(total)
     if not 1 <= k <= total:
         return None
-    inside = total
-    while inside > FEW_ROWS and low < high:
-        width = (high - low) // CELLS + 1
-        counts = (
-            df.filter(F.col(key).between(low, high))
-            .groupBy(int_div(F.col(key) - F.lit(low), width).alias("cell"))
-            .count()
-        )
-        for cell, n in sorted(map(tuple, counts.collect())):
-            if k <= n:
-                low, high, inside = low + cell * width, min(high, low + (cell + 1) * width - 1), n
-                break
-            k -= n
-    rows = df.filter(F.col(key).between(low, high)).select(key, *tie).orderBy(key, *tie)
-    return tuple(rows.limit(k).collect()[-1])
+    return tuple(numbered.filter(F.col("_rank") == k - 1).select(*keys).first())
 
 
 def cap_rows(df: DataFrame, k: int, key: str = "row_idx") -> DataFrame:
@@ -152,32 +121,13 @@ def cap_rows(df: DataFrame, k: int, key: str = "row_idx") -> DataFrame:
 def length_rank(
     df: DataFrame, length: str = "length", key: str = "row_idx", by: str | None = None, column: str = "rank"
 ) -> DataFrame:
-    """Add each row's position in the order (length, key), per ``by`` when given, with one shuffle of the rows.
+    """Add each row's position in the order (length, key), per ``by`` when given.
 
-    Rows of one length are spread over many cells of the key, so a length that
-    many rows share does not fall to one task.
+    Only lengths and keys are sorted; rows of one length are spread over many sort ranges by their keys.
     """
     group = [by] if by else []
-    df = with_cells(df, key, cells=CELLS // 8)
-    counts = df.groupBy(*group, length, "_cell").agg(F.count("*").alias("_n"))
-    shorter = W.partitionBy(*group).orderBy(length).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(*group, length).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    per_length = counts.groupBy(*group, length).agg(F.sum("_n").alias("_n"))
-    per_length = per_length.select(
-        *group, length, F.coalesce(F.sum("_n").over(shorter), F.lit(0)).alias("_shorter")
-    )
-    starts = counts.join(per_length, [*group, length]).select(
-        *group,
-        length,
-        "_cell",
-        (F.col("_shorter") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_start"),
-    )
-    inside = W.partitionBy(*group, length, "_cell").orderBy("_key")
-    return (
-        df.join(settle(starts, "starts"), [*group, length, "_cell"])
-        .withColumn(column, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_key", "_cell", "_start")
-    )
+    ranks = index_rows(df.select(*group, length, key), [length, key], by, column)
+    return df.join(ranks.select(*group, key, column), [*group, key]).select(*df.columns, column)
 
 
 def length_sort(df: DataFrame, length: Column, key: str = "row_idx") -> DataFrame:

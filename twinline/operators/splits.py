@@ -7,10 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.operators.order import FEW_ROWS
-
-DIGITS = 4  # hash digits looked at in one pass; 16 ** DIGITS bounds the counts that a pass returns
-DIGEST_LENGTH = 32
+from twinline.operators.order import key_at_rank
 
 
 def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 0, key: str = "id") -> DataFrame:
@@ -19,34 +16,13 @@ def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 0, key: str
     Rows are ranked by a hash of seed and key, a unique string. Only the hash at
     the border rank is looked up; the rows themselves are not moved.
     """
+    if not 0 <= test_size <= 1:
+        raise ValueError("test_size must be a share between 0 and 1")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))
-    border = _border(df.select(digest.alias("digest"), F.col(key).alias("key")), test_size)
+    ranked = df.select(digest.alias("digest"), F.col(key).alias("key"))
+    border = key_at_rank(ranked, "digest", lambda n: math.ceil(test_size * n), ["key"])
     if border is None:
         return df.withColumn("split", F.lit("train"))
     last_digest, last_key = (F.lit(x) for x in border)
     inside = (digest < last_digest) | ((digest == last_digest) & (F.col(key) <= last_key))
     return df.withColumn("split", F.when(inside, "test").otherwise("train"))
-
-
-def _border(ranked: DataFrame, share: float) -> tuple | None:
-    """Digest and key of the last row of the given share; None when the share is empty.
-
-    Each pass counts rows by the next digits of the digest and keeps the value
-    that holds the border. One pass narrows the rows by a factor of 16 ** DIGITS.
-    """
-    prefix, k, rows = "", None, ranked
-    while len(prefix) < DIGEST_LENGTH:
-        counts = rows.groupBy(F.substring("digest", len(prefix) + 1, DIGITS)).count().collect()
-        if k is None:
-            k = math.ceil(share * sum(n for _, n in counts))
-            if k == 0:
-                return None
-        for digits, n in sorted(map(tuple, counts)):
-            if k <= n:
-                break
-            k -= n
-        prefix += digits
-        rows = ranked.filter(F.startswith("digest", F.lit(prefix)))
-        if n <= FEW_ROWS:
-            break
-    return tuple(rows.orderBy("digest", "key").limit(k).collect()[-1])

@@ -11,14 +11,8 @@ from twinline.session import new_path, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.
-
-    A file with a single row group is read by one task however many cores there
-    are. Only such a small table is spread; a large one has enough row groups.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,25 +74,28 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
 
 
-def numbered_lines(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+def numbered_lines(
+    spark: SparkSession, sf_dir: str, by: str | None = None, langs: tuple[str, ...] | None = None
+) -> DataFrame:
     """All document lines with a row number, per ``by`` when given: ``(row_idx, doc_id, file, text)``.
 
     Documents get the number of their first line from a prefix sum of their line
-    counts, so lines are not sorted.
+    counts, so lines are not sorted. ``langs`` keeps the documents of some languages.
     """
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.concat_ws(".", "source", "lang").alias("file"),
-        F.split("text", "\n").alias("lines"),
-    )
-    first = prefix_sum(docs, "doc_id", F.size("lines"), "first", by)
-    lines = first.select("first", "doc_id", "file", F.posexplode("lines").alias("pos", "text"))
+    docs = table(spark, sf_dir, "documents")
+    if langs:
+        docs = docs.filter(F.col("lang").isin(*langs))
+    file = F.concat_ws(".", "source", "lang").alias("file")
+    counts = docs.select("doc_id", file, F.size(F.split("text", "\n")).alias("n"))
+    first = settle(prefix_sum(counts, "doc_id", F.col("n"), "first", by), "first-lines")
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines")).join(first, "doc_id")
+    lines = lines.select("first", "doc_id", "file", F.posexplode("lines").alias("pos", "text"))
     return lines.select((F.col("first") + F.col("pos")).alias("row_idx"), "doc_id", "file", "text")
 
 
 def side_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """English and French lines as the two ragged sides of one file pair per source."""
-    lines = settle(numbered_lines(spark, sf_dir, by="file"), "lines")
+    lines = numbered_lines(spark, sf_dir, by="file", langs=("en", "fr"))
     parts = F.split("file", "[.]")
     sides = lines.select(
         parts[0].alias("file_pair"), parts[1].alias("lang"), F.col("row_idx").alias("line_no"), "text"
