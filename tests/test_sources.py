@@ -165,14 +165,38 @@ def test_corrupt_shard_and_missing_split(spark, tmp_path):
     broken.write_bytes(b"this is not a shard")
     crc = broken.parent / f".{broken.name}.crc"
     crc.write_bytes(b"crc\x00")
-    back = files.read_shards(spark, out, NUMBERED_PAIRS)
+    verdicts = files.verify_shards(spark, out, NUMBERED_PAIRS)
+    back = files.read_shards(spark, out, NUMBERED_PAIRS, verdicts=verdicts)
     assert sorted(r.shard_id for r in back.select("shard_id").distinct().collect()) == [0, 2]
     assert back.count() == 20
-    assert [r.path.split("/")[-1] for r in files.unreadable_shards(spark, out, back).collect()] == [broken.name]
+    assert [r.path.split("/")[-1] for r in files.unreadable_shards(verdicts, out).collect()] == [broken.name]
     with pytest.raises(ValueError, match="no shards"):
         files.read_shards(spark, out, NUMBERED_PAIRS, ["val"])
 
 
+def test_a_damaged_column_costs_the_whole_shard_for_every_projection(spark, tmp_path):
+    out = str(tmp_path / "shards")
+    rows = spark.range(60_000).select(
+        F.lit("train").alias("split"),
+        F.expr("id div 20000").alias("shard_id"),
+        F.col("id").alias("row_idx"),
+        F.col("id").cast("string").alias("id"),
+        F.struct(F.md5(F.col("id").cast("string")).alias("src"), F.sha1(F.col("id").cast("string")).alias("tgt")).alias("translation"),
+    )
+    files.write_shards(rows, out)
+    broken = next((tmp_path / "shards" / "split=train" / "shard_id=1").glob("*.parquet"))
+    content = bytearray(broken.read_bytes())
+    at = len(content) * 3 // 4  # inside the target texts
+    content[at : at + 64] = bytes(64)
+    broken.write_bytes(content)
+    (broken.parent / f".{broken.name}.crc").unlink()
+    verdicts = files.verify_shards(spark, out, NUMBERED_PAIRS)
+    assert sorted((r.rows, r.good) for r in verdicts.collect()) == [(0, False), (20_000, True), (20_000, True)]
+    back = files.read_shards(spark, out, NUMBERED_PAIRS)
+    assert back.count() == back.select("row_idx").distinct().count() == 40_000
+    assert back.filter("translation.tgt is not null").count() == back.toPandas()["id"].nunique() == 40_000
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
 def test_pairs_with_language_names(spark, tmp_path, fmt):
     pairs = spark.createDataFrame([("0", ("a", "b")), ("1", ("c", None))], PAIRS)
@@ -233,4 +257,4 @@ def test_budgets(spark):
 
 def test_concat_needs_equal_columns(spark):
     with pytest.raises(Exception, match="annot resolve column"):
-        files.concat_shards([spark.range(1), spark.range(1).withColumnRenamed("id", "x")])
+        pairing.concat([spark.range(1), spark.range(1).withColumnRenamed("id", "x")])

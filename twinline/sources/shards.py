@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinline.operators.pairing import concat
 from twinline.schemas import TRANSLATION, require, require_schema
-from twinline.sources.paths import check_folder, folder_exists, list_files, path_below
+from twinline.session import settle
+from twinline.sources.paths import check_folder, folder_exists, path_below
 
 SPLITS = ("train", "val")
 PLACE = [T.StructField("split", T.StringType()), T.StructField("shard_id", T.LongType())]
@@ -41,29 +41,81 @@ def write_shards(df: DataFrame, out: str) -> None:
     )
 
 
-def read_shards(
-    spark: SparkSession, out: str, schema: T.StructType, splits: Sequence[str] = SPLITS
-) -> DataFrame:
-    """All readable shards of the splits. Missing splits and corrupt shard files are skipped."""
+def verify_shards(spark: SparkSession, out: str, schema: T.StructType, splits: Sequence[str] = SPLITS) -> DataFrame:
+    """``(path, rows, good)`` of every file of the splits; missing splits are skipped.
+
+    A file is good when all its columns decode, checksums included, to as many
+    rows as its footer states. A file that fails is read once more, so that a
+    passing fault of the store does not condemn it. The result is settled.
+    """
+    paths = _split_folders(spark, out, splits)
+    verdicts = _verdicts(spark, out, schema, paths)
+    bad = _bad_paths(verdicts)
+    if bad:
+        again = _verdicts(spark, out, schema, paths, bad)
+        verdicts = settle(verdicts.filter("good").union(again), "verdicts")
+    return verdicts
+
+
+def _split_folders(spark: SparkSession, out: str, splits: Sequence[str]) -> list[str]:
     check_folder(spark, out)
-    found = [p for p in (f"{out}/split={s}" for s in splits) if folder_exists(spark, p)]
+    found = [p for p in (f"{out.rstrip('/')}/split={s}" for s in splits) if folder_exists(spark, p)]
     if not found:
         raise ValueError(f"no shards of {list(splits)} under {out}")
+    return found
+
+
+def _scan(spark: SparkSession, out: str, schema: T.StructType) -> DataFrameReader:
     fields = [f for f in schema.fields if f.name not in ("split", "shard_id")]
-    return (
-        spark.read.schema(T.StructType([*fields, *PLACE]))
-        .option("basePath", out)
-        .option("ignoreCorruptFiles", "true")
-        .parquet(*found)
-    )
+    reader = spark.read.schema(T.StructType([*fields, *PLACE])).option("basePath", out)
+    return reader.option("parquet.page.verify-checksum.enabled", "true")
 
 
-def unreadable_shards(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
-    """Paths below ``out`` of the shard files that :func:`read_shards` skipped."""
-    files = list_files(spark, out, "split=*").filter(F.endswith("path", F.lit(".parquet")))
-    read = shards.select(F.col("_metadata.file_path").alias("path")).distinct()
-    below = path_below("path", out).alias("path")
-    return files.select(below).join(read.select(below), "path", "left_anti")
+def _verdicts(
+    spark: SparkSession, out: str, schema: T.StructType, paths: Sequence[str], only: Sequence[str] | None = None
+) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    rows = _scan(spark, out, schema).option("ignoreCorruptFiles", "true").parquet(*paths)
+    if only is not None:
+        files, rows = files.filter(path.isin(only)), rows.filter(path.isin(only))
+    # Hashing every column decodes it; counting none of them reads the footers alone.
+    decoded = rows.select(path.alias("path"), F.xxhash64(*rows.columns).alias("hash")).groupBy("path")
+    decoded = decoded.agg(F.count("*").alias("rows"), F.bit_xor("hash").alias("hash")).filter("hash is not null")
+    stated = rows.select(path.alias("path")).groupBy("path").agg(F.count("*").alias("stated"))
+    both = files.select(path.alias("path")).join(decoded, "path", "left").join(stated, "path", "left")
+    good = F.coalesce(F.col("rows") == F.col("stated"), F.lit(False))
+    return settle(both.select("path", F.when(good, F.col("rows")).otherwise(0).alias("rows"), good.alias("good")), "verdicts")
+
+
+def _bad_paths(verdicts: DataFrame) -> list[str]:
+    """Paths of the damaged files, which are few."""
+    return [r.path for r in verdicts.filter("not good").select("path").collect()]
+
+
+def read_shards(
+    spark: SparkSession,
+    out: str,
+    schema: T.StructType,
+    splits: Sequence[str] = SPLITS,
+    verdicts: DataFrame | None = None,
+) -> DataFrame:
+    """All rows of the good shard files; a damaged file gives none, whichever columns are read.
+
+    ``verdicts`` is what :func:`verify_shards` returned, which runs first when it
+    is not given. The rows themselves are read strictly: an error fails the job.
+    """
+    if verdicts is None:
+        verdicts = verify_shards(spark, out, schema, splits)
+    paths = _split_folders(spark, out, splits)
+    rows = _scan(spark, out, schema).parquet(*paths)
+    bad = _bad_paths(verdicts)
+    return rows.filter(~F.col("_metadata.file_path").isin(bad)) if bad else rows
+
+
+def unreadable_shards(verdicts: DataFrame, out: str) -> DataFrame:
+    """Paths below ``out`` of the shard files that :func:`read_shards` leaves out."""
+    return verdicts.filter("not good").select(path_below("path", out).alias("path"))
 
 
 def publish(df: DataFrame, target: str) -> None:
@@ -75,7 +127,3 @@ def publish(df: DataFrame, target: str) -> None:
         raise ValueError("no valid rows to publish")
     df.drop("shard_id").write.mode("errorifexists").partitionBy("split").parquet(target)
 
-
-def concat_shards(shards: Sequence[DataFrame]) -> DataFrame:
-    """All shards of a split in one table. Their columns must agree."""
-    return concat(shards)
