@@ -83,4 +83,19 @@ def test_tokenize_with_keeps_failing_rows_apart(spark):
     out = tk.tokenize_with(df, "t", fussy)
     assert out.schema["ids"].dataType == T.ArrayType(T.IntegerType())
     assert column(out, "ids") == [[3], None, [5]]
-    assert out.filter(F.col("ids").isNull()).count() == 1
+    assert [r.ids_error for r in out.filter(F.col("ids").isNull()).collect()] == ["ValueError: bad text"]
+
+
+@pytest.mark.parametrize("error", [ImportError("no vocabulary"), ValueError("broken")])
+def test_tokenize_with_stops_when_the_tokenizer_is_at_fault(spark, error):
+    def broken(batch):
+        raise error
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "i int, t string").coalesce(1)
+    with pytest.raises(Exception, match="no vocabulary|every text"):
+        tk.tokenize_with(df, "t", broken).collect()
+
+
+def test_tokenize_with_null_text(spark):
+    df = spark.createDataFrame([(0, None), (1, "ab")], "i int, t string").coalesce(1)
+    assert column(tk.tokenize_with(df, "t", lambda batch: [[len(t)] for t in batch]), "ids") == [None, [2]]

@@ -6,12 +6,11 @@ an array, so the work per row is bounded by ``max_length``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Ids of the byte scheme. Byte b has the id b + 3.
 PAD, EOS, UNK = 0, 1, 2
@@ -103,29 +102,38 @@ def roundtrip_audit(df: DataFrame, column: str) -> DataFrame:
 def tokenize_with(
     df: DataFrame, column: str, fn: Callable[[list[str]], list[list[int]]], out: str = "ids"
 ) -> DataFrame:
-    """Add ids from a user's batch tokenizer, run on Arrow batches inside the tasks.
+    """Add ids from a user's batch tokenizer, and its error in ``<out>_error``; only the text column goes to Python.
 
-    A text the tokenizer fails on gets NULL, so that :func:`quarantine` can keep
-    it apart instead of failing the job.
+    A text the tokenizer fails on gets NULL and the error, so that
+    :func:`quarantine` can keep it apart. When it fails on every text of a batch, or
+    cannot be loaded, or memory runs out, the tokenizer itself is at fault and the job stops.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    def one(text: str) -> list[int] | None:
+    def one(text: str) -> tuple[list[int] | None, str | None]:
         try:
-            return fn([text])[0]
-        except Exception:
-            return None
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = list(frame[column])
-            try:
-                ids = list(fn(texts))
-            except Exception:
-                ids = [one(text) for text in texts]
-            yield frame.assign(**{out: pd.Series(ids, index=frame.index, dtype=object)})
-
-    return df.mapInPandas(run, schema)
+            return list(fn([text])[0]), None
+        except (ImportError, MemoryError):
+            raise
+        except Exception as error:
+            return None, f"{type(error).__name__}: {error}"
+
+    @F.pandas_udf("struct<ids:array<int>,error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        given = [t for t in texts if t is not None]
+        try:
+            found = [(list(ids), None) for ids in fn(given)]
+        except (ImportError, MemoryError):
+            raise
+        except Exception as error:
+            found = [one(text) for text in given]
+            if len(given) > 1 and all(ids is None for ids, _ in found):
+                raise RuntimeError("the tokenizer failed on every text of a batch") from error
+        rest = iter(found)
+        rows = [next(rest) if t is not None else (None, None) for t in texts]
+        return pd.DataFrame(rows, columns=["ids", "error"])
+
+    tokenized = df.withColumn("_tokenized", run(F.col(column)))
+    return tokenized.select(*df.columns, F.col("_tokenized.ids").alias(out), F.col("_tokenized.error").alias(f"{out}_error"))
 
 
 def _col(c: Column | str) -> Column:

@@ -95,12 +95,19 @@ def budget_lookup(df: DataFrame, profile: str) -> DataFrame:
     return df.withColumn(profile, known).join(F.broadcast(table), profile)
 
 
+def budget(profile: str) -> dict:
+    """One named budget; an unknown name raises."""
+    names = [field.split()[0] for field in BUDGET_SCHEMA.split(", ")]
+    for row in BUDGETS:
+        if row[0] == profile:
+            return dict(zip(names, row))
+    raise ValueError(f"unsupported profile {profile}, choose from {[b[0] for b in BUDGETS]}")
+
+
 def with_budget(df: DataFrame, profile: str) -> DataFrame:
     """Add one named budget's batch size and length as constants."""
-    for key, _, _, batch_size, _, _, _, _, max_length, _ in BUDGETS:
-        if key == profile:
-            return df.withColumns({"batch_size": F.lit(batch_size), "max_length": F.lit(max_length)})
-    raise ValueError(f"unsupported profile {profile}, choose from {[b[0] for b in BUDGETS]}")
+    found = budget(profile)
+    return df.withColumns({c: F.lit(found[c]) for c in ("batch_size", "max_length")})
 
 
 def within_budget(src: Column, tgt: Column, max_length: Column | int) -> Column:

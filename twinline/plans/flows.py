@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.functions.text import blank_answer, extract_reference, make_pairs, prompt_prefix, sft_text, split_sides
-from twinline.functions.tokens import token_count
+from twinline.functions.text import (
+    blank_answer,
+    extract_reference,
+    make_pairs,
+    prompt_prefix,
+    sft_text,
+    split_sides,
+    strip_text,
+)
+from twinline.functions.tokens import PAD, VOCAB, clamp_ids, decode_ids, token_count, unmask_labels
 from twinline.operators.batches import micro_batches, pack_sequences, pad_longest, tokenize_fixed
 from twinline.operators.filters import cap_pairs, drop_empty, length_filter
 from twinline.operators.order import int_div, length_rank
+from twinline.operators.pairing import budget, zip_rows
+from twinline.operators.scores import bleu_plain, bleu_sacre
 from twinline.operators.shards import ROWS_PER_SHARD, TOKENS_PER_SHARD, batch_weights, shard_by_weight, split_by_shard
 from twinline.operators.splits import random_split
+from twinline.operators.traces import peak_alerts, peak_trace
 from twinline.sources.parallel_text import ParallelText
 
 
@@ -58,8 +69,17 @@ def training_batches(
     keep_length: int = 512,
     max_length: int = 128,
     batch: int = 1000,
+    profile: str | None = None,
 ) -> DataFrame:
-    """Numbered pairs as token rows, sorted by length inside each split and padded per batch."""
+    """Numbered pairs as token rows, sorted by length inside each split and padded per batch.
+
+    A named budget, when given, decides both lengths and the batch size. The
+    input is read for the border of the split and for the rows; lengths are ranked from a settled narrow table.
+    """
+    if profile is not None:
+        spec = budget(profile)
+        keep_length = max_length = spec["max_length"]
+        batch = spec["batch_size"]
     rows = split_sides(random_split(pairs, test_size, seed))
     rows = length_filter(rows, keep_length).withColumn("length", token_count("src"))
     ranked = length_rank(rows, by="split").withColumn("batch_id", int_div("rank", batch))
@@ -84,6 +104,30 @@ def sft_rows(
     )
 
 
+def score_ids(
+    rows: DataFrame, preds: str = "preds", labels: str = "labels", key: str = "id", vocab: int = VOCAB, pad: int = PAD
+) -> DataFrame:
+    """BLEU from 0 to 100 of a model's output: arrays of predicted ids and of label ids in which -100 is ignored."""
+    texts = rows.select(
+        key,
+        strip_text(decode_ids(clamp_ids(preds, vocab))).alias("hyp"),
+        strip_text(decode_ids(unmask_labels(labels, pad))).alias("ref"),
+    )
+    return bleu_sacre(texts, key=key)
+
+
+def score_sft(rows: DataFrame, predictions: DataFrame, prediction: str = "prediction", key: str = "id") -> DataFrame:
+    """BLEU from 0 to 1 of the predictions for the test rows of :func:`sft_rows`."""
+    test = rows.filter(F.col("split") == "test").select(key, F.col("reference").alias("ref"))
+    texts = zip_rows(test, predictions.select(key, strip_text(prediction).alias("hyp")), key)
+    return bleu_plain(texts, key=key)
+
+
+def device_alerts(steps: DataFrame, profile: str, **columns: str) -> DataFrame:
+    """Steps, alerts and peak per run, against the memory of a named budget."""
+    return peak_alerts(peak_trace(steps, float(budget(profile)["memory_gb"]), **columns))
+
+
 def sft_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
     """The training texts of :func:`sft_rows` packed into full blocks."""
     return pack_sequences(rows.filter(F.col("split") == "train"), "text", block)

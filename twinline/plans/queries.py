@@ -116,6 +116,26 @@ def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("split", "shard_id", "row_idx", "id", "src", "tgt")
 
 
+@query(f"""
+WITH {SHARDED}
+SELECT split, shard_id, count(*) FILTER (shard_id <> 2) AS pairs, (shard_id = 2)::INT AS damaged
+FROM sharded WHERE split = 'train' GROUP BY ALL""")
+def read_damaged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of which one file is no Parquet and one split is missing."""
+    out, rows = new_path(spark, "shards"), _row_shards(spark, sf_dir).filter(F.col("split") == "train")
+    shard_files.write_shards(rows.filter(F.col("shard_id") != 2), out)
+    text = rows.filter(F.col("shard_id") == 2).select(F.concat_ws(",", "row_idx", "translation.src").alias("value"))
+    text.coalesce(1).write.text(f"{out}/split=train/shard_id=2")
+    verdicts = shard_files.verify_shards(spark, out, NUMBERED_PAIRS)
+    good = shard_files.read_shards(spark, out, NUMBERED_PAIRS, verdicts=verdicts)
+    good = good.groupBy("split", "shard_id").agg(F.count("translation.tgt").alias("pairs"), F.lit(0).alias("damaged"))
+    place = lambda name: F.regexp_extract("path", f"{name}=([^/]*)/", 1)
+    bad = shard_files.unreadable_shards(verdicts, out).groupBy(
+        place("split").alias("split"), place("shard_id").cast("long").alias("shard_id")
+    )
+    return good.union(bad.agg(F.lit(0).cast("long").alias("pairs"), F.lit(1).alias("damaged")))
+
+
 @query(f"WITH {SHARDED} SELECT split, row_idx, row_idx::VARCHAR AS id, src, tgt FROM sharded")
 def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = new_path(spark, "published")
@@ -162,10 +182,11 @@ def zip_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SHARDED} SELECT split, shard_id, row_idx FROM sharded")
 def concat_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _row_shards(spark, sf_dir).select("split", "shard_id", "row_idx")
-    return shard_files.concat_shards([rows.filter(F.col("split") == s) for s in shard_files.SPLITS])
+    return pairing.concat([rows.filter(F.col("split") == s) for s in shard_files.SPLITS])
 
 
-PROFILES = ", ".join(f"({i}, '{b[0]}', {b[3]}, {b[8]})" for i, b in enumerate(pairing.BUDGETS))
+# Written out again, so that a slip in the engine's own table shows.
+PROFILES = "(0, '4090', 24, 128), (1, 'A100_40', 48, 256), (2, 'A100_80', 96, 512), (3, 'H100', 128, 512)"
 
 
 @query(f"""
@@ -342,9 +363,10 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {sql.TURNS}, ids AS (SELECT conv_id, turn, {sql.ids('tgt')} AS t FROM turns)
-SELECT conv_id, turn, {sql.joined('list_transform(t, lambda x, i: CASE WHEN i % 7 = 0 THEN 2 ELSE x END)')} AS ids FROM ids""")
+SELECT conv_id, turn, {sql.joined('list_transform(t, lambda x, i: CASE WHEN i % 7 = 0 OR i % 11 = 0 THEN 2 ELSE x END)')} AS ids FROM ids""")
 def clamp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wild = F.transform(tk.token_ids("tgt"), lambda x, i: F.when((i + 1) % 7 == 0, F.lit(999_999)).otherwise(x))
+    bad = lambda i: F.when((i + 1) % 7 == 0, 999_999).when((i + 1) % 11 == 0, -3)
+    wild = F.transform(tk.token_ids("tgt"), lambda x, i: F.coalesce(bad(i), x))
     return inputs.turns(spark, sf_dir).select("conv_id", "turn", joined(tk.clamp_ids(wild)).alias("ids"))
 
 
@@ -492,6 +514,53 @@ def bleu_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*[c if c.endswith("_len") else F.round(c, 6).alias(c) for c in scored.columns])
 
 
+SACRE = f"""
+SELECT round(CASE WHEN t4 > 0 AND m1 > 0 THEN 100 * bp * exp(({' + '.join(_smoothed(n) for n in (1, 2, 3, 4))}) / 4)
+             ELSE 0 END, 6) AS bleu, {M_AND_T}, hyp_len, ref_len
+FROM counts"""
+
+
+@query(f"WITH {sql.bleu_counts()} {SACRE}")
+def score_from_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = inputs.eval_texts(spark, sf_dir)
+    # Ids outside the vocabulary are put between the real ones, and ignored labels at the end.
+    between = lambda x, i: F.when(i % 7 == 0, F.array(F.lit(999_999), F.lit(-3), x)).otherwise(F.array(x))
+    ids = texts.select(
+        "id",
+        F.flatten(F.transform(tk.token_ids("hyp"), between)).alias("preds"),
+        F.concat(tk.token_ids("ref"), F.array_repeat(F.lit(-100), 5)).alias("labels"),
+    )
+    return flows.score_ids(ids).withColumn("bleu", F.round("bleu", 6))
+
+
+SFT_TEXTS = """
+  SELECT id, reference AS ref,
+         array_to_string(list_filter(string_split(reference, ' '), lambda w, i: i % 5 <> 0), ' ') AS hyp
+  FROM sft WHERE split = 'test'"""
+
+
+@query(f"""
+WITH {SFT_ROWS}, {sql.bleu_counts(SFT_TEXTS)}
+SELECT round(CASE WHEN least(m1, m2, m3, m4) > 0
+             THEN bp * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) ELSE 0 END, 6) AS bleu,
+       {SHARES}, round(bp, 6) AS brevity_penalty,
+       round(CASE WHEN ref_len > 0 THEN hyp_len / ref_len ELSE 0 END, 6) AS length_ratio, hyp_len, ref_len
+FROM counts""")
+def score_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settle(flows.sft_rows(inputs.numbered_pairs(spark, sf_dir)), "sft")
+    words = F.filter(F.split("reference", " "), lambda w, i: (i + 1) % 5 != 0)
+    predictions = rows.select("id", F.array_join(words, " ").alias("prediction"))
+    scored = flows.score_sft(rows, predictions)
+    return scored.select(*[c if c.endswith("_len") else F.round(c, 6).alias(c) for c in scored.columns])
+
+
+@query("""
+SELECT event_type AS run, count(*) AS steps, count(*) FILTER (value > 24 * 0.85) AS alerts, max(value) AS peak
+FROM events WHERE event_id % 100 = 0 GROUP BY ALL""")
+def device_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.device_alerts(inputs.steps(spark, sf_dir).drop("ts"), "4090")
+
+
 TRACE = f"""
 trace AS (
   SELECT event_type AS run, event_id AS step, value,
@@ -554,7 +623,10 @@ def shard_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = inputs.numbered_lines(spark, sf_dir).select("row_idx", tk.token_count("text").alias("n"))
     ordered = order.length_sort(settle(sized, "sized"), F.col("n")).drop("n")
-    return order.index_rows(ordered, ["length", "row_idx"], column="rank")
+    # The ranks tell the order in which the rows were written, not an order of their values.
+    place = {"task": F.spark_partition_id(), "at": F.monotonically_increasing_id()}
+    written = settle(ordered.withColumns(place), "sorted")
+    return order.index_rows(written, ["task", "at"], column="rank").drop("task", "at")
 
 
 @query(f"WITH {SHARDED} SELECT row_idx, split FROM sharded")
@@ -626,6 +698,17 @@ def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: joined(c) for c in ("input_ids", "attention_mask", "labels")})
 
 
+@query(f"""
+WITH {SFT_ROWS},
+fit AS (SELECT split, row_idx, src, tgt, (strlen(src) + 1)::INT AS length FROM divided WHERE strlen(src) < 512 AND strlen(tgt) < 512),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY length, row_idx) - 1 AS rank FROM fit)
+SELECT split, rank // 96 AS batch_id, row_idx, length,
+       max(length) OVER (PARTITION BY split, rank // 96) AS width FROM ranked""")
+def profile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flows.training_batches(inputs.numbered_pairs(spark, sf_dir), profile="A100_80")
+    return rows.select("split", "batch_id", "row_idx", "length", F.size("input_ids").alias("width"))
+
+
 @query(f"WITH {SFT_ROWS} SELECT split, row_idx, id, text, prompt, reference FROM sft")
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.sft_rows(inputs.numbered_pairs(spark, sf_dir))
