@@ -8,7 +8,7 @@ from twinline.plans import flows
 from twinline.schemas import NUMBERED_PAIRS, PAIRS
 from twinline.sources import shards as files
 from twinline.sources.parallel_text import open_parallel_text, pair_files, read_parallel_text
-from twinline.sources.paths import check_folder
+from twinline.sources.paths import check_folder, name_below
 
 
 def write(path, lines):
@@ -258,3 +258,30 @@ def test_budgets(spark):
 def test_concat_needs_equal_columns(spark):
     with pytest.raises(Exception, match="annot resolve column"):
         pairing.concat([spark.range(1), spark.range(1).withColumnRenamed("id", "x")])
+
+
+@pytest.mark.parametrize(
+    "root, path, name",
+    [
+        ("s3a://corpus/corpus", "s3a://corpus/corpus/X.en", "X.en"),
+        ("s3a://bucket", "s3a://bucket/X.en/part-0", "X.en"),
+        ("s3a://bucket/", "s3a://bucket/X.en", "X.en"),
+        ("file:/a/data", "file:///a/data/proj/data/X.en", "proj"),
+        ("file:/a/b c", "file:///a/b%20c/X.en", "X.en"),
+        ("file:/a", "file:/other/a/X.en", None),
+    ],
+)
+def test_names_are_cut_at_the_root_alone(spark, root, path, name):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(name_below("path", root)).first()[0] == name
+
+
+def test_relative_folder(spark, tmp_path):
+    folder = tmp_path / "data"
+    folder.mkdir()
+    write(folder / "a.en", ["1", "2"])
+    write(folder / "a.ko", ["x", "y"])
+    import os
+
+    relative = os.path.relpath(folder)
+    assert {(r.src, r.tgt) for r in read_parallel_text(spark, relative).collect()} == {("1", "x"), ("2", "y")}

@@ -15,7 +15,7 @@ from twinline.functions.text import strip_text
 from twinline.operators.order import index_rows, int_div
 from twinline.operators.pairing import check_even, concat, kept_lines, zip_numbered
 from twinline.session import settle
-from twinline.sources.paths import check_folder, list_files, name_below
+from twinline.sources.paths import check_folder, list_files, name_below, qualified
 
 
 def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
@@ -140,7 +140,7 @@ def open_parallel_text(
 
     sides = F.expr("stack(2, 'src', src_name, 'tgt', tgt_name) as (side, name)")
     splits = settle(concat([_splits(spark, root, src, "src"), _splits(spark, root, tgt, "tgt")]), "splits")
-    splits = splits.withColumn("name", name_below("path", root))
+    splits = splits.withColumn("name", name_below("path", qualified(spark, root)))
     splits = splits.join(pairs.select("file_pair", sides), ["side", "name"])
     of_side = {side: F.sum(F.when(F.col("side") == side, F.col("n"))) for side in ("src", "tgt")}
     # Pairs of two empty files have no splits and no lines, so nothing is lost without them.
@@ -155,6 +155,7 @@ def open_parallel_text(
             "batches_before": F.coalesce(F.sum(batches).over(before), F.lit(0)),
         }
     )
+    files = settle(files, "files")
     check_even(files, ragged)
     earlier = W.partitionBy("side", "file_pair").orderBy(_part_order("path"), "block")
     earlier = earlier.rowsBetween(W.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """
     paths = _paths(spark, f"{root.rstrip('/')}/{pattern}") or []
     found = spark.createDataFrame([(p,) for p in paths], "path string")
-    return found.withColumn("name", name_below("path", root))
+    return found.withColumn("name", name_below("path", qualified(spark, root)))
 
 
 def _paths(spark: SparkSession, path: str) -> list[str] | None:
@@ -33,15 +33,28 @@ def _paths(spark: SparkSession, path: str) -> list[str] | None:
         return None
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The full URI of a folder, as its file system writes it, without a slash at the end."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toString().rstrip("/")
+
+
 def name_below(path: str, root: str) -> Column:
-    """The first component of a path below ``root``."""
+    """The first component of a path below ``root``, a full URI."""
     return F.split_part(path_below(path, root), F.lit("/"), F.lit(1))
 
 
 def path_below(path: str, root: str) -> Column:
-    """A path without ``root``. Listings and scans write the part before it in different ways."""
-    below = quote(urlparse(root).path.rstrip("/"), safe=UNQUOTED) + "/"
-    return F.split_part(F.col(path), F.lit(below), F.lit(2))
+    """A path without the folder ``root``, a full URI.
+
+    Listings write ``file:/x`` and scans ``file:///x``, so scheme and authority are
+    cut first, then exactly the root's own path.
+    """
+    below = quote(unquote(urlparse(root).path.rstrip("/")), safe=UNQUOTED) + "/"
+    local = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(F.startswith(local, F.lit(below)), F.substr(local, F.lit(len(below) + 1)))
 
 
 def check_folder(spark: SparkSession, path: str) -> None:
@@ -51,7 +64,7 @@ def check_folder(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"folder {path} not found")
     if not paths:
         raise ValueError(f"folder {path} is empty")
-    if urlparse(paths[0]).path == quote(urlparse(path).path.rstrip("/"), safe=UNQUOTED):
+    if urlparse(paths[0]).path == quote(urlparse(qualified(spark, path)).path, safe=UNQUOTED):
         raise NotADirectoryError(f"{path} is not a folder")
 
 

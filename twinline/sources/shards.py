@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from twinline.schemas import TRANSLATION, require, require_schema
 from twinline.session import settle
-from twinline.sources.paths import check_folder, folder_exists, path_below
+from twinline.sources.paths import check_folder, folder_exists, path_below, qualified
 
 SPLITS = ("train", "val")
 PLACE = [T.StructField("split", T.StringType()), T.StructField("shard_id", T.LongType())]
@@ -115,7 +115,8 @@ def read_shards(
 
 def unreadable_shards(verdicts: DataFrame, out: str) -> DataFrame:
     """Paths below ``out`` of the shard files that :func:`read_shards` leaves out."""
-    return verdicts.filter("not good").select(path_below("path", out).alias("path"))
+    root = qualified(verdicts.sparkSession, out)
+    return verdicts.filter("not good").select(path_below("path", root).alias("path"))
 
 
 def publish(df: DataFrame, target: str) -> None:
