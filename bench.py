@@ -39,6 +39,9 @@ HEADLINE = [
     "raw_corpus",
     "token_corpus",
     "train_batches",
+    "running_id",
+    "score_from_ids",
+    "score_sft",
     "sft_rows",
     "sft_blocks",
 ]
@@ -49,15 +52,19 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session("bench", f"local[{cpus}]", cpus, "12g")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").count().collect()
-    seconds = {}
+    run = lambda name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    run("shard_manifest")  # starts the session's code paths once, untimed
+    seconds, jobs = {}, {}
     for name in HEADLINE:
+        spark.sparkContext.setJobGroup(name, name)
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        run(name)
         seconds[name] = round(time.perf_counter() - start, 3)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(sf_dir).removeprefix("sf")
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
+    result = {"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "jobs": jobs, "sf": sf}
+    print(json.dumps(result))
 
 
 if __name__ == "__main__":
