@@ -167,7 +167,7 @@ def overlaps(
     bit = F.call_function("shiftleft", F.lit(1), low.bitwiseAND(7).cast("int"))
     cells = bench_hits.groupBy(F.shiftright(low, 3).alias("cell")).agg(F.bit_or(bit).alias("bits"))
     table = np.zeros(1 << (FILTER - 3), np.uint8)
-    cells = cells.toPandas()
+    cells = cells.toArrow().to_pandas()
     table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.uint8)
     shared = spark.sparkContext.broadcast(table)
     body = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))

@@ -189,7 +189,7 @@ def neighbours(
     depth = 0
     while 2**depth < min(CELLS, total / PER_CELL):
         depth += 1
-    sample = index.orderBy("no").limit(SAMPLE).select("vector").toPandas() if depth else None
+    sample = index.orderBy("no").limit(SAMPLE).select("vector").toArrow().to_pandas() if depth else None
     points = np.stack(sample["vector"].to_numpy()).astype(float) @ spread if depth else np.zeros((0, spread.shape[1]))
     cuts, quantile = cut(points, depth), chi_square_quantile(sure, spread.shape[1])
 

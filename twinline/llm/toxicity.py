@@ -108,7 +108,7 @@ def fit(
     rows = settle(_terms(labelled(docs, labels, flag, key, text, sample), PREFIXES), "labelled")
     vocabulary = tuple(sorted(term for term, _ in _associated(rows, terms, LEAST_ROWS, ODDS)))
     kept = F.array_intersect("terms", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
-    sparse = rows.select("key", "grade", kept.alias("terms")).orderBy("key").toPandas()
+    sparse = rows.select("key", "grade", kept.alias("terms")).orderBy("key").toArrow().to_pandas()
     index = {term: i for i, term in enumerate(vocabulary)}
     cells = [[index[t] for t in found] for found in sparse["terms"]]
     words = np.array([sum(not vocabulary[i].endswith("*") for i in c) for c in cells], dtype=int)
