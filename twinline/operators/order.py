@@ -4,7 +4,8 @@ No function here sorts or scans all rows in one task. ``index_rows`` range-sorts
 by any unique key: Spark samples the key, so a heavy leading value is spread over
 many ranges by the columns behind it. The others number, sum or rank a narrow
 table of keys in the same way, whatever its size or the spread of its keys, and join
-the result back, so wide rows move once and are never sorted.
+the result back, so wide rows move once and are never sorted. The keys are written
+before they are sorted: sampling for the sort then does not run the input again.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def _running(
     totals are combined, so a sparse key or one far-off key makes no cell larger.
     """
     group = [by] if by else []
-    narrow = df.select(*group, F.col(key).alias("_key"), value.alias("_value"))
+    narrow = settle(df.select(*group, F.col(key).alias("_key"), value.alias("_value")), "keys")
     ranges = settle(narrow.sort(*group, "_key").withColumn("_range", F.spark_partition_id()), "sorted")
     cells = ranges.groupBy(*group, "_range").agg(how("_value").alias("_total"))
     earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -102,7 +103,7 @@ def key_at_rank(df: DataFrame, key: str, rank: Callable[[int], int], tie: Sequen
     are numbered in order, and one row comes to the driver.
     """
     keys = [key, *tie]
-    numbered = index_rows(df.select(*keys).dropna(subset=[key]), keys, column="_rank")
+    numbered = index_rows(settle(df.select(*keys).dropna(subset=[key]), "keys"), keys, column="_rank")
     total = numbered.count()
     k = rank(total)
     if not 1 <= k <= total:
@@ -126,7 +127,7 @@ def length_rank(
     Only lengths and keys are sorted; rows of one length are spread over many sort ranges by their keys.
     """
     group = [by] if by else []
-    ranks = index_rows(df.select(*group, length, key), [length, key], by, column)
+    ranks = index_rows(settle(df.select(*group, length, key), "keys"), [length, key], by, column)
     return df.join(ranks.select(*group, key, column), [*group, key]).select(*df.columns, column)
 
 

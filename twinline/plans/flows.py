@@ -73,8 +73,7 @@ def training_batches(
 ) -> DataFrame:
     """Numbered pairs as token rows, sorted by length inside each split and padded per batch.
 
-    A named budget, when given, decides both lengths and the batch size. The
-    input is read for the border of the split and for the rows; lengths are ranked from a settled narrow table.
+    A named budget, when given, decides both lengths and the batch size.
     """
     if profile is not None:
         spec = budget(profile)

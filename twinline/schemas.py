@@ -11,19 +11,6 @@ PAIRS = T.StructType([T.StructField("id", T.StringType()), T.StructField("transl
 
 NUMBERED_PAIRS = T.StructType([T.StructField("row_idx", T.LongType()), *PAIRS.fields])
 
-TOKENIZED = T.StructType(
-    [
-        T.StructField("row_idx", T.LongType()),
-        T.StructField("src_text", T.StringType()),
-        T.StructField("tgt_text", T.StringType()),
-        T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-        T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
-        T.StructField("labels", T.ArrayType(T.IntegerType())),
-    ]
-)
-
-SFT = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
-
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Return ``df`` unchanged, or raise when a column is absent."""
