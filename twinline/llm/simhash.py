@@ -213,12 +213,16 @@ def _spanning(rows: np.ndarray, ring: Ring) -> list[tuple[int, int]]:
         fringe = np.flatnonzero((far > ring.threshold) & (far <= 2 * ring.threshold))
         if len(within) > 1 and len(fringe):
             near[leader] = within, fringe
-    for within, fringe in near.values():
-        for i in fringe.tolist():
-            others = within[[forest.root(j) != forest.root(i) for j in within.tolist()]]
-            if len(others):
-                hits = others[_distance(rows[others], rows[i : i + 1]) <= ring.threshold]
-                links += [(i, int(j)) for j in hits if forest.join(i, int(j))]
+    # All rows near a leader are one component by now; only fringes of another may still link to them.
+    labels = np.array([forest.root(i) for i in range(n)])
+    for leader, (within, fringe) in near.items():
+        for i in fringe[labels[fringe] != labels[leader]].tolist():
+            if labels[i] == labels[leader]:
+                continue
+            hits = within[_distance(rows[within], rows[i : i + 1]) <= ring.threshold]
+            if len(hits):
+                links.append((i, int(hits[0])))
+                labels[labels == labels[i]] = labels[leader]
     return links
 
 
