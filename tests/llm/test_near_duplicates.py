@@ -100,6 +100,46 @@ def test_keep_first_finds_near_copies_and_leaves_others(spark):
     assert len(far) == 60 and all(i in kept for i in far)
 
 
+def test_keep_first_compares_shingles_not_their_repeats(spark):
+    line, long_line = prose(8000, 13), prose(8001, 13)
+    rows = [(i, "\n".join([prose(8100 + i, 100)] + [line] * 10)) for i in range(10)]
+    rows += [(100 + i, "\n".join([prose(8200 + i, 300)] + [long_line] * 20)) for i in range(10)]
+    clean = {i for i, _ in rows}
+    for i in range(10):
+        lines = [prose(8300 + 100 * i + k, 12) for k in range(30)]
+        rows += [(200 + i, "\n".join(lines)), (300 + i, "\n".join(lines[:5] + lines[5:6] * 10 + lines[6:]))]
+        clean.add(200 + i)
+    found = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == clean
+
+
+def test_keep_first_draws_the_line_at_the_similarity(spark):
+    rng, rows, twins = random.Random(12), [], {}
+    for i in range(100):
+        words = prose(8500 + i, 300).split()
+        text = edited(words, rng, rng.choice((0.02, 0.024, 0.027, 0.03, 0.034)))
+        twins[1000 + i] = jaccard(words, text.split(), 5)
+        rows += [(i, " ".join(words)), (1000 + i, text)]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, s in twins.items() if s >= 0.8]
+    assert 20 < len(near) < 80 and sum(i in kept for i in near) <= 0.03 * len(near)
+    assert all(i in kept for i, s in twins.items() if s < 0.8)
+
+
+@pytest.mark.parametrize("together", [1 << 12, 1 << 25])
+def test_verified_connects_as_all_pairs_do(spark, together):
+    rng, texts = random.Random(3), []
+    for i in range(4):
+        words = prose(8700 + i, 120).split()
+        texts += [" ".join(words), *(edited(words, rng, rng.choice((0.01, 0.02, 0.03))) for _ in range(8))]
+    sets = [np.unique(simhash.shingles(t.encode().split(), 5)) for t in texts]
+    rows = [(b"r", simhash.fingerprint(x, 8), i.to_bytes(2, "big"), t) for i, (x, t) in enumerate(zip(sets, texts))]
+    found = simhash.verified(spark.createDataFrame(rows, "root binary, fp binary, same binary, text string"), together=together).collect()
+    exact = [(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i].split(), texts[j].split(), 5) >= 0.8]
+    assert 4 < len(exact) < 200
+    assert by_union([(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in found]) == by_union(exact)
+
+
 def test_keep_first_on_odd_rows(odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns

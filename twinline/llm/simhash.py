@@ -10,15 +10,18 @@ With ``m = t + 1`` a chain starts with an equal segment, followed by one that
 differs in one bit at most; joining on both, with one bit flipped on one side,
 finds every pair (``RING``). Fingerprints of many words, for a similarity of 0.8,
 allow for more bits than that; there the join is on one equal segment of 16
-bits (``WIDE``), which finds a pair of similarity 0.8 in about nine of ten cases
-and one of 0.9 nearly always. All later tests lose nothing.
+bits in any of several orders of the bits (``WIDE``). All later tests lose nothing.
+
+For ``keep_first`` fingerprints only propose. Each different shingle of a text counts
+once, and texts of one group are compared by the exact Jaccard similarity of
+their shingles before they are linked (``verified``).
 
 Fingerprints that occur often are joined once. A bucket is linked by a spanning
 forest, not by all its pairs; a bucket with more than ``PIECE`` fingerprints is cut
 into pieces that meet pairwise in different tasks. No row is dropped for its bucket.
 
 Rows: a null text has no words and the fingerprint zero, which links like any
-other; a text of fewer words than a shingle is one shingle; repeated rows share a
+other, and all texts without words are alike; a text of fewer words than a shingle is one shingle; repeated rows share a
 fingerprint; a component of null keys alone has a null id.
 """
 
@@ -43,6 +46,9 @@ PIECE = 8_192
 SMALL = 48  # rows of a bucket up to which its pairs are laid out together
 PAIRS = 1 << 20  # pairs tested at once
 STRIDE = 1 << 13  # shingles whose bits are counted at once
+ALIKE = 0.8  # Jaccard similarity of shingles from which texts are near-duplicates
+SPARE = 4.0  # standard deviations of the differing bits that the threshold allows beside their mean
+TOGETHER = 32 << 20  # bytes of shingles compared in one task, about
 
 
 @dataclass(frozen=True)
@@ -50,7 +56,8 @@ class Ring:
     """``words`` of 64 bits, cut into ``segments``; links differ in at most ``threshold`` bits.
 
     ``flips`` joins on two segments, with at most one bit changed in the second.
-    ``chain`` is the length up to which chains are tested.
+    ``chain`` is the length up to which chains are tested. ``orders`` is the number of
+    orders of the bits that are cut into segments, the first as they are.
     """
 
     words: int
@@ -58,6 +65,7 @@ class Ring:
     threshold: int
     flips: bool
     chain: int
+    orders: int = 1
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
@@ -66,20 +74,21 @@ class Ring:
         return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of texts of this Jaccard similarity differ on average, rounded up."""
+def bits_for(similarity: float, bits: int, spare: float = 0.0) -> int:
+    """Bits in which fingerprints of texts of this Jaccard similarity differ on average, and ``spare`` deviations more, rounded up."""
     cosine = 2 * similarity / (1 + similarity)
-    return math.ceil(bits * math.acos(cosine) / math.pi)
+    share = math.acos(cosine) / math.pi
+    return math.ceil(bits * share + spare * math.sqrt(bits * share * (1 - share)))
 
 
 RING = Ring(words=1, segments=5, threshold=4, flips=True, chain=4)
-WIDE = Ring(words=8, segments=32, threshold=bits_for(0.8, 512), flips=False, chain=4)
+WIDE = Ring(words=8, segments=32, threshold=bits_for(ALIKE, 512, SPARE), flips=False, chain=4, orders=2)
 
 
-def fingerprint(words: list[bytes], shingle: int, width: int = 1) -> bytes:
-    """The fingerprint, most significant byte first; its last word is that of the plain hash."""
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles in their order, repeats included."""
     if not words:
-        return bytes(8 * width)
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -87,7 +96,14 @@ def fingerprint(words: list[bytes], shingle: int, width: int = 1) -> bytes:
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray, width: int = 1) -> bytes:
+    """The fingerprint, most significant byte first; its last word is that of the plain hash."""
+    n = len(hashes)
+    if not n:
+        return bytes(8 * width)
     counts = np.zeros(64 * width, np.int64)
     for at in range(0, n, STRIDE):
         some = hashes[at : at + STRIDE]
@@ -108,17 +124,29 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """``(key, fp, check)`` of every row; ``check`` is a hash of the text that tells rows of one key apart."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, once: bool = False
+) -> DataFrame:
+    """``(key, fp, check, same)`` of every row; ``check`` is a hash of the text that tells rows of one key apart.
+
+    With ``once`` each different shingle counts once, and ``same`` is a hash of the set of them; else it is null.
+    """
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(ascii_words(x.as_py()), shingle, words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["key", "fp", "check"])
+            found, same = [], []
+            for x in batch.column(1):
+                hashes = shingles(ascii_words(x.as_py()), shingle)
+                if once:
+                    hashes = np.unique(hashes)
+                found.append(fingerprint(hashes, words))
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()) if once else None)
+            columns = [batch.column(0), pa.array(found, pa.binary()), batch.column(2), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "check", "same"])
 
     text_column = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("key"), text_column.alias("text"), F.xxhash64(text_column).alias("check"))
-    return rows.mapInArrow(hashed, "key long, fp binary, check long")
+    return rows.mapInArrow(hashed, "key long, fp binary, check long, same binary")
 
 
 def _matrix(column: pa.Array, words: int) -> np.ndarray:
@@ -141,24 +169,33 @@ def _segments(rows: np.ndarray, ring: Ring) -> np.ndarray:
     return rows.view(">u2").astype(np.uint64)
 
 
+def _reordered(rows: np.ndarray, order: int) -> np.ndarray:
+    """The fingerprints with their bits in another order, the same for all; order 0 leaves them."""
+    if not order:
+        return rows
+    places = np.random.default_rng(order).permutation(8 * rows.shape[1])
+    return np.ascontiguousarray(np.packbits(np.unpackbits(rows, axis=1)[:, places], axis=1))
+
+
 def _keys(batches: Iterable[pa.RecordBatch], ring: Ring) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _matrix(batch.column(0), ring.words)
-        values, n = _segments(rows, ring), ring.segments
-        for i in range(n):
-            following = (i + 1) % n
-            width = ring.cuts[following][1]
-            head = np.uint64(i) << np.uint64(58)
-            if ring.flips:
-                head = head | values[:, i] << np.uint64(width) | values[:, following]
-                made = [head, *(head ^ np.uint64(1 << bit) for bit in range(width))]
-            else:
-                made = [head | values[:, i]]
-            for number, keys in enumerate(made):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.astype(np.int64)), pa.array(np.full(len(rows), number == 0)), _binary(rows)],
-                    names=["bucket", "exact", "fp"],
-                )
+        rows, n = _matrix(batch.column(0), ring.words), ring.segments
+        for order in range(ring.orders):
+            values = _segments(_reordered(rows, order), ring)
+            for i in range(n):
+                following = (i + 1) % n
+                width = ring.cuts[following][1]
+                head = np.uint64(order * n + i) << np.uint64(56)
+                if ring.flips:
+                    head = head | values[:, i] << np.uint64(width) | values[:, following]
+                    made = [head, *(head ^ np.uint64(1 << bit) for bit in range(width))]
+                else:
+                    made = [head | values[:, i]]
+                for number, keys in enumerate(made):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.astype(np.int64)), pa.array(np.full(len(rows), number == 0)), _binary(rows)],
+                        names=["bucket", "exact", "fp"],
+                    )
 
 
 def _close(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
@@ -301,28 +338,93 @@ def links(distinct: DataFrame, ring: Ring, piece: int = PIECE) -> DataFrame:
     return rows.mapInArrow(lambda batches: _scan(batches, ring), "a binary, b binary")
 
 
+def _rooted(rows: DataFrame, ring: Ring) -> DataFrame:
+    """``(fp, low, root)`` of every different fingerprint; ``low`` is its smallest key, ``root`` the smallest fingerprint links lead to."""
+    distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
+    linked = components(links(distinct, ring)).withColumnRenamed("node", "fp")
+    return settle(distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, ring: Ring = RING) -> DataFrame:
     """``(<key>, fp, check, root, component)`` of every row.
 
     ``component`` is the smallest key that links lead to, ``root`` its smallest fingerprint.
     """
     rows = settle(fingerprints(docs, key, text, shingle, ring.words), "fingerprints")
-    distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
-    linked = components(links(distinct, ring)).withColumnRenamed("node", "fp")
-    rooted = settle(
-        distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted"
-    )
+    rooted = _rooted(rows, ring)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lowest, "root").select("fp", "root", "component")
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "check", "root", "component")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, ring: Ring = WIDE) -> DataFrame:
-    """One row of each group, the one with the smallest key; the columns of ``docs``."""
-    grouped = settle(group(docs, key, text, shingle, ring), "groups")
-    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "check", "fp")
-    kept = grouped.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
+def _alike(rows: np.ndarray, sets: list[np.ndarray], ring: Ring, alike: float) -> list[tuple[int, int]]:
+    """Links that connect as all pairs do whose fingerprints are near enough and whose sets are at least ``alike``."""
+    forest, found = _Forest(len(sets)), []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    rows = np.ascontiguousarray(rows)
+    for i in range(1, len(sets)):
+        near = _distance(rows[:i], rows[i : i + 1]) <= ring.threshold
+        near &= np.minimum(sizes[:i], sizes[i]) >= alike * np.maximum(sizes[:i], sizes[i])
+        for j in np.flatnonzero(near).tolist():
+            if forest.root(i) == forest.root(j):
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= alike * (sizes[i] + sizes[j] - common):
+                forest.join(i, j)
+                found.append((j, i))
+    return found
+
+
+def verified(texts: DataFrame, ring: Ring = WIDE, shingle: int = 5, alike: float = ALIKE, together: int = TOGETHER) -> DataFrame:
+    """Links ``(a, b)`` between the sets of ``texts (root, fp, same, text)``, one row a set, whose Jaccard similarity is at least ``alike``.
+
+    Only sets of one root are compared. A root with more than ``together`` bytes of
+    shingles is cut into pieces that meet pairwise in different tasks.
+    """
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column(3)):
+                held = np.unique(shingles(ascii_words(x.as_py()), shingle)).tobytes()
+                columns = [*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([held], pa.binary()), pa.array([len(held)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["root", "fp", "same", "held", "size"])
+
+    def compared(table: pa.Table) -> pa.Table:
+        names = table.column("same").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        pairs = _alike(_matrix(table.column("fp"), ring.words), sets, ring, alike)
+        return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())})
+
+    kind = "root binary, fp binary, same binary, held binary, size long"
+    rows = settle(texts.select("root", "fp", "same", "text").mapInArrow(hashed, kind), "shingles")
+    large = rows.groupBy("root").agg(F.sum("size").alias("size")).filter(F.col("size") > together)
+    large = settle(large.select("root", F.ceil(F.col("size") / together).cast("int").alias("pieces")), "large")
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        rows = rows.join(large, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("same"), F.col("pieces")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        rows = rows.withColumn("part", F.least("own", "other") * F.col("pieces") + F.greatest("own", "other"))
+    return rows.select("root", "part", "fp", "same", "held").groupBy("root", "part").applyInArrow(compared, "a binary, b binary")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, ring: Ring = WIDE, alike: float = ALIKE) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest key; the columns of ``docs``.
+
+    A group is connected by pairs whose different shingles have a Jaccard similarity of at least ``alike``.
+    """
+    rows = settle(fingerprints(docs, key, text, shingle, ring.words, once=True), "fingerprints")
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "check")
+    sets = rows.join(_rooted(rows, ring).select("fp", "root"), "fp")
+    sets = settle(sets.groupBy("same").agg(F.first("fp").alias("fp"), F.first("root").alias("root"), F.min(first).alias("first")), "sets")
+    several = sets.groupBy("root").count().filter(F.col("count") > 1).select("root")
+    asked = sets.join(several, "root").select("root", "fp", "same", F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
     own, check = F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash")
+    named = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_check"))
+    texts = docs.select(own, check, F.col(text).cast("string").alias("text")).join(asked, named).dropDuplicates(["same"])
+    linked = components(verified(texts, ring, shingle, alike)).withColumnRenamed("node", "same").withColumnRenamed("root", "head")
+    grouped = sets.join(linked, "same", "left").groupBy(F.coalesce("head", "same").alias("head")).agg(F.min("first").alias("first"))
+    kept = grouped.select(F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
     rows = docs.select(F.struct("*").alias("_row"), own, check)
-    chosen = rows.join(kept.distinct(), F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_check")), "left_semi")
+    chosen = rows.join(kept.distinct(), named, "left_semi")
     return chosen.dropDuplicates(["_own", "_hash"]).select("_row.*")
