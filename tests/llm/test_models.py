@@ -73,6 +73,19 @@ def test_language_id(spark, odd_docs, no_docs):
     assert language_id.predict(no_docs, dictionaries).count() == 0
 
 
+def test_language_id_of_very_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    dictionaries = language_id.fit(docs, F.lit(True))
+    langs = ("de", "en", "es", "fr")
+    texts = {x: " ".join(r.text for r in docs.filter(F.col("lang") == x).select("text").orderBy("doc_id").collect()) for x in langs}
+    rows = [(k, (texts[x] * 9)[:size], x) for x in langs for k, size in enumerate((1_000, 60_000, 800_000, 2_000_000))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict(frame, dictionaries).select("_row.lang", "_row.doc_id", "lang_pred", "score", "accepted").collect()
+    assert len(found) == len(rows) and all(r.accepted and r.lang_pred == r.lang for r in found)
+    scores = {(r.lang, r.doc_id): r.score for r in found}
+    assert all(scores[x, 3] > 0.5 * scores[x, 1] for x in langs)
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     rows = [(i, prose(i % 90, 40)) for i in range(200)] + [(900, None), (901, ""), (None, "x y"), (902, prose(7, 3000)), (902, prose(7, 3000)), (903, "Ünï ✓ new")]

@@ -9,7 +9,9 @@ Letters alone are encoded, in lower case, with single spaces between words.
 The dictionaries come from at most ``SAMPLE`` labelled rows per language, those
 with the smallest hashes of their keys, and hold at most ``DICTIONARY`` bytes
 each; at most ``LANGUAGES`` languages, the most frequent, are learnt. Whole
-texts are encoded.
+texts are encoded, in equal blocks of at most ``BLOCK`` bytes that each start from the
+dictionary alone, and the sizes of all blocks are added: so a dictionary's share in the
+size, and with it the margin, does not shrink with the length of the text.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; rows with a null language are never learnt from; repeated rows are
@@ -31,6 +33,7 @@ SAMPLE = 128
 DICTIONARY = 1 << 16
 LANGUAGES = 256
 LEVEL = 9
+BLOCK = 1 << 12
 MARGIN = 0.01  # share of the smallest size by which the next must be larger
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -80,6 +83,13 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> lis
     return made
 
 
+def blocks(content: bytes, block: int = BLOCK) -> list[bytes]:
+    """The bytes cut into as few blocks of nearly equal size as ``block`` allows."""
+    count = max(1, -(-len(content) // block))
+    cuts = [len(content) * i // count for i in range(count + 1)]
+    return [content[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def predict(
     docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, margin: float = MARGIN
 ) -> DataFrame:
@@ -96,8 +106,8 @@ def predict(
             if not compressors or not content:
                 rows.append((UNKNOWN, 0.0, False))
                 continue
-            content = f" {content} ".encode("utf-8", "replace")
-            sizes = np.array([len(c.compress(content)) for c in compressors], dtype=float)
+            parts = blocks(f" {content} ".encode("utf-8", "replace"))
+            sizes = np.array([sum(len(c.compress(part)) for part in parts) for c in compressors], dtype=float)
             best = int(sizes.argmin())
             gap = (np.delete(sizes, best).min() - sizes[best]) / sizes[best] if len(sizes) > 1 else 1.0
             rows.append((learnt[best][0], min(1.0, float(gap)), bool(gap >= margin)))
