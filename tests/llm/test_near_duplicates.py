@@ -185,3 +185,27 @@ def test_overlaps_of_nothing(odd_docs, no_docs, spark):
     assert decontaminate.overlaps(no_docs, bench).count() == 0
     assert decontaminate.overlaps(odd_docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(odd_docs, bench.limit(0)).count() == odd_docs.count()
+
+
+def leaks(spark, rows, items):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r for r in found.collect()}
+
+
+def test_overlaps_of_a_part_and_with_words_between(spark):
+    sizes, rows, expected = (30, 59, 120, 300), [], set()
+    items = [(k, prose(600 + k, n)) for k, n in enumerate(sizes)]
+    for k, n in enumerate(sizes):
+        words, body = items[k][1].split(), prose(640 + k, 200).split()
+        inserted = [*words[: n // 3], "added", *words[n // 3 : 2 * n // 3], "added", *words[2 * n // 3 :]]
+        dropped = [*words[: n // 2], *words[n // 2 + 1 :]]
+        for j, part in enumerate((words[: n * 48 // 100], inserted, dropped, words[5:18], words[5:11])):
+            rows.append((10 * k + j, " ".join([*body[:90], *part, *body[90:]])))
+            if j < 4:
+                expected.add((10 * k + j, k))
+    found = leaks(spark, rows, items)
+    assert set(found) == expected
+    for k, n in enumerate(sizes):
+        both = found[10 * k + 1, k]
+        assert (both.start, both.length, both.matches) == (90, n + 2, n)

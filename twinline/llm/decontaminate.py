@@ -4,7 +4,11 @@ A mask is a fixed pattern of token positions, some of which are ignored. The
 tokens under a mask are hashed at every position of the benchmark texts and of
 the documents; equal hashes are hits, which substitutions at ignored positions
 do not disturb. Around each hit the item is laid along the document and the
-agreeing positions are counted; an overlap with enough of them is reported.
+stretches that agree are found. Stretches of one item that follow each other on
+neighbouring diagonals, between which words were added or left out, are chained, the
+words between them counting as differences. A chain is an overlap when at
+least ``SHARE`` of its words agree, it has ``LEAST`` words or the whole of a shorter item, and it
+either covers ``COVER`` of the item or has ``ENOUGH`` agreeing words, however long the item.
 
 Benchmark texts shorter than the longest mask are hashed under the masks cut to
 their length and under all their positions.
@@ -36,7 +40,9 @@ MASKS = ("11111111", "110110110111", "1011101001111", "11101010010111")
 FILTER = 24
 LEAST = 8  # tokens an overlap must have, or the whole of a shorter item
 SHARE = 0.8  # share of agreeing positions in an overlap
-COVER = 0.5  # share of the item's tokens that must lie in the overlap
+COVER = 0.5  # share of the item's tokens that must lie in the overlap,
+ENOUGH = 13  # unless so many tokens agree
+STRETCH = 4  # agreeing tokens of a stretch that may be chained, or the whole of a shorter item
 
 
 def _offsets(mask: str) -> list[int]:
@@ -91,7 +97,7 @@ def _hit_table(batches, masks, table: np.ndarray | None) -> Iterator[pa.RecordBa
 _HITS = "row long, at int, seed long"
 
 
-def _overlaps(batches, least: int, share: float, cover: float) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches, least: int, share: float, cover: float, enough: int) -> Iterator[pa.RecordBatch]:
     """Verified overlaps of documents with the items laid at their diagonals."""
     known = Hashes()
     for batch in batches:
@@ -102,15 +108,18 @@ def _overlaps(batches, least: int, share: float, cover: float) -> Iterator[pa.Re
             best: dict[int, tuple] = {}
             for item in items:
                 words = known.of(plain_words(item["text"]))
+                stretches = []
                 for diagonal in item["diagonals"]:
                     first, last = max(0, -diagonal), min(len(words), len(doc) - diagonal)
                     if last <= first:
                         continue
                     same = doc[first + diagonal : last + diagonal] == words[first:last]
-                    a, b = _best_run(same, share)
-                    matches = int(same[a:b].sum())
-                    if b - a >= min(least, len(words)) and b - a >= cover * len(words) and matches >= share * (b - a):
-                        found = matches, -(first + diagonal + a), b - a
+                    for a, b in _runs(same, share, min(STRETCH, len(words))):
+                        stretches.append((first + diagonal + a, first + a, b - a, int(same[a:b].sum())))
+                for start, length, matches, span in _chains(stretches, len(words), share):
+                    whole = length >= min(least, len(words)) and matches >= share * span
+                    if whole and (length >= cover * len(words) or matches >= enough):
+                        found = matches, -start, length
                         if found > best.get(item["item_id"], (-1,)):
                             best[item["item_id"]] = found
             for item_id, (matches, start, length) in best.items():
@@ -132,6 +141,49 @@ def _best_run(same: np.ndarray, share: float) -> tuple[int, int]:
     return start, end
 
 
+def _runs(same: np.ndarray, share: float, least: int) -> Iterator[tuple[int, int]]:
+    """The best stretch, then the best of what is left on either side, with ``least`` agreements or more."""
+    left = [(0, len(same))]
+    while left:
+        low, high = left.pop()
+        if high - low < least or np.count_nonzero(same[low:high]) < least:
+            continue
+        a, b = _best_run(same[low:high], share)
+        a, b = low + a, low + b
+        if np.count_nonzero(same[a:b]) >= least:
+            yield a, b
+        if b > a:
+            left += [(low, a), (b, high)]
+
+
+def _chains(stretches: list[tuple[int, int, int, int]], size: int, share: float) -> Iterator[tuple[int, int, int, int]]:
+    """``(start, length, matches, span)`` of the best chain that ends with each of the ``(start, item start, length, matches)``.
+
+    ``start`` and ``length`` are the document's; ``span`` counts the words of the stretches and the longer side of each gap.
+    """
+    made: list[tuple] = []
+    first, reach = 0, size * (1 - share) / share  # a longer gap costs more than an item can gain
+    stretches = sorted(stretches)
+    for start, at, length, matches in stretches:
+        while stretches[first][0] + size + reach < start:
+            first += 1
+        best, before = matches - share * length, None
+        for k in range(first, len(made)):
+            low, end, end_at, m, n = made[k]
+            if not (stretches[k][0] < start and stretches[k][1] < at and end < start + length and end_at < at + length):
+                continue
+            common = max(end - start, end_at - at, 0)
+            gap = max(start - end, at - end_at, 0)
+            if common >= matches:
+                continue
+            score = (m + matches - common) - share * (n + length - common + gap)
+            if score > best and m - share * n > share * gap:
+                best, before = score, (low, m + matches - common, n + length - common + gap)
+        low, m, n = before or (start, matches, length)
+        made.append((low, start + length, at + length, m, n))
+        yield low, start + length - low, m, n
+
+
 def overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -143,6 +195,7 @@ def overlaps(
     least: int = LEAST,
     share: float = SHARE,
     cover: float = COVER,
+    enough: int = ENOUGH,
 ) -> DataFrame:
     """Contaminated pairs ``(<key>, check, item_id, start, length, matches, share)``, the best overlap of each.
 
@@ -179,7 +232,7 @@ def overlaps(
     laid = settle(laid.groupBy("row").agg(F.collect_list(F.struct("item_id", "text", "diagonals")).alias("items")), "laid")
     found = body.join(laid, "row").dropDuplicates(["row"]).select("key", "check", "text", "items")
     pairs = found.mapInArrow(
-        lambda batches: _overlaps(batches, least, share, cover),
+        lambda batches: _overlaps(batches, least, share, cover, enough),
         "key long, check long, item_id long, start int, length int, matches int, share double",
     )
     return pairs.withColumnRenamed("key", key)
