@@ -209,3 +209,33 @@ def test_overlaps_of_a_part_and_with_words_between(spark):
     for k, n in enumerate(sizes):
         both = found[10 * k + 1, k]
         assert (both.start, both.length, both.matches) == (90, n + 2, n)
+
+
+def test_masks_hit_whatever_is_substituted():
+    for n in range(5, 31):
+        made = decontaminate._masks(decontaminate.MASKS, [n])
+        most = {"": 0}  # agreements without a hit, by the last four positions
+        for _ in range(n):
+            new = {}
+            for last, count in most.items():
+                for bit in "01":
+                    tail = last + bit
+                    if not any(all(tail[len(tail) - span + i] == "1" for i in offsets) for _, offsets, span in made if span <= len(tail)):
+                        new[tail[-4:]] = max(new.get(tail[-4:], 0), count + int(bit))
+            most = new
+        assert max(most.values()) < decontaminate.SHARE * n
+
+
+def test_overlaps_with_random_substitutions(spark):
+    rng, items, rows = random.Random(6), [], []
+    for n in (6, 8, 9, 10, 11, 12, 14, 15, 20, 25, 40, 59, 200):
+        for j in range(10):
+            key = 1000 * n + j
+            words, body = prose(key, n).split(), prose(key + 500, 80).split()
+            items.append((key, " ".join(words)))
+            places = range(j % 5, n, 5) if j < 5 else rng.sample(range(n), n // 5)
+            for i in list(places)[: n // 5]:
+                words[i] = "swapped"
+            rows.append((key, " ".join([*body[:40], *words, *body[40:]])))
+    found = leaks(spark, rows, items)
+    assert {(i, i) for i, _ in rows} <= set(found)

@@ -10,8 +10,9 @@ words between them counting as differences. A chain is an overlap when at
 least ``SHARE`` of its words agree, it has ``LEAST`` words or the whole of a shorter item, and it
 either covers ``COVER`` of the item or has ``ENOUGH`` agreeing words, however long the item.
 
-Benchmark texts shorter than the longest mask are hashed under the masks cut to
-their length and under all their positions.
+The masks look at four tokens. Whatever tokens are substituted, a stretch of five or more in
+which ``SHARE`` agree has a hit under one of them. Benchmark texts shorter than the longest
+mask are hashed under all their positions as well.
 
 Documents are searched where they lie. A bit table of fixed size, ``2 ** FILTER``
 bits made from the benchmark's hashes, drops most positions first; what is left
@@ -36,7 +37,7 @@ from twinline.llm.words import Hashes, plain_words
 from twinline.session import settle
 
 #: Masks over token positions: 1 is looked at, 0 ignored.
-MASKS = ("11111111", "110110110111", "1011101001111", "11101010010111")
+MASKS = ("1111", "11101", "11011", "10111")
 FILTER = 24
 LEAST = 8  # tokens an overlap must have, or the whole of a shorter item
 SHARE = 0.8  # share of agreeing positions in an overlap
@@ -114,6 +115,8 @@ def _overlaps(batches, least: int, share: float, cover: float, enough: int) -> I
                     if last <= first:
                         continue
                     same = doc[first + diagonal : last + diagonal] == words[first:last]
+                    if last - first == len(words) and same.sum() >= share * len(words):  # the stretches may leave out its ends
+                        stretches.append((diagonal, 0, len(words), int(same.sum())))
                     for a, b in _runs(same, share, min(STRETCH, len(words))):
                         stretches.append((first + diagonal + a, first + a, b - a, int(same[a:b].sum())))
                 for start, length, matches, span in _chains(stretches, len(words), share):
