@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import binary_packing, chat, decontaminate, language_id, projected_tree, separator_scan, simhash, suffix_tree, toxicity, warc_store
+from twinline.llm import (
+    binary_packing,
+    chat,
+    collocations,
+    decontaminate,
+    language_id,
+    pieces,
+    projected_tree,
+    separator_scan,
+    simhash,
+    suffix_tree,
+    toxicity,
+    warc_store,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +142,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = language_id.predict(docs.select("doc_id", "text"), dictionaries)
     predicted = predicted.select("_row.doc_id", "lang_pred", "score", "accepted")
     return predicted.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows)).withColumnRenamed("key", "vec_id")
+
+
+@query(
+    r"""
+    WITH t AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+         p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+         w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS words FROM p),
+         total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+         f AS (SELECT lang, array_to_string(words[i : i + k - 1], ' ') AS phrase, k, count(*) AS f
+               FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) AS ks(k))
+               GROUP BY ALL HAVING count(*) >= 100),
+         c AS (SELECT lang, phrase, k AS words, f AS a, string_split(phrase, ' ') AS parts FROM f WHERE k > 1),
+         cut AS (SELECT c.*, k, array_to_string(parts[1 : k], ' ') AS head, array_to_string(parts[k + 1 : words], ' ') AS tail
+                 FROM c, range(1, 5) AS ks(k) WHERE k < words),
+         s AS (SELECT cut.lang, cut.phrase, a, n, cut.k, h.f AS l, t.f AS r, (1000 * a::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+               FROM cut JOIN f AS h ON h.lang = cut.lang AND h.phrase = head JOIN f AS t ON t.lang = cut.lang AND t.phrase = tail
+               JOIN total ON total.lang = cut.lang),
+         best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+         kept AS (SELECT best.* FROM best WHERE NOT EXISTS (
+                    SELECT 1 FROM c WHERE c.lang = best.lang AND c.a >= best.a AND c.phrase <> best.phrase
+                    AND contains(' ' || c.phrase || ' ', ' ' || best.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM kept QUALIFY rank <= 2000
+    """
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    covered = F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "_row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode(pieces.decode("ids"), "UTF-8"), 256).alias("decoded_sha256"),
+        covered.alias("covered_bytes"),
+    )
