@@ -82,11 +82,12 @@ def test_pieces_of_a_normalised_text_reach_into_the_source():
 
 
 def test_rows(spark, odd_docs, library, partitions):
-    got = pieces.encode(odd_docs).withColumn("decoded", pieces.decode("ids")).select("_row.doc_id", "_row.text", "_row.key", "ids", "ends", "decoded").collect()
+    encoded = pieces.encode(odd_docs, decoded=True).withColumn("again", pieces.decode("ids"))
+    got = encoded.select("_row.doc_id", "_row.text", "_row.key", "ids", "ends", "decoded", "again").collect()
     assert len(got) == odd_docs.count()
     for r in got:
         want = library.encode(r.text or "")
-        assert r.ids == want and r.decoded == library.decode(want) and r.key == "x"
+        assert r.ids == want and r.decoded == r.again == library.decode(want) and r.key == "x"
         assert (r.ends[-1] if r.ends else 0) == len((r.text or "").encode()) and r.ends == sorted(r.ends)
 
 

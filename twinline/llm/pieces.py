@@ -37,15 +37,16 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHED_PARTS = 400_000
+CACHED_PARTS = 250_000
 SHORT = 40  # characters of a part whose pairs are searched in a list
 NEVER = float("-inf")
 LONGEST_CACHED = 64  # characters
-BATCH_BYTES = 1 << 24  # of texts whose arrays are handed on together
+BATCH = 1 << 20  # characters of texts whose arrays are handed on together
 # Kinds of pieces and of models in the file's format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PAIRS = 2
@@ -392,15 +393,19 @@ def vocabulary(path: str) -> Vocabulary:
 # On DataFrames
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """All rows as ``(_row, ids, ends)``: ``_row`` is the row itself; piece ``i`` covers the bytes from ``ends[i - 1]``, or 0, to ``ends[i]``."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """All rows as ``(_row, ids, ends)``: ``_row`` is the row itself; piece ``i`` covers the bytes from ``ends[i - 1]``, or 0, to ``ends[i]``.
+
+    ``decoded`` adds the text that the ids decode to, in the same pass.
+    """
     path = path or default_path()
-    kind = pa.list_(pa.int32())
 
-    def made(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    def made(rows: list[tuple[np.ndarray, np.ndarray]], words: Vocabulary) -> list[pa.Array]:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(ids) for ids, _ in rows])]), pa.int32())
         columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[i] for r in rows]), pa.int32())) for i in (0, 1)]
-        return pa.StructArray.from_arrays(columns, fields=[pa.field("ids", kind), pa.field("ends", kind)])
+        return columns + ([pa.array([words.decode(ids.tolist()) for ids, _ in rows], pa.string())] if decoded else [])
+
+    names = ["_row", "ids", "ends"] + ["decoded"] * decoded
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
@@ -410,14 +415,13 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                 content = value.as_py()
                 rows.append(words.encode(content))
                 held += len(content or "")
-                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    part = made(rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), part.field(0), part.field(1)], ["_row", "ids", "ends"])
+                if held >= BATCH or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *made(rows, words)], names)
                     rows, held, first = [], 0, i + 1
 
     rows = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, ends array<int>"
-    return rows.mapInArrow(encoded, schema)
+    more = T.StructType.fromDDL("ids array<int>, ends array<int>" + ", decoded string" * decoded)
+    return rows.mapInArrow(encoded, T.StructType([rows.schema["_row"], *more]))
 
 
 def decode(ids: Column | str, path: str | None = None) -> Column:

@@ -180,13 +180,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     covered = F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "_row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(listed, "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(F.encode(pieces.decode("ids"), "UTF-8"), 256).alias("decoded_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
         covered.alias("covered_bytes"),
     )
