@@ -26,7 +26,15 @@ def by_chunks(weights, budget, chunk):
     table = pd.DataFrame({"batch": np.arange(len(weights)), "weight": weights})
     table["chunk"] = table["batch"] // chunk
     pieces = pd.concat(shards._summarise(part, budget) for _, part in table.groupby("chunk"))
-    entries = pd.concat(shards._chain(iter([pieces.iloc[:3], pieces.iloc[3:]]), budget))
+    rounds, fan = [pieces.assign(group=pieces["chunk"] // 3)], 3
+    while rounds[-1]["chunk"].max() > 0:
+        up = pd.concat(shards._composed(part, budget) for _, part in rounds[-1].groupby("group"))
+        assert (up["upto"].groupby(up["chunk"]).is_monotonic_increasing).all()
+        rounds.append(up.assign(group=up["chunk"] // fan))
+    entries = pd.DataFrame([(0, 0, 0)], columns=["chunk", "shard_in", "carry_in"])
+    for members in rounds[-2::-1]:
+        given = members.merge(entries.rename(columns={"chunk": "group"}), on="group")
+        entries = pd.concat(shards._chain(part, budget) for _, part in given.groupby("group"))
     runs = pd.concat(shards._cut(part, budget) for _, part in table.merge(entries, on="chunk").groupby("chunk"))
     out = np.full(len(weights), -1)
     for shard, first, last in runs.itertuples(index=False):
@@ -46,7 +54,7 @@ def test_shard_by_weight(spark, partitions, chunk, budget):
     rng = random.Random(chunk)
     rows = [(i, i // 4, rng.choice([0, 3, 9, 50])) for i in range(600)]
     df = spark.createDataFrame(rows, "row_idx long, batch_id long, n int")
-    got = shards.shard_by_weight(df, shards.batch_weights(df, F.col("n")), budget, chunk=chunk)
+    got = shards.shard_by_weight(df, shards.batch_weights(df, F.col("n")), budget, chunk=chunk, fan=2, most=3)
     weights = [sum(n for _, b, n in rows if b == batch) for batch in range(150)]
     expected = greedy(weights, budget)
     assert {r.row_idx: r.shard_id for r in got.collect()} == {i: expected[b] for i, b, _ in rows}
@@ -58,6 +66,35 @@ def test_missing_batches_are_skipped(spark):
     assert {r.row_idx: r.shard_id for r in got.collect()} == {0: 0, 1: 0, 2: 1}
 
 
+def test_summaries_stay_short():
+    """A composed summary has no more rows than batches fit into a budget."""
+    rng = np.random.default_rng(1)
+    table = pd.DataFrame({"batch": np.arange(5_000), "weight": rng.integers(1, 9, 5_000)})
+    table["chunk"] = table["batch"] // 50
+    pieces = pd.concat(shards._summarise(part, 300) for _, part in table.groupby("chunk"))  # a budget above a chunk
+    assert len(shards._composed(pieces.assign(group=0), 300)) <= 302
+
+
+def test_no_key_of_the_lookup_is_crowded(spark, partitions):
+    """All heavy batches lie in one region: their segments are single batches, the others are long."""
+    runs = [(i, 10 * i, 10 * i + 9_999) if i == 0 else (i, 9_999 + i, 9_999 + i) for i in range(500)] + [(500, 10_499, 60_000)]
+    segments = spark.createDataFrame(runs, shards.SEGMENT)
+    heavy, span, lookup = shards.interval_index(segments, 8)
+    assert heavy.count() > 0
+    assert lookup.groupBy("_key").count().agg(F.max("count")).first()[0] <= 8
+    assert lookup.count() <= 3 * 501 + 60_001 // 8 + span
+    df = spark.range(60_001).withColumnRenamed("id", "batch_id")
+    weights = df.select(F.col("batch_id").alias("batch"), F.when(F.col("batch_id").between(9_999, 10_497), 100).otherwise(1).cast("long").alias("weight"))
+    got = {r.batch_id: r.shard_id for r in shards.shard_by_weight(df, weights, 100, chunk=5_000, fan=4, most=8).collect()}
+    assert [got[i] for i in range(60_001)] == greedy([100 if 9_999 <= i <= 10_497 else 1 for i in range(60_001)], 100)
+
+
+def test_no_stage_has_one_task_on_data(spark):
+    df = spark.range(100).withColumnRenamed("id", "batch_id")
+    plan = shards.shard_by_weight(df, shards.batch_weights(df, F.lit(1)), 7, chunk=5)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "RoundRobin" not in plan
+
+
 def test_budget_must_be_positive(spark):
     with pytest.raises(ValueError):
         shards.shard_by_weight(spark.range(1), spark.range(1), 0)

@@ -80,7 +80,7 @@ def test_tokenize_with_keeps_failing_rows_apart(spark):
         return [[len(t)] for t in batch]
 
     df = spark.createDataFrame([(0, "one"), (1, "bad"), (2, "three")], "i int, t string").coalesce(1)
-    out = tk.tokenize_with(df, "t", fussy)
+    out = tk.ids_with(df, "t", fussy)
     assert out.schema["ids"].dataType == T.ArrayType(T.IntegerType())
     assert column(out, "ids") == [[3], None, [5]]
     assert [r.ids_error for r in out.filter(F.col("ids").isNull()).collect()] == ["ValueError: bad text"]
@@ -93,9 +93,9 @@ def test_tokenize_with_stops_when_the_tokenizer_is_at_fault(spark, error):
 
     df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "i int, t string").coalesce(1)
     with pytest.raises(Exception, match="no vocabulary|every text"):
-        tk.tokenize_with(df, "t", broken).collect()
+        tk.ids_with(df, "t", broken).collect()
 
 
 def test_tokenize_with_null_text(spark):
     df = spark.createDataFrame([(0, None), (1, "ab")], "i int, t string").coalesce(1)
-    assert column(tk.tokenize_with(df, "t", lambda batch: [[len(t)] for t in batch]), "ids") == [None, [2]]
+    assert column(tk.ids_with(df, "t", lambda batch: [[len(t)] for t in batch]), "ids") == [None, [2]]

@@ -99,7 +99,7 @@ def roundtrip_audit(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def tokenize_with(
+def ids_with(
     df: DataFrame, column: str, fn: Callable[[list[str]], list[list[int]]], out: str = "ids"
 ) -> DataFrame:
     """Add ids from a user's batch tokenizer, and its error in ``<out>_error``; only the text column goes to Python.

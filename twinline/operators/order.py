@@ -10,7 +10,7 @@ before they are sorted: sampling for the sort then does not run the input again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from twinline.session import settle
 
+DIGIT = 16  # bits that one pass of a selection counts
+FEW = 10_000  # rows that a selection looks at themselves
+
+
 def index_rows(
     df: DataFrame, order: Sequence[str], within: str | None = None, column: str = "row_idx"
 ) -> DataFrame:
@@ -99,16 +103,50 @@ def running_max(df: DataFrame, key: str, value: Column, column: str, by: str | N
 def key_at_rank(df: DataFrame, key: str, rank: Callable[[int], int], tie: Sequence[str] = ()) -> tuple | None:
     """The key, with its tie-breakers, of the row at a rank; None when there are fewer rows.
 
-    ``rank`` tells the rank, counted from 1, for a given number of rows. The keys
-    are numbered in order, and one row comes to the driver.
+    ``rank`` tells the rank, counted from 1, for a given number of rows. The place is
+    found digit by digit: rows are counted by ``DIGIT`` bits of their key at a time, the
+    digit that the rank falls into is chosen, and the next pass counts only rows with it.
+    Once at most ``FEW`` rows share all digits so far, they are looked at themselves.
+    Nothing is sorted or shuffled but counts of digits. Keys are whole numbers or strings; rows without a key do not count.
     """
-    keys = [key, *tie]
-    numbered = index_rows(settle(df.select(*keys).dropna(subset=[key]), "keys"), keys, column="_rank")
-    total = numbered.count()
+    columns = [key, *tie]
+    rows = settle(df.select(*columns).dropna(subset=[key]), "keys")
+    total = rows.count()
     k = rank(total)
     if not 1 <= k <= total:
         return None
-    return tuple(numbered.filter(F.col("_rank") == k - 1).select(*keys).first())
+    for digits in (_digits(rows, c) for c in columns):
+        for digit in digits:
+            if total <= FEW:
+                break
+            counts = rows.groupBy(digit.alias("digit")).count().orderBy("digit").collect()  # at most 2 ** DIGIT, and NULL
+            for chosen, n in counts:
+                if k <= n:
+                    break
+                k -= n
+            rows, total = rows.filter(digit.eqNullSafe(F.lit(chosen))), n
+    same = rows.orderBy(*columns).limit(k) if total > FEW else rows
+    return sorted((tuple(r) for r in same.collect()), key=lambda r: [(v is not None, v.encode() if isinstance(v, str) else v) for v in r])[k - 1]
+
+
+def _digits(rows: DataFrame, column: str) -> Iterator[Column]:
+    """Expressions whose values, one after the other, order a column: its bits or bytes from the front."""
+    if rows.schema[column].dataType.typeName() == "string":
+        longest = rows.agg(F.max(F.octet_length(column))).first()[0] or 0
+        inside = F.hex(F.encode(column, "UTF-8"))
+        width = DIGIT // 4
+        for at in range(0, 2 * longest, width):
+            yield F.substr(inside, F.lit(at + 1), F.lit(width))
+        return
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return
+    if not isinstance(low, int):
+        raise TypeError(f"{column} is neither a whole number nor a string")
+    bits = (high - low).bit_length()
+    above = F.col(column).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    for shift in range(max(0, -(-bits // DIGIT) - 1) * DIGIT, -1, -DIGIT):
+        yield F.floor(above / F.lit(2**shift).cast("decimal(20,0)")) if bits >= 63 else F.shiftright(F.col(column) - F.lit(low), shift)
 
 
 def cap_rows(df: DataFrame, k: int, key: str = "row_idx") -> DataFrame:
@@ -134,3 +172,36 @@ def length_rank(
 def length_sort(df: DataFrame, length: Column, key: str = "row_idx") -> DataFrame:
     """Sort by length, shortest first, with the row order as the tie-break."""
     return df.withColumn("length", length).sort("length", key)
+
+
+def part_order(path: str) -> Column:
+    """Name order, but with the numbers of Spark's part files compared as numbers."""
+    return F.regexp_replace(F.col(path), r"/part-(\d{5})-", "/part-0$1-")
+
+
+def number_files(df: DataFrame, column: str = "pos") -> DataFrame:
+    """Number the rows 0, 1, 2, … of a scan of files, by file name and place in the file.
+
+    One pass counts the rows of every file split. A row's number is the count in
+    earlier splits plus its place in its own, so no rows are sorted, moved or
+    written. Both passes must see the same splits: a row outside its split stops the job.
+    Rows that a split has lost since then are not seen here; :func:`zip_rows` finds them missing.
+    """
+    placed = df.select(
+        *df.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    splits = placed.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    # One row per file split: Spark's own listing holds as many.
+    earlier = W.orderBy(part_order("_path"), "_block").rowsBetween(W.unboundedPreceding, -1)
+    layout = settle(splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "layout")
+    at = F.col("_seq") - F.col("_first")
+    moved = F.raise_error(F.lit("file splits moved between the passes; fix spark.sql.files.minPartitionNum"))
+    inside = F.col("_first").isNotNull() & at.between(0, F.col("_n") - 1)
+    numbered = placed.join(layout, ["_path", "_block"], "left")
+    return numbered.select(F.when(inside, F.col("_before") + at).otherwise(moved).alias(column), *df.columns)
+
+
+def number_rows(df: DataFrame, column: str = "pos") -> DataFrame:
+    """Number the rows 0, 1, 2, … of any dataset in its own order, that of its partitions; the rows are written once."""
+    return number_files(settle(df, "rows"), column)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinline.operators.order import number_rows
 from twinline.session import settle
 
 RAGGED = ("drop_batch", "truncate", "error")
@@ -70,9 +71,34 @@ def check_even(counts: DataFrame, ragged: str) -> None:
         raise ValueError("paired files differ in their number of lines")
 
 
-def zip_rows(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    """Put two datasets with the same keys side by side."""
-    return a.join(b, key)
+def zip_rows(
+    a: DataFrame, b: DataFrame, key: str | None = None, ragged: str = "truncate", numbered: Callable[[DataFrame, str], DataFrame] = number_rows
+) -> DataFrame:
+    """Put two datasets side by side: row by row, or by a key that both hold once.
+
+    Without a key the i-th row of ``a`` meets the i-th row of ``b``, whatever they
+    hold, so null and repeated ids are kept. ``truncate`` keeps as many rows as both
+    have, ``error`` raises when their numbers differ. The order is that of the
+    partitions, or of the files when ``numbered`` is ``number_files`` and both are scans of files.
+    A row that is gone when the rows are read again stops the job. Columns of ``b`` must have other names than those of ``a``.
+    """
+    if key is not None:
+        return a.join(b, key)
+    if ragged not in ("truncate", "error"):
+        raise ValueError("ragged must be truncate or error")
+    clash = set(a.columns) & set(b.columns)
+    if clash:
+        raise ValueError(f"both datasets hold {sorted(clash)}")
+    left, right = numbered(a, "_pos"), numbered(b, "_pos").withColumnRenamed("_pos", "_at")
+    n, m = left.count(), right.count()
+    if ragged == "error" and n != m:
+        raise ValueError(f"the datasets hold {n} and {m} rows")
+    kept = min(n, m)
+    left, right = left.filter(F.col("_pos") < kept), right.filter(F.col("_at") < kept)
+    both = left.join(right, F.col("_pos") == F.col("_at"), "full")
+    lost = F.raise_error(F.lit("a dataset has lost rows between the passes")).cast("boolean")
+    there = F.when(F.col("_pos").isNotNull() & F.col("_at").isNotNull(), True).otherwise(lost)
+    return both.filter(there).select(*a.columns, *b.columns)
 
 
 def concat(parts: Sequence[DataFrame]) -> DataFrame:

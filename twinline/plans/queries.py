@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinline.functions import text as tx
 from twinline.functions import tokens as tk
-from twinline.operators import batches, filters, order, pairing, scores, shards, splits, stats, traces
+from twinline.operators import batches, filters, order, pairing, scores, shards, splits, stats, traces, user_map
 from twinline.plans import flows, inputs, sql
 from twinline.plans.registry import query
 from twinline.schemas import NUMBERED_PAIRS
@@ -85,6 +85,30 @@ def scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.split_sides(shard_files.read_pairs(spark, path))
 
 
+LOST = "CASE WHEN row_idx % 5 = 0 THEN 'damaged' WHEN row_idx % 7 = 0 THEN 'no id' WHEN row_idx % 9 = 0 THEN 'no translation' END"
+
+
+@query(f"""
+WITH {sql.NUMBERED}, marked AS (SELECT *, {LOST} AS reason FROM numbered)
+SELECT reason, CASE WHEN reason IS NULL THEN row_idx::VARCHAR END AS id, CASE WHEN reason IS NULL THEN src END AS src,
+       CASE WHEN reason IS NULL THEN tgt END AS tgt, count(*) AS n
+FROM marked GROUP BY ALL""")
+def scan_damaged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of which some are cut, some hold a wrongly typed translation, and some lack a field."""
+    rows, path = inputs.numbered_pairs(spark, sf_dir), new_path(spark, "damaged-pairs")
+    at, line = F.col("row_idx"), F.to_json(F.struct("id", "translation"))
+    cut = F.substr(line, F.lit(1), F.length(line) - 2)
+    typed = F.to_json(F.struct("id", F.lit("none").alias("translation")))
+    bad = F.when(at % 10 == 0, cut).when(at % 5 == 0, typed).when(at % 7 == 0, F.to_json(F.struct("translation")))
+    bad = bad.when(at % 9 == 0, F.to_json(F.struct("id")))
+    rows.select(F.coalesce(bad, line).alias("value")).write.text(path)
+    good, damaged = shard_files.scan_pairs(spark, path)
+    nothing = F.lit(None).cast("string")
+    good = tx.split_sides(good).select(nothing.alias("reason"), "id", "src", "tgt")
+    damaged = damaged.select(F.array_join("reasons", ",").alias("reason"), *(nothing.alias(c) for c in ("id", "src", "tgt")))
+    return good.union(damaged).groupBy("reason", "id", "src", "tgt").agg(F.count("*").alias("n"))
+
+
 def _row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.split_by_shard(shards.shard_by_rows(inputs.numbered_pairs(spark, sf_dir), SHARD_ROWS, BATCH))
 
@@ -126,6 +150,11 @@ def read_damaged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shard_files.write_shards(rows.filter(F.col("shard_id") != 2), out)
     text = rows.filter(F.col("shard_id") == 2).select(F.concat_ws(",", "row_idx", "translation.src").alias("value"))
     text.coalesce(1).write.text(f"{out}/split=train/shard_id=2")
+    return _good_and_bad(spark, out)
+
+
+def _good_and_bad(spark: SparkSession, out: str) -> DataFrame:
+    """Pairs of the good shard files, and the shards of the damaged ones."""
     verdicts = shard_files.verify_shards(spark, out, NUMBERED_PAIRS)
     good = shard_files.read_shards(spark, out, NUMBERED_PAIRS, verdicts=verdicts)
     good = good.groupBy("split", "shard_id").agg(F.count("translation.tgt").alias("pairs"), F.lit(0).alias("damaged"))
@@ -136,6 +165,20 @@ def read_damaged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.union(bad.agg(F.lit(0).cast("long").alias("pairs"), F.lit(1).alias("damaged")))
 
 
+@query(f"""
+WITH {SHARDED}
+SELECT split, shard_id, count(*) FILTER (shard_id <> 1) AS pairs, (shard_id = 1)::INT AS damaged
+FROM sharded GROUP BY ALL""")
+def read_manifest_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards with a manifest, of which one file was replaced by a sound file of other rows, and one file more lies there."""
+    out, rows = new_path(spark, "shards"), _row_shards(spark, sf_dir)
+    shard_files.write_shards(rows, out, manifest=True)
+    other = rows.filter("shard_id = 1").drop("split", "shard_id").limit(3)
+    other.coalesce(1).write.mode("overwrite").parquet(f"{out}/split=train/shard_id=1")
+    other.coalesce(1).write.mode("append").parquet(f"{out}/split=val/shard_id=0")
+    return _good_and_bad(spark, out)
+
+
 @query(f"WITH {SHARDED} SELECT split, row_idx, row_idx::VARCHAR AS id, src, tgt FROM sharded")
 def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = new_path(spark, "published")
@@ -143,6 +186,15 @@ def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.split_sides(spark.read.parquet(target)).select("split", "row_idx", "id", "src", "tgt")
 
 
+@query(f"WITH {SHARDED} SELECT split, row_idx, row_idx::VARCHAR AS id, src, tgt FROM sharded")
+def publish_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published in one commit, beside what a failed try has left."""
+    target, rows = new_path(spark, "published"), _written_shards(spark, sf_dir)
+    rows.drop("shard_id").limit(5).write.partitionBy("split").parquet(f"{target}/data-failed")
+    shard_files.publish(rows, target, manifest=True)
+    return tx.split_sides(shard_files.read_published(spark, target, NUMBERED_PAIRS)).select("split", "row_idx", "id", "src", "tgt")
+
+
 # --- Joins and concatenation -------------------------------------------------------------------
 
 
@@ -174,9 +226,26 @@ sft AS (
 
 @query(f"WITH {SFT_ROWS} SELECT id, text, prompt FROM sft")
 def zip_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = tx.split_sides(inputs.numbered_pairs(spark, sf_dir))
+    """Texts and prompts written apart, in row order, and put side by side by their places in the files."""
+    pairs = tx.split_sides(inputs.numbered_pairs(spark, sf_dir)).sort("row_idx")
     full = pairs.select("id", tx.sft_text("src", "tgt").alias("text"))
-    return pairing.zip_rows(full, full.select("id", tx.blank_answer("text").alias("prompt")))
+    texts, prompts = settle(full, "texts"), settle(full.select(tx.blank_answer("text").alias("prompt")), "prompts")
+    return pairing.zip_rows(texts, prompts, ragged="error", numbered=order.number_files)
+
+
+@query(f"""
+WITH {sql.NUMBERED},
+a AS (SELECT row_idx, CASE WHEN row_idx % 3 > 0 THEN (row_idx // 4)::VARCHAR END AS id, src FROM numbered),
+b AS (SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, CASE WHEN row_idx % 2 = 0 THEN (row_idx // 3)::VARCHAR END AS other, tgt
+      FROM numbered WHERE row_idx % 5 > 0)
+SELECT row_idx, id, src, other, tgt FROM a JOIN b USING (row_idx)""")
+def zip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets of different length, with repeated and null ids."""
+    rows = inputs.numbered_turns(spark, sf_dir).sort("row_idx")
+    at = F.col("row_idx")
+    a = rows.select("row_idx", F.when(at % 3 > 0, order.int_div("row_idx", 4).cast("string")).alias("id"), "src")
+    b = rows.filter(at % 5 > 0).select(F.when(at % 2 == 0, order.int_div("row_idx", 3).cast("string")).alias("other"), "tgt")
+    return pairing.zip_rows(a, b)
 
 
 @query(f"WITH {SHARDED} SELECT split, shard_id, row_idx FROM sharded")
@@ -402,10 +471,50 @@ WITH {sql.TURNS}
 SELECT conv_id, turn, {sql.joined("list_transform(string_split(tgt, ' '), lambda w: length(w))")} AS ids FROM turns""")
 def map_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.turns(spark, sf_dir).select("conv_id", "turn", "tgt")
-    sized = tk.tokenize_with(rows, "tgt", lambda texts: [[len(w) for w in t.split(" ")] for t in texts])
+    sized = tk.ids_with(rows, "tgt", lambda texts: [[len(w) for w in t.split(" ")] for t in texts])
     return sized.select("conv_id", "turn", joined("ids").alias("ids"))
 
 
+def _tokenized(batch: dict[str, list]) -> dict[str, list]:
+    """A user's function: whole token rows; it refuses some rows, drops some and makes two of some."""
+    out: dict[str, list] = {name: [] for name in ("conv_id", "turn", "part", "input_ids", "attention_mask", "labels")}
+    for conv_id, turn, src, tgt in zip(*(batch[c] for c in ("conv_id", "turn", "src", "tgt"))):
+        at = conv_id + turn
+        if at % 7 == 0:
+            raise ValueError("refused")
+        if at % 5 == 0:
+            continue
+        sides = [[b + 3 for b in text.encode()][: WIDTH - 1] + [1] for text in (src, tgt)]
+        for part, (ids, labels) in enumerate([sides, sides[::-1]] if at % 3 == 0 else [sides]):
+            fill = WIDTH - len(ids)
+            row = conv_id, turn, part, ids + [0] * fill, [1] * len(ids) + [0] * fill, labels + [-100] * (WIDTH - len(labels))
+            for name, value in zip(out, row):
+                out[name].append(value)
+    return out
+
+
+def _tokenized_sql(part: int, ids: str, labels: str, where: str) -> str:
+    cut = sql.ids(ids, WIDTH)
+    ones = f"list_transform({cut}, lambda i: 1)"
+    return f"""
+SELECT conv_id, turn, {part}::VARCHAR AS part, {sql.joined(sql.pad(cut, WIDTH, 0))} AS input_ids, {sql.joined(sql.pad(ones, WIDTH, 0))} AS attention_mask,
+       {sql.joined(sql.pad(sql.ids(labels, WIDTH), WIDTH, -100))} AS labels, NULL::VARCHAR AS error
+FROM turns WHERE (conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 5 <> 0 AND {where}"""
+
+
+@query(f"""
+WITH {sql.TURNS}
+{_tokenized_sql(0, "src", "tgt", "true")} UNION ALL {_tokenized_sql(1, "tgt", "src", "(conv_id + turn) % 3 = 0")} UNION ALL
+SELECT conv_id, turn, NULL, NULL, NULL, NULL, 'ValueError: refused' FROM turns WHERE (conv_id + turn) % 7 = 0""")
+def map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = ("input_ids", "attention_mask", "labels")
+    schema = "conv_id long, turn long, part int, " + ", ".join(f"{c} array<int>" for c in ids)
+    mapped = settle(user_map.tokenize_with(inputs.turns(spark, sf_dir), _tokenized, schema), "mapped")
+    rows = user_map.made(mapped).select("conv_id", "turn", "part", *(joined(c).alias(c) for c in ids), F.lit(None).cast("string").alias("error")).withColumn("part", F.col("part").cast("string"))
+    bad = user_map.failed(mapped).select("conv_id", "turn", F.lit(None).cast("string").alias("part"), *(F.lit(None).cast("string").alias(c) for c in ids), "error")
+    return rows.union(bad)
+
+
 # --- Batches and packing -----------------------------------------------------------------------
 
 

@@ -1,26 +1,38 @@
 """Scan paired line files: line i of ``X.<src>`` belongs to line i of ``X.<tgt>``.
 
-``X.<lang>`` is a text file, or a folder of text parts as Spark writes them.
+``X.<lang>`` is a text file, or a folder of text parts as Spark writes them; a packed
+file may be named ``X.<lang>.gz``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinline.functions.text import strip_text
-from twinline.operators.order import index_rows, int_div
-from twinline.operators.pairing import check_even, concat, kept_lines, zip_numbered
+from twinline.operators.order import index_rows, int_div, part_order
+from twinline.operators.pairing import check_even, concat, kept_lines
 from twinline.session import settle
 from twinline.sources.paths import check_folder, list_files, name_below, qualified
 
 
+# The endings by which Spark knows packed text, and unpacks it.
+ENDINGS = ("gz", "bz2", "deflate", "zst")
+PACKED = rf"\.({'|'.join(ENDINGS)})$"
+
+
+def named(lang: str) -> str:
+    """The file names of a language, packed or not."""
+    return "*.{" + ",".join([lang, *(f"{lang}.{ending}" for ending in ENDINGS)]) + "}"
+
+
 def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
     """Zip the source and target names, each in name order: ``(file_pair, src_name, tgt_name)``."""
-    side = F.when(F.endswith("name", F.lit(f".{src}")), "src").when(F.endswith("name", F.lit(f".{tgt}")), "tgt")
+    plain = F.regexp_replace("name", PACKED, "")
+    side = F.when(F.endswith(plain, F.lit(f".{src}")), "src").when(F.endswith(plain, F.lit(f".{tgt}")), "tgt")
     sides = names.select(side.alias("side"), "name").filter("side is not null").distinct()
     n_src, n_tgt = sides.agg(*[F.count_if(F.col("side") == s) for s in ("src", "tgt")]).first()
     if n_src != n_tgt:
@@ -35,7 +47,7 @@ def read_lines(spark: SparkSession, root: str, lang: str) -> DataFrame:
     """Lines of all ``.<lang>`` files with the file, the split and the order of reading."""
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .text(f"{root.rstrip('/')}/*.{lang}")
+        .text(f"{root.rstrip('/')}/{named(lang)}")
         .select(
             F.col("value").alias("text"),
             F.col("_metadata.file_path").alias("path"),
@@ -87,9 +99,13 @@ class ParallelText:
             self._numbered(lang, self.layout.filter(F.col("side") == side))
             for lang, side in ((self.src, "src"), (self.tgt, "tgt"))
         )
-        return zip_numbered(
-            src.withColumnRenamed("text", "src"), tgt.select("file_pair", "line_no", F.col("text").alias("tgt"))
-        ).select(
+        # Every line that is kept has a partner. Had a file been cut short since it was counted, one would be missing.
+        src = src.select("file_pair", "line_no", F.struct("text", "rows_before", "batches_before").alias("_src"))
+        both = src.join(tgt.select("file_pair", "line_no", F.struct("text").alias("_tgt")), ["file_pair", "line_no"], "full")
+        lost = F.raise_error(F.lit("lines are gone since they were counted")).cast("boolean")
+        both = both.filter(F.when(F.col("_src").isNotNull() & F.col("_tgt").isNotNull(), True).otherwise(lost))
+        both = both.select("file_pair", "line_no", "_src.rows_before", "_src.batches_before", F.col("_src.text").alias("src"), F.col("_tgt.text").alias("tgt"))
+        return both.select(
             "file_pair",
             "line_no",
             (F.col("rows_before") + F.col("line_no")).alias("row_idx"),
@@ -98,6 +114,19 @@ class ParallelText:
             strip_text("tgt").alias("tgt"),
         )
 
+    def verified_pairs(self) -> DataFrame:
+        """:meth:`pairs`, written to the shared folder, with every file's lines compared with their count.
+
+        :meth:`pairs` itself stops when a line of one side has lost its partner; here both
+        sides may have been cut alike, and a file may be gone.
+        """
+        pairs = settle(self.pairs(), "pairs")
+        read = pairs.groupBy("file_pair").agg(F.count("*").alias("n"))
+        short = self.files.filter("kept > 0").join(read, "file_pair", "left").filter("n is null or n <> kept")
+        if not short.isEmpty():
+            raise ValueError(f"lines are gone since they were counted, for example in {short.first().asDict()}")
+        return pairs
+
     def _numbered(self, lang: str, layout: DataFrame) -> DataFrame:
         """Lines of one side with their line numbers, without those that the ragged rule drops.
 
@@ -133,7 +162,7 @@ def open_parallel_text(
     if src == tgt:
         raise ValueError("the two languages must differ")
     check_folder(spark, root)
-    names = concat([list_files(spark, root, f"*.{lang}") for lang in (src, tgt)])
+    names = concat([list_files(spark, root, named(lang)) for lang in (src, tgt)])
     pairs = pair_files(names, src, tgt)
     if pairs.isEmpty():
         raise ValueError(f"no .{src} and .{tgt} files under {root}")
@@ -157,7 +186,7 @@ def open_parallel_text(
     )
     files = settle(files, "files")
     check_even(files, ragged)
-    earlier = W.partitionBy("side", "file_pair").orderBy(_part_order("path"), "block")
+    earlier = W.partitionBy("side", "file_pair").orderBy(part_order("path"), "block")
     earlier = earlier.rowsBetween(W.unboundedPreceding, -1)
     layout = settle(
         splits.join(files.drop("n_src", "n_tgt"), "file_pair").withColumn(
@@ -189,7 +218,3 @@ def _splits(spark: SparkSession, root: str, lang: str, side: str) -> DataFrame:
         .withColumn("side", F.lit(side))
     )
 
-
-def _part_order(path: str) -> Column:
-    """Name order, but with the numbers of Spark's part files compared as numbers."""
-    return F.regexp_replace(F.col(path), r"/part-(\d{5})-", "/part-0$1-")
