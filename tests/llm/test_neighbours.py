@@ -53,6 +53,20 @@ def test_few_and_no_rows(spark):
     assert pt.neighbours(frame, F.col("id") == 77).count() == 0
 
 
+def test_each_length_among_its_own_kind(spark):
+    """An odd row loses only itself."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)]
+    other = [(1000 + i, rng.standard_normal(3).tolist()) for i in range(0, 40, 4)]
+    frame = spark.createDataFrame(rows + other + [(900, [1.0] * 9)], "vec_id long, embedding array<float>")
+    found = pt.neighbours(frame, F.col("id") % 100 == 0, 10).collect()
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r.query, []).append(r.id)
+    assert {q: len(ids) for q, ids in by_query.items()} == {0: 10, 100: 10, 1000: 9}
+    assert set(by_query[1000]) == {i for i, _ in other[1:]}
+
+
 def test_quantile():
     assert pt.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert pt.chi_square_quantile(0.5, 2) == pytest.approx(1.386, abs=1e-3)

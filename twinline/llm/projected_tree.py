@@ -17,13 +17,14 @@ than any answer can use. A cell with more than ``PIECE`` vectors is searched in
 blocks, so no task holds more than a piece and a block.
 
 Rows: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those of another length than the longest; rows with a null id are no candidates; a query
-id that occurs twice has the answers of each of its vectors together.
+part; vectors of each length are searched among their own kind, each kind by a search of its own; rows with a null id are
+no candidates; a query id that occurs twice has the answers of each of its vectors together.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -175,10 +176,15 @@ def neighbours(
     vectors: DataFrame, wanted: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", sure: float = SURE
 ) -> DataFrame:
     """``(query, rank, id, distance)``: the ``k`` nearest other rows of each row whose id fulfils ``wanted``, a condition on ``id``."""
-    spark = vectors.sparkSession
     rows = _usable(vectors, key, vector)
-    size = rows.agg(F.max(F.size("vector"))).first()[0] or 1
-    rows = rows.filter(F.size("vector") == size)
+    kinds = rows.groupBy(F.size("vector").alias("size")).agg(F.bool_or(wanted).alias("asked")).filter("asked")
+    sizes = [r["size"] for r in kinds.orderBy("size").collect()]
+    found = [_neighbours(rows.filter(F.size("vector") == size), wanted, k, size, sure) for size in sizes]
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], "query long, rank int, id long, distance double")
+
+
+def _neighbours(rows: DataFrame, wanted: Column, k: int, size: int, sure: float) -> DataFrame:
+    """:func:`neighbours` of usable vectors of one length."""
     rank = "row_number() over (partition by vector order by id) as place"
     # Only the k + 1 smallest ids of a vector leave a task; a group never holds more.
     kept = rows.distinct().selectExpr("*", rank).filter(F.col("place") <= k + 1)
