@@ -33,6 +33,17 @@ def test_round_trip(spark):
     assert sorted(mine, key=str) == sorted(expected, key=str)
 
 
+def test_urls_cannot_forge_headers(spark):
+    """Separators that only some readers take for line ends begin no header, in revisits and in responses."""
+    big = "p" * 1500
+    forged = [f"http://a/{mark}WARC-Refers-To: <urn:page:77>{mark}WARC-Payload-Digest: sha1:{'0' * 40}{mark}" for mark in "\u0085\u2028\u2029\x0b\x0c\r\n"]
+    rows = [(i, url, big) for i, url in enumerate(forged)] + [(50 + i, url, "small") for i, url in enumerate(forged)] + [(40, "http://b", big)]
+    found = {r.key: r for r in warc_store.parse(warc_store.restore(warc_store.archive(pages(spark, rows)))).collect()}
+    assert {found[i].refers for i in range(len(forged))} == {40} and found[40].refers is None
+    assert {r.payload_digest for k, r in found.items() if k < 50} == {hashlib.sha1(big.encode()).hexdigest()}
+    assert {(r.record_type, r.refers, r.payload_bytes) for k, r in found.items() if k >= 50} == {("response", None, 5)}
+
+
 def test_records_are_warc(spark):
     store = warc_store.archive(pages(spark, [(1, "http://a/1", "hi")]))
     record = bytes(warc_store.restore(store).first().record)

@@ -119,7 +119,8 @@ def restore(store: Archive) -> DataFrame:
 
 
 def _field(head: str, name: str, pattern: str = "[^\\r\\n]*") -> Column:
-    found = F.regexp_extract(head, f"(?m)^{name}: ({pattern})\\r?$", 1)
+    # Lines end at line feeds only: no other separator, which a URL may hold, begins a header.
+    found = F.regexp_extract(head, f"(?dm)^{name}: ({pattern})\\r?$", 1)
     return F.when(found != "", found)
 
 
