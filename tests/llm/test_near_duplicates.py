@@ -187,6 +187,16 @@ def test_overlaps_of_nothing(odd_docs, no_docs, spark):
     assert decontaminate.clean(odd_docs, bench.limit(0)).count() == odd_docs.count()
 
 
+def test_ids_with_several_texts_and_items_without_one(spark):
+    first, second, nameless = prose(81, 40), prose(82, 40), prose(83, 40)
+    items = spark.createDataFrame([(1, first), (1, second), (None, nameless), (None, nameless), (2, None)], "item_id long, text string")
+    bodies = {10: first, 11: second, 12: nameless, 13: prose(84, 40), 14: f"{second} {first}"}
+    docs = spark.createDataFrame([(k, f"{prose(900 + k, 60)} {t}") for k, t in bodies.items()], "doc_id long, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()]
+    assert sorted(found, key=str) == sorted([(10, 1), (11, 1), (12, None), (14, 1)], key=str)
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [13]
+
+
 def leaks(spark, rows, items):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))

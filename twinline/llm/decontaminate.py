@@ -21,7 +21,8 @@ out again. There is no bound on hits, items or documents.
 
 Rows: a null or empty text or item has no tokens and is never reported; a null
 key of a document with hits is kept; repeated document rows are judged each by their
-text; repeated items are reported under each id.
+text; repeated items are reported under each id, an id with several texts with the best overlap of any, and items with a
+null id under a null id.
 """
 
 from __future__ import annotations
@@ -206,7 +207,9 @@ def overlaps(
     its text. Repeated document rows give one pair.
     """
     spark = docs.sparkSession
-    bench = items.select(F.col(item_key).cast("long").alias("row"), F.col(item_text).cast("string").alias("text")).dropna()
+    bench = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    # An id may have several texts, and a text no id: each is a row of its own.
+    bench = bench.filter("text is not null").distinct().withColumn("row", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text"))
     longest = max(len(m) for m in masks)
 
     @F.pandas_udf("int")
@@ -216,7 +219,7 @@ def overlaps(
     # At most one row per length below the longest mask.
     short = bench.select(length("text").alias("n")).filter(F.col("n") < longest).distinct().collect()
     used = _masks(masks, (r.n for r in short))
-    bench_hits = bench.mapInArrow(lambda batches: _hit_table(batches, used, None), _HITS)
+    bench_hits = bench.select("row", "text").mapInArrow(lambda batches: _hit_table(batches, used, None), _HITS)
     bench_hits = settle(bench_hits.select(F.col("row").alias("item_id"), F.col("at").alias("item_at"), "seed").distinct(), "seeds")
     # A table of 2 ** FILTER bits, whatever the benchmark's size: bytes are gathered, never hashes.
     low = F.col("seed").bitwiseAND((1 << FILTER) - 1)
@@ -231,14 +234,17 @@ def overlaps(
     hits = body.select("row", "text").mapInArrow(lambda batches: _hit_table(batches, used, shared.value), _HITS)
     laid = hits.join(bench_hits, "seed").select("row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     laid = laid.groupBy("row", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
-    laid = laid.join(bench.groupBy(F.col("row").alias("item_id")).agg(F.min("text").alias("text")), "item_id")
+    laid = laid.join(bench.select(F.col("row").alias("item_id"), "text"), "item_id")
     laid = settle(laid.groupBy("row").agg(F.collect_list(F.struct("item_id", "text", "diagonals")).alias("items")), "laid")
     found = body.join(laid, "row").dropDuplicates(["row"]).select("key", "check", "text", "items")
     pairs = found.mapInArrow(
         lambda batches: _overlaps(batches, least, share, cover, enough),
         "key long, check long, item_id long, start int, length int, matches int, share double",
     )
-    return pairs.withColumnRenamed("key", key)
+    named = settle(bench.select(F.col("row").alias("item_id"), F.col("item_id").alias("named")), "items")
+    best = F.max_by(F.struct("start", "length", "matches", "share"), F.struct("matches", -F.col("start"), "length")).alias("best")
+    pairs = pairs.join(named, "item_id").groupBy("key", "check", F.col("named").alias("item_id")).agg(best)
+    return pairs.select(F.col("key").alias(key), "check", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
