@@ -105,7 +105,7 @@ def test_base_and_score(spark, texts, common):
     rows = [(r.doc_id, r.text) for r in texts.select("doc_id", "text").collect()]
     counts = Counter(w for i, t in rows if not is_held_out(i) for w in tokens(t))
     total, kinds = sum(counts.values()), len(counts)
-    found = suffix_tree.score(texts, crc_mod("doc_id", 5) == 1, common=common, least=1e-4).collect()
+    found = suffix_tree.score(texts, crc_mod("doc_id", 5) == 1, common=common, least=5).collect()
     assert len(found) == len(rows)
     expected = sorted((i or -1, len(tokens(t)), round(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tokens(t)), 6)) for i, t in rows)
     assert sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6)) for r in found) == expected
@@ -120,7 +120,7 @@ def test_base_and_score(spark, texts, common):
 def test_the_tree_spells_a_distribution(spark, texts):
     rows = texts.select(F.col("text").cast("string").alias("text"))
     counted = rows.mapInArrow(lambda b: suffix_tree._contexts(b, 3), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    tree = suffix_tree.grow(counted, depth=3, least=1e-3)
+    tree = suffix_tree.grow(counted, depth=3, least=8)
     table = suffix_tree.Table(tree)
     probability = 10.0 ** table.gain.reshape(-1, table.width)
     assert np.allclose(probability[:, :-1].sum(1) + probability[:, -1] * (256 - len(tree.alphabet)), 1, atol=1e-4)
@@ -138,7 +138,81 @@ def test_the_tree_spells_a_distribution(spark, texts):
     assert np.allclose(table.spell([text, b"\n"], 3)[:-1], slow, atol=1e-4)
 
 
+def plain_tree(texts, depth, least, doubt):
+    """Contexts that are retained, counted and tested one by one."""
+    counts = {}
+    for text in texts:
+        line = b"\n" * depth + text
+        for at in range(depth, len(line)):
+            for d in range(depth + 1):
+                own = counts.setdefault(line[at - d : at], {})
+                own[line[at]] = own.get(line[at], 0) + 1
+    retained = {b""}
+    for context, own in counts.items():
+        total, shorter = sum(own.values()), counts[context[1:]]
+        if not context or total < least:
+            continue
+        ratio = 2 * sum(n * math.log(n / total / (shorter[s] / sum(shorter.values()))) for s, n in own.items())
+        freedom = max(len(own) - 1, 1)
+        if ratio > freedom + doubt * math.sqrt(2 * freedom):
+            retained |= {context[i:] for i in range(len(context) + 1)}
+    return retained
+
+
+def retained_by(tree):
+    out = set()
+    for d, context in zip(tree.depths[tree.retained].tolist(), tree.contexts[tree.retained].tolist()):
+        out.add(bytes(context >> 8 * (tree.depth + 1 - k) & 255 for k in range(d, 0, -1)))
+    return out
+
+
+def counted_contexts(spark, texts, depth):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    return rows.mapInArrow(lambda b: suffix_tree._contexts(b, depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def test_retention_is_that_of_a_plain_tree(spark):
+    texts = [prose(i, 40) for i in range(30)]
+    tree = suffix_tree.grow(counted_contexts(spark, texts, 3), depth=3, least=6)
+    plain = plain_tree([suffix_tree.stream(tokens(t)[:-1]) for t in texts], 3, 6, suffix_tree.DOUBT)
+    assert retained_by(tree) == plain and len(plain) > 20
+
+
+def test_a_rare_language_keeps_its_contexts(spark):
+    """A script with a thousandth of the bytes, beside many times as much of another."""
+    rare = "\u03b1\u03b2\u03b3\u03b1\u03b4 \u03b5\u03b1\u03b2\u03b1 " * 8
+    texts = [prose(i, 1500) for i in range(18)] + [rare]
+    assert len(rare.encode()) < 0.002 * sum(len(t.encode()) for t in texts)
+    tree = suffix_tree.grow(counted_contexts(spark, texts, 5), least=8)
+    assert any(len(c) >= 2 and c[0] >= 0xB1 for c in retained_by(tree))
+
+
+def test_a_task_holds_a_bounded_table(spark):
+    texts = [prose(i, 200) for i in range(20)]
+    counts = counted_contexts(spark, texts, 4)
+    whole, some = (suffix_tree.grow(counts, depth=4, least=4, cells=c) for c in (10**7, 2_000))
+    assert len(some.totals) * (len(some.alphabet) + 1) <= 2_100 < len(whole.totals) * (len(whole.alphabet) + 1)
+    assert retained_by(some) < retained_by(whole)
+    probability = 10.0 ** suffix_tree.Table(some).gain.reshape(-1, len(some.alphabet) + 1)
+    assert np.allclose(probability[:, :-1].sum(1) + probability[:, -1] * (256 - len(some.alphabet)), 1, atol=1e-4)
+
+
 def test_score_without_training(spark, no_docs, texts):
     found = suffix_tree.score(texts, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in found)
     assert suffix_tree.score(no_docs, crc_mod("doc_id", 5) == 1).count() == 0
+
+
+def test_language_of_signs_without_letters(spark):
+    docs = spark.createDataFrame([(1, prose(1, 300), "xx"), (2, "\u00b2 \u00bd", None), (3, "\u2460", None), (4, "12 _", None), (5, "a", None)], "doc_id long, text string, lang string")
+    found = language_id.predict(docs, language_id.fit(docs, F.lit(True))).select("_row.doc_id", "lang_pred", "accepted").collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {1: "xx", 2: "und", 3: "und", 4: "und", 5: "xx"}
+
+
+def test_dictionaries_are_filled_from_whole_texts(spark):
+    """Five long texts with one heading fill a dictionary, not with the heading alone."""
+    rows = [(i, "same heading here " * 60 + prose(i, 6_000), "xx") for i in range(5)] + [(9, "short", "yy"), (9, "short", "yy")]
+    found = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(found["xx"]) > 0.95 * language_id.DICTIONARY and found["yy"] == b"short"
+    assert found["xx"].count(b"heading") < 400
+    assert language_id.spread("short", 8) == "short" and len(language_id.spread("abcdefghij" * 10, 8)) == 8

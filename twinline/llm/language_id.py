@@ -8,7 +8,9 @@ Letters alone are encoded, in lower case, with single spaces between words.
 
 The dictionaries come from at most ``SAMPLE`` labelled rows per language, those
 with the smallest hashes of their keys, and hold at most ``DICTIONARY`` bytes
-each; at most ``LANGUAGES`` languages, the most frequent, are learnt. Whole
+each: every sampled text gives an equal share, as ``SLICES`` slices spread over the whole of it, so
+that no common heading fills a dictionary and few rows fill it as well as many. At most
+``LANGUAGES`` languages, the most frequent, are learnt: a bound on labelled rows, ``SAMPLE`` times ``LANGUAGES``. Whole
 texts are encoded, in equal blocks of at most ``BLOCK`` bytes that each start from the
 dictionary alone, and the sizes of all blocks are added: so a dictionary's share in the
 size, and with it the margin, does not shrink with the length of the text.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 SAMPLE = 128
 DICTIONARY = 1 << 16
 LANGUAGES = 256
+SLICES = 4
 LEVEL = 9
 BLOCK = 1 << 12
 MARGIN = 0.01  # share of the smallest size by which the next must be larger
@@ -43,6 +46,15 @@ def letters(text: str | None) -> str:
     return _OTHER.sub(" ", text.lower()).strip() if text else ""
 
 
+def spread(text: str, size: int, slices: int = SLICES) -> str:
+    """About ``size`` characters of a text: all of it, or slices at equal distances."""
+    if len(text) <= size:
+        return text
+    each = max(1, size // slices)
+    starts = [(len(text) - each) * i // max(1, slices - 1) for i in range(slices)]
+    return " ".join(text[a : a + each] for a in starts)[:size]
+
+
 def fit(
     docs: DataFrame,
     learn: Column,
@@ -59,15 +71,22 @@ def fit(
     )
     rows = rows.filter("lang is not null and text is not null and trim(text) <> ''")
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    each = max(1, size // sample)
-    part = rows.select("lang", "hash", F.substring("text", 1, each).alias("text"))
-    first = W.partitionBy("lang").orderBy("hash", "text")
-    ranked = part.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample)
-    # At most ``languages`` x ``sample`` rows of ``size / sample`` characters.
-    found = ranked.join(F.broadcast(common), "lang").orderBy(F.desc("count"), "lang", F.desc("rank")).collect()
+    first = W.partitionBy("lang").orderBy("hash")
+    # Only hashes are ranked: at most ``languages`` x ``sample`` of them. The texts are then fetched whole.
+    ranked = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample)
+    counted = ranked.groupBy("lang").agg(F.count("*").alias("rows"))
+    ranked = ranked.join(F.broadcast(common), "lang").join(F.broadcast(counted), "lang")
+
+    @F.pandas_udf("string")
+    def sliced(texts, share):
+        return texts.combine(share, lambda x, n: spread(letters(x), int(n)))
+
+    chosen = rows.join(F.broadcast(ranked), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
+    chosen = chosen.select("lang", "count", "rank", sliced("text", F.floor(size / F.col("rows"))).alias("text"))
+    found = chosen.orderBy(F.desc("count"), "lang", F.desc("rank")).collect()
     by_language: dict[str, list[bytes]] = {}
     for row in found:
-        by_language.setdefault(row.lang, []).append(letters(row.text).encode("utf-8", "replace"))
+        by_language.setdefault(row.lang, []).append(row.text.encode("utf-8", "replace"))
     return {lang: b" ".join(texts)[-size:] for lang, texts in by_language.items()}
 
 
@@ -103,7 +122,7 @@ def predict(
         compressors, rows = _compressors(learnt, level), []
         for x in texts:
             content = letters(x)
-            if not compressors or not content:
+            if not compressors or not any(map(str.isalpha, content)):  # signs that count as digits or words are no letters
                 rows.append((UNKNOWN, 0.0, False))
                 continue
             parts = blocks(f" {content} ".encode("utf-8", "replace"))
