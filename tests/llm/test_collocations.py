@@ -72,11 +72,11 @@ def answers(df, **options):
     return sorted(tuple(r) for r in collocations.collocations(df, **options).collect())
 
 
-@pytest.mark.parametrize("budget, chunk, bits", [(1 << 20, 1 << 20, 1 << 23), (64, 200, 1 << 12), (8, 50, 64)])
-def test_equals_counting_all_phrases(spark, budget, chunk, bits):
+@pytest.mark.parametrize("budget, chunk, bits, pairs", [(1 << 20, 1 << 20, 1 << 23, 1 << 22), (64, 200, 1 << 12, 1 << 17), (8, 50, 64, 64)])
+def test_equals_counting_all_phrases(spark, budget, chunk, bits, pairs):
     rows = texts(1, 300) + [("a a a a a a a", "en")] * 40 + [(None, "en"), ("", None), (" . ,", "en")]
     df = table(spark, rows).repartition(5)
-    assert answers(df, least=20, budget=budget, chunk=chunk, bits=bits) == plain(rows, 20)
+    assert answers(df, least=20, budget=budget, chunk=chunk, bits=bits, pairs=pairs) == plain(rows, 20)
 
 
 def test_all_counts(spark, partitions):

@@ -11,10 +11,11 @@ above a lengthened prefix lie in several groups, and their parts are added.
 Suffixes move in blocks: a task sorts those of ``CHUNK`` words at a time, counts equal
 ones together and writes each group's share as numbers beside a list of its words. So a suffix
 that is repeated everywhere costs a row per chunk, and it is never one group's load.
-Words rarer than ``LEAST`` end a suffix, since no phrase that counts can hold them. Which
-words are frequent, and which prefixes are large, every task learns from tables of
-``BITS`` bits, whatever the input: a word or a prefix that only seems to be one does no harm, as
-all counts are of the words themselves.
+Words, and pairs of words, rarer than ``LEAST`` end a suffix, since no phrase that counts can hold
+them. Which words are frequent and which prefixes are large, every task learns from tables of
+``BITS`` bits, and which pairs may be frequent from ``PAIRS`` cells that count them by their hashes: sizes that
+do not depend on the input. What only seems to be frequent or large does no harm, as
+all counts are of the words themselves; in a very large corpus every cell is full and only words are sieved.
 
 A phrase with at least ``LEAST`` occurrences is a candidate. Each cut into a first
 part and a rest is scored by joins with the counts, exactly, and the lowest counts.
@@ -45,6 +46,8 @@ UNKNOWN = "und"
 CHUNK = 1 << 20  # words whose suffixes a task sorts at once
 BUDGET = 1 << 20  # suffixes of a group
 BITS = 1 << 23
+PAIRS = 1 << 22  # cells that count word pairs
+SLICE = 1 << 16  # cells that are added up together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Pieces end at these characters, words at spaces and tabs.
 _BREAK = b"."
@@ -106,7 +109,7 @@ def _further(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash of the column ``h``; at most ``bits`` / 64 rows come to the driver."""
+    """A bit for each hash of the column ``h``, ``bits`` a power of two; at most ``bits`` / 64 rows come to the driver."""
     at = F.pmod(F.col("h"), F.lit(bits))
     words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 as int))")).alias("word"))
     found = words.toArrow()
@@ -116,7 +119,7 @@ def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes.view(np.int64) % (len(table) * 64)).astype(np.int64)
+    at = (hashes % np.uint64(len(table) * 64)).astype(np.int64)
     return (table[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
@@ -129,15 +132,22 @@ def _counted(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.Recor
         )
 
 
-def _suffixes(numbers: np.ndarray, frequent: np.ndarray, longest: int) -> np.ndarray:
-    """A row of word numbers for each suffix of two words or more, 0 behind its end."""
+def _suffixes(
+    numbers: np.ndarray, frequent: np.ndarray, longest: int, hashes: np.ndarray | None = None, pairs: np.ndarray | None = None
+) -> np.ndarray:
+    """A row of word numbers for each suffix of two words or more, 0 behind its end; they end at rare words and rare ``pairs``."""
     numbers = np.where(frequent[numbers], numbers, 0)
     padded = np.concatenate([numbers, np.zeros(longest, np.int64)])
-    starts = np.flatnonzero((padded[:-1] > 0) & (padded[1:] > 0))
+    joined = np.append((padded[:-1] > 0) & (padded[1:] > 0), False)
+    if pairs is not None:
+        at = np.flatnonzero(joined)
+        joined[at] = _has(pairs, _further(hashes[padded[at]], hashes[padded[at + 1]]))
+    starts = np.flatnonzero(joined)
     rows = np.empty((len(starts), longest), np.int64)
     rows[:, 0], rows[:, 1] = padded[starts], padded[starts + 1]
     for d in range(2, longest):
-        rows[:, d] = np.where(rows[:, d - 1] > 0, padded[starts + d], 0)
+        on = (rows[:, d - 1] > 0) & joined[np.minimum(starts + d - 1, len(joined) - 1)]
+        rows[:, d] = np.where(on, padded[np.minimum(starts + d, len(padded) - 1)], 0)
     return rows
 
 
@@ -178,27 +188,80 @@ def _prefixes(rows: np.ndarray, hashes: np.ndarray, large: list[np.ndarray]) ->
     return length, found
 
 
-def _longer(batches: Iterable[pa.RecordBatch], chunk: int, longest: int, frequent: np.ndarray, large: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """``(h, n)``: hashes of prefixes one word longer than the large ones of the last table, counted."""
+_SURVEY = "level int, h long, n long, cells binary"
+
+
+def _survey(
+    batches: Iterable[pa.RecordBatch], chunk: int, longest: int, least: int, pairs: int, frequent: np.ndarray, large: np.ndarray, share: float
+) -> Iterator[pa.RecordBatch]:
+    """What decides how suffixes are cut and dealt out.
+
+    ``(d, h, n)`` counts prefixes of ``d`` > 1 words by their hashes, below ``large`` first words. Those under
+    ``share`` of a chunk's suffixes are left out, so no count is short by more than that share of all.
+    ``(0, slice, task, cells)`` are this task's counts of word pairs in ``pairs`` cells, up to ``least`` each.
+    """
+    from pyspark import TaskContext
+
+    schema = pa.schema([("level", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+    cells = np.zeros(pairs, np.uint32)
     for lang, words, numbers in _chunks(batches, chunk):
         hashes = _hashes(lang, words)
         rows = _suffixes(numbers, _has(frequent, hashes), longest)
-        length, found = _prefixes(rows, hashes, large)
-        grown = (length == len(large) + 1) & (rows[:, len(large)] > 0)
-        keys, counts = np.unique(found[grown].view(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["h", "n"])
+        found = _further(hashes[rows[:, 0]], hashes[rows[:, 1]])
+        np.add.at(cells, (found % np.uint64(pairs)).astype(np.int64), 1)
+        few = share * len(rows)
+        heavy = _has(large, hashes[rows[:, 0]])
+        rows, found = rows[heavy], found[heavy]
+        for d in range(2, longest):
+            keys, at, counts = np.unique(found.view(np.int64), return_inverse=True, return_counts=True)
+            some = counts >= few
+            n = int(some.sum())
+            levels = pa.array(np.full(n, d), pa.int32())
+            yield pa.RecordBatch.from_arrays([levels, pa.array(keys[some]), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+            on = some[at] & (rows[:, d] > 0)
+            rows, found = rows[on], _further(found[on], hashes[rows[on, d]])
+    task = TaskContext.get().partitionId()
+    kind = _cell_kind(least)
+    cells = np.minimum(cells, least).astype(kind)
+    for i, part in enumerate(np.split(cells, max(1, pairs // SLICE))):
+        if part.any():
+            yield pa.RecordBatch.from_pylist([{"level": 0, "h": i, "n": task, "cells": part.tobytes()}], schema)
+
+
+def _cell_kind(least: int) -> np.dtype:
+    return np.min_scalar_type(least)
+
+
+def _frequent_pairs(survey: DataFrame, pairs: int, least: int) -> np.ndarray:
+    """A bit for each cell that counts ``least`` pairs or more."""
+    kind, size = _cell_kind(least), min(SLICE, pairs)
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for part in group.column("cells"):
+            total += np.frombuffer(part.as_buffer(), kind)
+        cells = np.minimum(total, least).astype(kind).tobytes()
+        return pa.table({"h": group.column("h")[:1], "part": pa.array([0], pa.int64()), "cells": pa.array([cells], pa.binary())})
+
+    parts = survey.filter("level = 0").select("h", F.floor(F.col("n") / 512).alias("part"), "cells")
+    form = "h long, part long, cells binary"
+    parts = parts.groupBy("h", "part").applyInArrow(added, form).groupBy("h").applyInArrow(added, form)
+    table = np.zeros(pairs, bool)
+    for row in parts.collect():  # as many bytes as there are cells
+        table[row.h * size : (row.h + 1) * size] = np.frombuffer(row.cells, kind) >= least
+    return np.packbits(table, bitorder="little").view(np.int64)
 
 
 _BLOCK = "group long, lang string, size int, words binary, rows binary, counts binary, lengths binary"
 
 
 def _blocks(
-    batches: Iterable[pa.RecordBatch], chunk: int, longest: int, frequent: np.ndarray, large: list[np.ndarray], groups: int
+    batches: Iterable[pa.RecordBatch], chunk: int, longest: int, frequent: np.ndarray, pairs: np.ndarray, large: list[np.ndarray], groups: int
 ) -> Iterator[pa.RecordBatch]:
     """Each group's different suffixes of a chunk, with their counts and the lengths of their prefixes."""
     for lang, words, numbers in _chunks(batches, chunk):
         hashes = _hashes(lang, words)
-        rows, counts = _distinct(_suffixes(numbers, _has(frequent, hashes), longest))
+        rows, counts = _distinct(_suffixes(numbers, _has(frequent, hashes), longest, hashes, pairs))
         length, found = _prefixes(rows, hashes, large)
         group = (found % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
@@ -254,6 +317,7 @@ def counts(
     chunk: int = CHUNK,
     budget: int = BUDGET,
     bits: int = BITS,
+    pairs: int = PAIRS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, words, n)`` of all phrases of one to ``longest`` words with ``least`` occurrences, and ``(lang, n)``, all words."""
     spark = docs.sparkSession
@@ -265,16 +329,15 @@ def counts(
     frequent = _bit_table(single, bits)
     suffixes = single.agg(F.sum("n")).first()[0] or 0
     groups, limit = max(1, -(-2 * suffixes // budget)), budget // 4
-    large, seen = [], single.select("h", "n")
-    while len(large) < longest - 1:
-        heavy = seen.filter(F.col("n") > limit)
-        if heavy.isEmpty():
-            break
-        large.append(_bit_table(heavy, bits))
-        known = spark.sparkContext.broadcast((frequent, list(large)))
-        grown = rows.mapInArrow(lambda batches, known=known: _longer(batches, chunk, longest, *known.value), "h long, n long")
-        seen = settle(grown.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > limit), "prefixes")
-    known = spark.sparkContext.broadcast((frequent, large))
+    # Short by half the limit at most: every prefix above the limit is seen to be above its half.
+    large = [_bit_table(single.filter(F.col("n") > limit), bits)]
+    known = spark.sparkContext.broadcast((frequent, large[0], limit / 2 / max(suffixes, 1)))
+    survey = rows.mapInArrow(lambda batches: _survey(batches, chunk, longest, least, pairs, *known.value), _SURVEY)
+    survey = settle(survey, "survey")
+    seen = survey.filter("level > 0").groupBy("level", "h").agg(F.sum("n").alias("n")).filter(F.col("n") > limit / 2)
+    seen = settle(seen, "prefixes")
+    large += [_bit_table(seen.filter(F.col("level") == d), bits) for d in range(2, longest)]
+    known = spark.sparkContext.broadcast((frequent, _frequent_pairs(survey, pairs, least), large))
     blocks = rows.mapInArrow(lambda batches: _blocks(batches, chunk, longest, *known.value, groups), _BLOCK)
 
     def counted(group: pa.Table) -> pa.Table:
