@@ -110,7 +110,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("_row.doc_id", "p_toxic", "severity", "grade", "rejected")
 
 
-@query()
+@query(
+    r"""
+    WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+         marked AS (SELECT *, CASE role WHEN 'user' THEN length('[INST][/INST]') WHEN 'assistant' THEN length('<s></s>')
+                                        WHEN 'system' THEN length('<<SYS>><</SYS>>')
+                                        ELSE length('<<ROLE >><</ROLE>>') + length(regexp_replace(role, '([\\<\[>])', '\\\1', 'g')) END AS marks,
+                           regexp_matches(text, '\\[\\<\[>]') OR regexp_matches(text, '\[/?INST\]|</?s>|<</?SYS>>|<</ROLE>>|<<ROLE ') AS hard FROM said)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(marks + 3 + length(text) + CASE WHEN hard THEN length(regexp_replace(text, '[^\\<\[]', '', 'g')) ELSE 0 END)::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """
+)
 def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"

@@ -49,6 +49,7 @@ STRIDE = 1 << 13  # shingles whose bits are counted at once
 ALIKE = 0.8  # Jaccard similarity of shingles from which texts are near-duplicates
 SPARE = 4.0  # standard deviations of the differing bits that the threshold allows beside their mean
 TOGETHER = 32 << 20  # bytes of shingles compared in one task, about
+SETS = 4_096  # of a root whose fingerprints are compared in one task, twice as many where two pieces meet
 
 
 @dataclass(frozen=True)
@@ -359,18 +360,20 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
 def _alike(rows: np.ndarray, sets: list[np.ndarray], ring: Ring, alike: float) -> list[tuple[int, int]]:
     """Links that connect as all pairs do whose fingerprints are near enough and whose sets are at least ``alike``."""
-    forest, found = _Forest(len(sets)), []
+    found, labels = [], np.arange(len(sets))
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     rows = np.ascontiguousarray(rows)
     for i in range(1, len(sets)):
         near = _distance(rows[:i], rows[i : i + 1]) <= ring.threshold
         near &= np.minimum(sizes[:i], sizes[i]) >= alike * np.maximum(sizes[:i], sizes[i])
-        for j in np.flatnonzero(near).tolist():
-            if forest.root(i) == forest.root(j):
-                continue
+        left = np.flatnonzero(near)
+        while len(left):  # a link takes all sets of its component off the list
+            j, left = int(left[0]), left[1:]
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if common >= alike * (sizes[i] + sizes[j] - common):
-                forest.join(i, j)
+                earlier = labels[: i + 1]
+                earlier[earlier == labels[i]] = labels[j]
+                left = left[labels[left] != labels[j]]
                 found.append((j, i))
     return found
 
@@ -379,7 +382,8 @@ def verified(texts: DataFrame, ring: Ring = WIDE, shingle: int = 5, alike: float
     """Links ``(a, b)`` between the sets of ``texts (root, fp, same, text)``, one row a set, whose Jaccard similarity is at least ``alike``.
 
     Only sets of one root are compared. A root with more than ``together`` bytes of
-    shingles is cut into pieces that meet pairwise in different tasks.
+    shingles, or more than ``SETS`` sets, is cut into pieces that meet pairwise in different tasks: no
+    task compares more than about 2 ``SETS`` ** 2 pairs of fingerprints.
     """
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +401,8 @@ def verified(texts: DataFrame, ring: Ring = WIDE, shingle: int = 5, alike: float
 
     kind = "root binary, fp binary, same binary, held binary, size long"
     rows = settle(texts.select("root", "fp", "same", "text").mapInArrow(hashed, kind), "shingles")
-    large = rows.groupBy("root").agg(F.sum("size").alias("size")).filter(F.col("size") > together)
-    large = settle(large.select("root", F.ceil(F.col("size") / together).cast("int").alias("pieces")), "large")
+    pieces = F.ceil(F.greatest(F.sum("size") / together, F.count("*") / SETS)).cast("int").alias("pieces")
+    large = settle(rows.groupBy("root").agg(pieces).filter("pieces > 1"), "large")
     rows = rows.withColumn("part", F.lit(0).cast("long"))
     if not large.isEmpty():
         rows = rows.join(large, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
