@@ -127,6 +127,6 @@ def test_packed_files_by_their_endings(spark, tmp_path):
         with gzip.open(tmp_path / f"x.{lang}.gz", "wt") as out:
             out.write("".join(f"{lang}{i}\n" for i in range(70)))
     write_sides(tmp_path, 5, 5, "a")
-    rows = open_parallel_text(spark, str(tmp_path), "src", "tgt").pairs().collect()
+    rows = open_parallel_text(spark, str(tmp_path), "src", "tgt", packed=True).pairs().collect()
     assert sorted(r.src for r in rows) == sorted([f"src{i}" for i in range(70)] + [f"src{i}" for i in range(5)])
     assert all(r.src[3:] == r.tgt[3:] for r in rows)

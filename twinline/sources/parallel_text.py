@@ -1,7 +1,7 @@
 """Scan paired line files: line i of ``X.<src>`` belongs to line i of ``X.<tgt>``.
 
-``X.<lang>`` is a text file, or a folder of text parts as Spark writes them; a packed
-file may be named ``X.<lang>.gz``.
+``X.<lang>`` is a text file, or a folder of text parts as Spark writes them; with ``packed``
+a packed file may be named ``X.<lang>.gz``.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ ENDINGS = ("gz", "bz2", "deflate", "zst")
 PACKED = rf"\.({'|'.join(ENDINGS)})$"
 
 
-def named(lang: str) -> str:
-    """The file names of a language, packed or not."""
+def named(lang: str, packed: bool = False) -> str:
+    """The file names of a language."""
+    if not packed:
+        return f"*.{lang}"
     return "*.{" + ",".join([lang, *(f"{lang}.{ending}" for ending in ENDINGS)]) + "}"
 
 
-def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
+def pair_files(names: DataFrame, src: str, tgt: str, packed: bool = False) -> DataFrame:
     """Zip the source and target names, each in name order: ``(file_pair, src_name, tgt_name)``."""
-    plain = F.regexp_replace("name", PACKED, "")
+    plain = F.regexp_replace("name", PACKED, "") if packed else F.col("name")
     side = F.when(F.endswith(plain, F.lit(f".{src}")), "src").when(F.endswith(plain, F.lit(f".{tgt}")), "tgt")
     sides = names.select(side.alias("side"), "name").filter("side is not null").distinct()
     n_src, n_tgt = sides.agg(*[F.count_if(F.col("side") == s) for s in ("src", "tgt")]).first()
@@ -43,11 +45,11 @@ def pair_files(names: DataFrame, src: str, tgt: str) -> DataFrame:
     return settle(placed.groupBy("file_pair").agg(*names_of), "file-pairs")
 
 
-def read_lines(spark: SparkSession, root: str, lang: str) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, lang: str, packed: bool = False) -> DataFrame:
     """Lines of all ``.<lang>`` files with the file, the split and the order of reading."""
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .text(f"{root.rstrip('/')}/{named(lang)}")
+        .text(f"{root.rstrip('/')}/{named(lang, packed)}")
         .select(
             F.col("value").alias("text"),
             F.col("_metadata.file_path").alias("path"),
@@ -78,6 +80,7 @@ class ParallelText:
     batch: int
     files: DataFrame
     layout: DataFrame
+    packed: bool = False
 
     def total_pairs(self) -> DataFrame:
         """Number of source lines, from the counts that are already there."""
@@ -137,7 +140,7 @@ class ParallelText:
         moved = F.raise_error(F.lit("file splits moved between the passes; fix spark.sql.files.minPartitionNum"))
         inside = F.col("first_seq").isNotNull() & at.between(0, F.col("n") - 1)
         return (
-            read_lines(self.spark, self.root, lang)
+            read_lines(self.spark, self.root, lang, self.packed)
             .join(layout.drop("side", "name"), ["path", "block"], "left")
             .withColumn("line_no", F.when(inside, F.col("lines_before") + at).otherwise(moved))
             .filter(F.col("line_no") < F.col("kept"))
@@ -152,6 +155,7 @@ def open_parallel_text(
     tgt: str = "ko",
     ragged: str = "drop_batch",
     batch: int = 32,
+    packed: bool = False,
 ) -> ParallelText:
     """Pair the files and count the lines of every file split.
 
@@ -162,13 +166,13 @@ def open_parallel_text(
     if src == tgt:
         raise ValueError("the two languages must differ")
     check_folder(spark, root)
-    names = concat([list_files(spark, root, named(lang)) for lang in (src, tgt)])
-    pairs = pair_files(names, src, tgt)
+    names = concat([list_files(spark, root, named(lang, packed)) for lang in (src, tgt)])
+    pairs = pair_files(names, src, tgt, packed)
     if pairs.isEmpty():
         raise ValueError(f"no .{src} and .{tgt} files under {root}")
 
     sides = F.expr("stack(2, 'src', src_name, 'tgt', tgt_name) as (side, name)")
-    splits = settle(concat([_splits(spark, root, src, "src"), _splits(spark, root, tgt, "tgt")]), "splits")
+    splits = settle(concat([_splits(spark, root, src, "src", packed), _splits(spark, root, tgt, "tgt", packed)]), "splits")
     splits = splits.withColumn("name", name_below("path", qualified(spark, root)))
     splits = splits.join(pairs.select("file_pair", sides), ["side", "name"])
     of_side = {side: F.sum(F.when(F.col("side") == side, F.col("n"))) for side in ("src", "tgt")}
@@ -194,7 +198,7 @@ def open_parallel_text(
         ),
         "layout",
     )
-    return ParallelText(spark, root, src, tgt, batch, files, layout)
+    return ParallelText(spark, root, src, tgt, batch, files, layout, packed)
 
 
 def read_parallel_text(
@@ -204,15 +208,16 @@ def read_parallel_text(
     tgt: str = "ko",
     ragged: str = "drop_batch",
     batch: int = 32,
+    packed: bool = False,
 ) -> DataFrame:
     """Stripped pairs ``(file_pair, line_no, row_idx, batch_id, src, tgt)`` of a folder of line files."""
-    return open_parallel_text(spark, root, src, tgt, ragged, batch).pairs()
+    return open_parallel_text(spark, root, src, tgt, ragged, batch, packed).pairs()
 
 
-def _splits(spark: SparkSession, root: str, lang: str, side: str) -> DataFrame:
+def _splits(spark: SparkSession, root: str, lang: str, side: str, packed: bool) -> DataFrame:
     """Lines and first sequence number of every file split of one side."""
     return (
-        read_lines(spark, root, lang)
+        read_lines(spark, root, lang, packed)
         .groupBy("path", "block")
         .agg(F.count("*").alias("n"), F.min("_seq").alias("first_seq"))
         .withColumn("side", F.lit(side))
