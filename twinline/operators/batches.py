@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinline.functions.tokens import EOS, attention_mask, byte_ids, label_pad, pad_fixed, token_count, token_ids
-from twinline.operators.order import int_div, length_rank, prefix_sum
+from twinline.operators.order import int_div, length_rank, prefix_sum, sum_files
 
 
 def micro_batches(df: DataFrame, size: int, key: str = "row_idx") -> DataFrame:
@@ -72,16 +72,22 @@ def tokenize_fixed(
 
 
 def pack_sequences(
-    df: DataFrame, text: str, block: int, key: str = "row_idx", drop_last: bool = True
+    df: DataFrame, text: str, block: int, key: str = "row_idx", drop_last: bool = True, in_files: bool = False
 ) -> DataFrame:
     """Join all token sequences in row order and cut the stream into blocks of ``block`` ids.
 
     Each row finds its place in the stream by a prefix sum of token counts. Its
     bytes are then cut where blocks end, and the pieces meet by block number;
     only there do they become ids. A piece has at least one token, so no group
-    holds more than ``block`` pieces.
+    holds more than ``block`` pieces. With ``in_files`` the rows are a scan of files
+    sorted by ``key``, and the sum follows their layout.
     """
-    placed = prefix_sum(df.select(key, text), key, token_count(text), "_at").select(
+    rows = df.select(key, text)
+    if in_files:
+        placed = sum_files(rows, token_count(text), "_at", [key])
+    else:
+        placed = prefix_sum(rows, key, token_count(text), "_at")
+    placed = placed.select(
         "_at", F.encode(text, "UTF-8").alias("_raw"), token_count(text).cast("long").alias("_n")
     )
     start, n = F.col("_at"), F.col("_n")

@@ -10,11 +10,15 @@ before they are sorted: sampling for the sort then does not run the input again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from twinline.session import settle
 
@@ -205,3 +209,86 @@ def number_files(df: DataFrame, column: str = "pos") -> DataFrame:
 def number_rows(df: DataFrame, column: str = "pos") -> DataFrame:
     """Number the rows 0, 1, 2, … of any dataset in its own order, that of its partitions; the rows are written once."""
     return number_files(settle(df, "rows"), column)
+
+
+def sum_files(df: DataFrame, weight: Column, column: str, key: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of ``weight`` over all earlier rows of a scan of files.
+
+    One pass sums the weights of every file split, the second keeps the running
+    sum inside each split while the rows pass by: none is sorted, moved or joined back.
+    Rows are in the order of file name and place, or in that of a unique ``key``
+    by which the files are sorted. Where files overlap in their keys the sum is
+    that of :func:`prefix_sum`; a file that is not sorted inside, and a split that
+    has moved, grown or lost rows between the passes, stops the job. Null weights count as 0.
+    """
+    parts = df.select(
+        *df.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"), F.coalesce(weight.cast("long"), F.lit(0)).alias("_weight"),
+    )
+    totals = [F.count("*").alias("_n"), F.min("_seq").alias("_first"), F.sum("_weight").alias("_total")]
+    keys = F.struct(*key) if key else F.lit(None)
+    splits = parts.groupBy("_path", "_block").agg(*totals, F.min(keys).alias("_low"), F.max(keys).alias("_high"))
+    # One row per file split: Spark's own listing holds as many.
+    earlier = W.orderBy(*(["_low"] if key else [part_order("_path"), "_block"])).rowsBetween(W.unboundedPreceding, -1)
+    layout = settle(
+        splits.select(
+            "_path", "_block", "_n", "_first", "_total", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+            (F.col("_low") <= F.max("_high").over(earlier)).alias("_overlaps"),
+        ),
+        "layout",
+    )
+    if key and not layout.filter("_overlaps").isEmpty():
+        return prefix_sum(df.withColumn("_keys", F.struct(*key)), "_keys", weight, column).drop("_keys")
+    # The hint keeps the rows where they are read; a shuffle would lose their order.
+    placed = parts.join(F.broadcast(layout.drop("_overlaps")), ["_path", "_block"], "left").drop("_path", "_block")
+    schema = StructType(list(df.schema.fields)).add(column, LongType())
+    names, checked = df.columns, list(key)
+    return placed.mapInArrow(lambda batches: _sums_inside(batches, names, checked, column), schema)
+
+
+def _sums_inside(batches: Iterable[pa.RecordBatch], names: list[str], key: list[str], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with the sum of the weights before each, split after split."""
+    moved = "file splits moved between the passes; fix spark.sql.files.minPartitionNum"
+    before = left = 0  # the sum inside the split so far, and the rows that it still has
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch.select(key)]) if key else None
+        if batch.column("_first").null_count:
+            raise ValueError(moved)
+        seq, first, n, total, start, weight = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("_seq", "_first", "_n", "_total", "_before", "_weight")
+        )
+        at = seq - first
+        opens, closes = at == 0, at == n - 1
+        # Each row follows the one before it, or opens a split after one that was read to its end.
+        follows = at == np.concatenate([[n[0] - left if left else 0], at[:-1] + 1])
+        ended = np.concatenate([[left == 0], closes[:-1]])
+        if not np.where(opens, ended, follows & ~ended).all():
+            raise ValueError(moved)
+        running = np.cumsum(weight) - weight
+        opened = np.maximum.accumulate(np.where(opens, np.arange(len(at)), -1))
+        inside = running - np.where(opened >= 0, running[opened], -before)
+        if (inside + weight != total)[closes].any():
+            raise ValueError(moved)
+        if key:
+            joined = pa.concat_tables([last, table]) if last is not None else table
+            rises = _rises(joined.combine_chunks())
+            if not (rises | opens[len(opens) - len(rises) :]).all() or any(c.null_count for c in table.columns):
+                raise ValueError(f"the files are not sorted by {key}, or hold a key twice")
+            last = table.slice(table.num_rows - 1)
+        before, left = int(inside[-1] + weight[-1]), int(n[-1] - 1 - at[-1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(start + inside)], names=[*names, column])
+    if left:
+        raise ValueError(moved)
+
+
+def _rises(keys: pa.Table) -> np.ndarray:
+    """Whether each row's keys are above those of the row before it."""
+    above, tied = np.zeros(keys.num_rows - 1, bool), np.ones(keys.num_rows - 1, bool)
+    for values in keys.columns:
+        a, b = values.slice(0, keys.num_rows - 1), values.slice(1)
+        more, same = (f(b, a).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for f in (pc.greater, pc.equal))
+        above, tied = above | tied & more, tied & same
+    return above

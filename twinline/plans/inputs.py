@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.functions.text import make_pairs
-from twinline.operators.order import index_rows, prefix_sum
+from twinline.operators.order import index_rows, prefix_sum, sum_files
 from twinline.session import new_path, settle
 
 
@@ -80,12 +80,17 @@ def numbered_lines(
     """All document lines with a row number, per ``by`` when given: ``(row_idx, doc_id, file, text)``.
 
     Documents get the number of their first line from a prefix sum of their line
-    counts, so lines are not sorted. ``langs`` keeps the documents of some languages.
+    counts, so lines are not sorted; over all documents it follows the layout of their files.
+    ``langs`` keeps the documents of some languages.
     """
     docs = table(spark, sf_dir, "documents")
     if langs:
         docs = docs.filter(F.col("lang").isin(*langs))
     file = F.concat_ws(".", "source", "lang").alias("file")
+    if by is None:
+        rows = sum_files(docs.select("doc_id", file, "text"), F.size(F.split("text", "\n")), "first", ["doc_id"])
+        lines = rows.select("first", "doc_id", "file", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        return lines.select((F.col("first") + F.col("pos")).alias("row_idx"), "doc_id", "file", "text")
     counts = docs.select("doc_id", file, F.size(F.split("text", "\n")).alias("n"))
     first = settle(prefix_sum(counts, "doc_id", F.col("n"), "first", by), "first-lines")
     lines = docs.select("doc_id", F.split("text", "\n").alias("lines")).join(first, "doc_id")

@@ -551,7 +551,7 @@ FROM stream GROUP BY ALL HAVING count(*) = {BLOCK}"""
 @query(f"WITH {sql.LINES}, rows AS (SELECT row_idx, {sql.ids('text')} AS ids FROM lines), {_packed('rows', 'row_idx')}")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = settle(inputs.numbered_lines(spark, sf_dir).select("row_idx", "text"), "lines")
-    blocks = batches.pack_sequences(lines, "text", BLOCK)
+    blocks = batches.pack_sequences(lines, "text", BLOCK, in_files=True)
     return blocks.select("block_id", joined("input_ids").alias("input_ids"))
 
 
