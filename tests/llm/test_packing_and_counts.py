@@ -43,6 +43,14 @@ def test_pack(odd_docs, tokenizer):
         assert sum((joined[s] for s in sorted(joined)), []) == ids
 
 
+def test_a_bucket_holds_one_length(spark, odd_docs, tmp_path):
+    path = str(tmp_path / "buckets")
+    pieces = binary_packing.pack(odd_docs)
+    binary_packing.write_buckets(pieces, path)
+    read = spark.read.parquet(path)
+    assert read.count() == pieces.count() and read.filter("length <> 1 << bucket").count() == 0
+
+
 def test_pack_needs_a_power_of_two(odd_docs):
     with pytest.raises(ValueError):
         binary_packing.pack(odd_docs, longest=1000)

@@ -67,7 +67,7 @@ def pack(
     longest: int = LONGEST,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """Sequences ``(<key>, start, length, ids, doc_tokens, sequence_id, offset)``.
+    """Sequences ``(<key>, start, length, ids, doc_tokens, sequence_id, offset, bucket)``; bucket b holds those of 2 ** b ids.
 
     ``ids`` holds little-endian unsigned 32-bit ids. ``path`` is the vocabulary
     file, the installed public one by default. The rows come straight from the
@@ -90,6 +90,7 @@ def pack(
         "doc_tokens",
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
+        F.round(F.log2("length")).cast("int").alias("bucket"),
     )
 
 
@@ -98,5 +99,5 @@ def ids_crc32() -> Column:
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write sequences to one folder per length, ready for batches without padding."""
-    pieces.write.partitionBy("length").parquet(path)
+    """Write sequences to one folder per bucket, ready for batches without padding."""
+    pieces.write.partitionBy("bucket").parquet(path)
