@@ -1,10 +1,12 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from twinline.llm import language_id, suffix_tree, toxicity
@@ -44,6 +46,64 @@ def test_toxicity(spark, odd_docs):
     assert odd.select("_row.*").columns == odd_docs.columns
 
 
+def test_grades_of_the_labels_are_learnt(spark):
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(600):
+        grade = i % 4 if i % 8 < 4 else 0
+        words = prose(2000 + i, 40).split()
+        for _ in range(2 * grade):
+            words.insert(rng.randrange(len(words)), rng.choice(["zzbad", "zzworse", "zzworst"][:grade]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, grade))
+    docs, graded = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int")
+    model = toxicity.fit(docs, graded, F.col("grade"))
+    assert len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+    found = toxicity.predict(docs, model).select("_row.doc_id", "severity", "grade", "p_toxic").collect()
+    means = [np.mean([r.severity for r in found if labels[r.doc_id][1] == g]) for g in range(4)]
+    assert means == sorted(means) and means[3] > means[1] + 0.5
+    # The same by a plain sum of weights: probabilities above each threshold, their sum and differences.
+    weights = dict(zip(model.terms, model.weights))
+    for r in found:
+        words = set(re.findall(r"\w+", rows[r.doc_id][1].lower()))
+        score = sum(weights.get(t, 0.0) for t in words | {w[:4] + "*" for w in words if len(w) > 4})
+        above = [1.0, *(1 / (1 + math.exp(t - score)) for t in model.thresholds), 0.0]
+        each = [a - b for a, b in zip(above, above[1:])]
+        assert math.isclose(r.severity, sum(g * p for g, p in enumerate(each)), rel_tol=1e-6, abs_tol=1e-9)
+        assert math.isclose(r.p_toxic, above[1], rel_tol=1e-6) and each[r.grade] == max(each)
+
+
+def test_languages_by_plain_recomputation(spark, odd_docs):
+    parts = {"aa": "wal mun tek".split(), "bb": "io ea ui".split(), "cc": "shr zdr prk".split()}
+    rng, rows = random.Random(4), []
+    for i in range(120):
+        lang = rng.choice(sorted(parts))
+        rows.append((i, " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(rng.choice((3, 40, 4000)))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language_id.fit(docs, F.col("doc_id") % 4 != 2)
+    counts = {x: sum(r[2] == x and r[0] % 4 != 2 for r in rows) for x in parts}
+    assert list(learnt) == sorted(parts, key=lambda x: (-counts[x], x)) and all(0 < len(d) <= 1 << 16 for d in learnt.values())
+
+    def size(content, dictionary):
+        total, n = 0, max(1, math.ceil(len(content) / 4096))
+        for i in range(n):
+            known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=9)
+            how = zstandard.ZstdCompressor(dict_data=known, level=9, write_checksum=False, write_content_size=False, write_dict_id=False)
+            total += len(how.compress(content[len(content) * i // n : len(content) * (i + 1) // n]))
+        return total
+
+    both = docs.select("doc_id", "text").union(odd_docs.select("doc_id", F.substr("text", F.lit(1), F.lit(20_000))))
+    for r in language_id.predict(both, learnt).select("_row.text", "lang_pred", "score", "accepted").collect():
+        words = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip()
+        if not any(c.isalpha() for c in words):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+            continue
+        sizes = {x: size(f" {words} ".encode(), d) for x, d in learnt.items()}
+        best = min(learnt, key=sizes.get)  # a tie goes to the first, learnt from more rows
+        gap = (min(s for x, s in sizes.items() if x != best) - sizes[best]) / sizes[best]
+        assert r.lang_pred == best and math.isclose(r.score, min(1.0, gap), abs_tol=1e-12) and r.accepted == (gap >= 0.01)
+
+
 def test_toxicity_without_labels(odd_docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")

@@ -100,10 +100,10 @@ def fit(
     terms: int = TERMS,
     severe: int = SEVERE,
 ) -> Model:
-    """Learn grades 0 (not toxic), 1 (toxic) and 2 (severe) from a 0/1 flag.
+    """Learn the grades 0, 1, 2, … of the labels, with a threshold below each but the lowest.
 
-    The labels tell only toxic from not; a toxic text with at least ``severe``
-    different associated terms counts as severe.
+    Labels of 0 and 1 tell only toxic from not; there a toxic text with at least
+    ``severe`` different associated terms counts as severe, grade 2.
     """
     rows = settle(_terms(labelled(docs, labels, flag, key, text, sample), PREFIXES), "labelled")
     vocabulary = tuple(sorted(term for term, _ in _associated(rows, terms, LEAST_ROWS, ODDS)))
@@ -112,8 +112,10 @@ def fit(
     index = {term: i for i, term in enumerate(vocabulary)}
     cells = [[index[t] for t in found] for found in sparse["terms"]]
     words = np.array([sum(not vocabulary[i].endswith("*") for i in c) for c in cells], dtype=int)
-    grades = np.where((sparse["grade"].to_numpy() > 0) & (words >= severe), 2, np.minimum(sparse["grade"].to_numpy(), 1))
-    return fit_ordinal(cells, grades.astype(int), vocabulary, 3)
+    grades = np.maximum(sparse["grade"].to_numpy(), 0).astype(int)
+    if grades.max(initial=0) < 2:
+        grades = np.where((grades > 0) & (words >= severe), 2, grades)
+    return fit_ordinal(cells, grades, vocabulary, max(2, grades.max(initial=0)) + 1)
 
 
 def fit_ordinal(cells: list[list[int]], grades: np.ndarray, vocabulary: tuple[str, ...], levels: int) -> Model:
