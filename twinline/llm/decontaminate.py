@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinline.llm.words import Hashes, plain_words
@@ -44,6 +45,7 @@ LEAST = 8  # tokens an overlap must have, or the whole of a shorter item
 SHARE = 0.8  # share of agreeing positions in an overlap
 COVER = 0.5  # share of the item's tokens that must lie in the overlap,
 ENOUGH = 13  # unless so many tokens agree
+TOGETHER = 64  # items that are laid along a document at a time
 STRETCH = 4  # agreeing tokens of a stretch that may be chained, or the whole of a shorter item
 
 
@@ -234,9 +236,12 @@ def overlaps(
     hits = body.select("row", "text").mapInArrow(lambda batches: _hit_table(batches, used, shared.value), _HITS)
     laid = hits.join(bench_hits, "seed").select("row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     laid = laid.groupBy("row", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    # A document meets its items some at a time, however many a common phrase hits; texts come after the cut.
+    place = F.row_number().over(W.partitionBy("row").orderBy("item_id"))
+    laid = laid.withColumn("part", F.floor((place - 1) / TOGETHER))
     laid = laid.join(bench.select(F.col("row").alias("item_id"), "text"), "item_id")
-    laid = settle(laid.groupBy("row").agg(F.collect_list(F.struct("item_id", "text", "diagonals")).alias("items")), "laid")
-    found = body.join(laid, "row").dropDuplicates(["row"]).select("key", "check", "text", "items")
+    laid = settle(laid.groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "text", "diagonals")).alias("items")), "laid")
+    found = body.join(laid, "row").dropDuplicates(["row", "part"]).select("key", "check", "text", "items")
     pairs = found.mapInArrow(
         lambda batches: _overlaps(batches, least, share, cover, enough),
         "key long, check long, item_id long, start int, length int, matches int, share double",
@@ -248,8 +253,11 @@ def overlaps(
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, with all their columns."""
-    dirty = overlaps(docs, items, key, text, **options).select(F.col(key).alias("_key"), "check").distinct()
+    """The rows of ``docs`` that overlap with no item, with all their columns.
+
+    What goes is written first: where it is few, Catalyst moves no document.
+    """
+    dirty = settle(overlaps(docs, items, key, text, **options).select(F.col(key).alias("_key"), "check").distinct(), "dirty")
     own, check = F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash")
     rows = docs.select(F.struct("*").alias("_row"), own, check)
     kept = rows.join(dirty, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("check")), "left_anti")
