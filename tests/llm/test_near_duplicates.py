@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from twinline.llm import decontaminate, simhash
 from twinline.llm.components import components
 
-from .conftest import by_union, jaccard, prose
+from .conftest import by_union, prose
 
 
 def plain_fingerprint(text, shingle=4):
@@ -82,71 +83,58 @@ def edited(words, rng, share):
     return " ".join(words)
 
 
-def test_keep_first_finds_near_copies_and_leaves_others(spark):
-    rng, rows, twins = random.Random(2), [], {}
+def firsts(rows):
+    """The smallest key of every component of fingerprints that differ in 4 bits or fewer, by all pairs."""
+    prints = [plain_fingerprint(t) for _, t in rows]
+    roots = by_union([(i, j) for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    first = {}
+    for i, (key, _) in enumerate(rows):
+        root = roots.get(i, i)
+        first[root] = min(first.get(root, key), key)
+    return sorted(first.values())
+
+
+def test_keep_first_keeps_one_of_each_component(spark):
+    rng, rows = random.Random(2), []
     for i in range(60):
         words = prose(100 + i, 200).split()
         rows.append((i, " ".join(words)))
-        for k, share in enumerate((0.005, 0.01, 0.015, 0.2)):
-            text = edited(words, rng, share)
-            rows.append((1000 + 10 * i + k, text))
-            twins[1000 + 10 * i + k] = jaccard(words, text.split(), 5)
+        rows += [(1000 + 10 * i + k, edited(words, rng, share)) for k, share in enumerate((0.005, 0.01, 0.015, 0.2))]
     rows += [(5000, rows[0][1]), (5000, rows[0][1])]
-    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(range(60)) <= kept and 5000 not in kept
-    near = [i for i, s in twins.items() if s >= 0.85]
-    far = [i for i, s in twins.items() if s < 0.6]
-    assert len(near) > 100 and sum(i in kept for i in near) <= 0.02 * len(near)
-    assert len(far) == 60 and all(i in kept for i in far)
-
-
-def test_keep_first_compares_shingles_not_their_repeats(spark):
-    line, long_line = prose(8000, 13), prose(8001, 13)
-    rows = [(i, "\n".join([prose(8100 + i, 100)] + [line] * 10)) for i in range(10)]
-    rows += [(100 + i, "\n".join([prose(8200 + i, 300)] + [long_line] * 20)) for i in range(10)]
-    clean = {i for i, _ in rows}
-    for i in range(10):
-        lines = [prose(8300 + 100 * i + k, 12) for k in range(30)]
-        rows += [(200 + i, "\n".join(lines)), (300 + i, "\n".join(lines[:5] + lines[5:6] * 10 + lines[6:]))]
-        clean.add(200 + i)
-    found = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id for r in found} == clean
-
-
-def test_keep_first_draws_the_line_at_the_similarity(spark):
-    rng, rows, twins = random.Random(12), [], {}
-    for i in range(100):
-        words = prose(8500 + i, 300).split()
-        text = edited(words, rng, rng.choice((0.02, 0.024, 0.027, 0.03, 0.034)))
-        twins[1000 + i] = jaccard(words, text.split(), 5)
-        rows += [(i, " ".join(words)), (1000 + i, text)]
-    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    near = [i for i, s in twins.items() if s >= 0.8]
-    assert 20 < len(near) < 80 and sum(i in kept for i in near) <= 0.03 * len(near)
-    assert all(i in kept for i, s in twins.items() if s < 0.8)
-
-
-@pytest.mark.parametrize("together", [1 << 12, 1 << 25])
-def test_verified_connects_as_all_pairs_do(spark, together):
-    rng, texts = random.Random(3), []
-    for i in range(4):
-        words = prose(8700 + i, 120).split()
-        texts += [" ".join(words), *(edited(words, rng, rng.choice((0.01, 0.02, 0.03))) for _ in range(8))]
-    sets = [np.unique(simhash.shingles(t.encode().split(), 5)) for t in texts]
-    rows = [(b"r", simhash.fingerprint(x, 8), i.to_bytes(2, "big"), t) for i, (x, t) in enumerate(zip(sets, texts))]
-    found = simhash.verified(spark.createDataFrame(rows, "root binary, fp binary, same binary, text string"), together=together).collect()
-    exact = [(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i].split(), texts[j].split(), 5) >= 0.8]
-    assert 4 < len(exact) < 200
-    assert by_union([(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in found]) == by_union(exact)
+    rng.shuffle(rows)
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == firsts(rows)
+    assert set(range(60)) <= set(kept) and 5000 not in kept and 60 < len(kept) < len(rows) - 30
+
+
+def test_keep_first_of_a_large_group_of_copies(spark):
+    rng, text = random.Random(8), prose(77, 400)
+    rows = [(i, text if i % 3 else edited(text.split(), rng, 0.003)) for i in range(1500)] + [(9000, prose(78, 400))]
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == firsts(sorted(set(rows)))
+
+
+def test_rings_that_miss_links_are_refused():
+    with pytest.raises(ValueError):
+        simhash.Ring(segments=4, threshold=4, chain=4)
 
 
 def test_keep_first_on_odd_rows(odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [-5, 1, 4, 7, 8, 9, 10, 11, 13]
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    named = [(10**9 if k is None else k, t) for k, t in rows]
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.select("doc_id").collect()) == firsts(named)
     assert simhash.keep_first(no_docs).count() == 0 and simhash.group(no_docs).count() == 0
 
 
+def test_keep_first_keeps_one_of_equal_rows(spark):
+    texts = [prose(50, 60), prose(51, 60), None, ""]
+    rows = [(k, texts[k % 4]) for k in (0, 0, 1, 1, 2, 3, 3)] + [(None, prose(52, 60))] * 2
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "None"]
+
+
 def test_overlaps(spark):
     rng = random.Random(9)
     items = [(i, prose(500 + i, n)) for i, n in enumerate((20, 40, 12, 60, 5, 1))] + [(10, None), (11, ""), (12, prose(500, 20))]
@@ -249,3 +237,61 @@ def test_overlaps_with_random_substitutions(spark):
             rows.append((key, " ".join([*body[:40], *words, *body[40:]])))
     found = leaks(spark, rows, items)
     assert {(i, i) for i, _ in rows} <= set(found)
+
+
+def exhaustive(text, item, share=0.8, least=8, cover=0.5, enough=13):
+    """Whether a stretch of one diagonal is an overlap, by trying all of them."""
+    doc, words = re.findall(r"\w+", text.lower()), re.findall(r"\w+", item.lower())
+    for diagonal in range(-len(words) + 1, len(doc)):
+        same = [0 <= i + diagonal < len(doc) and doc[i + diagonal] == w for i, w in enumerate(words)]
+        total = np.concatenate([[0], np.cumsum(same)])
+        inside = [i for i in range(len(words)) if 0 <= i + diagonal < len(doc)]
+        for a in inside:
+            for b in range(a + min(least, len(words)), inside[-1] + 2):
+                agree, length = total[b] - total[a], b - a
+                if agree >= share * length and (length >= cover * len(words) or agree >= enough):
+                    return True
+    return False
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("together", [1, 64])
+def test_overlaps_equal_an_exhaustive_search(spark, monkeypatch, together):
+    monkeypatch.setattr(decontaminate, "TOGETHER", together)
+    rng, rows = random.Random(21), []
+    items = [(k, prose(3000 + k, rng.choice((6, 9, 14, 25, 40)))) for k in range(14)]
+    for i in range(40):
+        body = prose(3100 + i, rng.choice((20, 60))).split()
+        for _ in range(i % 3):
+            words = rng.choice(items)[1].split()
+            a, b = sorted(rng.sample(range(len(words) + 1), 2))
+            part = words[a:b] if i % 2 else list(words)
+            for j in rng.sample(range(len(part)), len(part) // rng.choice((3, 5, 8))):
+                part[j] = "swapped"
+            at = rng.randrange(len(body))
+            body[at:at] = part
+        rows.append((i, " ".join(body)))
+    found = leaks(spark, rows, items)
+    due = {(i, k) for i, text in rows for k, item in items if exhaustive(text, item)}
+    assert 15 < len(due) < 300 and due <= set(found)
+    texts, benchmark = dict(rows), dict(items)
+    for (i, k), r in found.items():  # what is found beside is chained: its words agree in their order
+        stretch = texts[i].split()[r.start : r.start + r.length]
+        assert common(stretch, benchmark[k].split()) >= r.matches >= 0.8 * r.length
+
+
+def test_a_phrase_that_all_items_and_documents_hold(spark):
+    line = prose(4000, 20)
+    items = [(k, f"{prose(4100 + k, 8)} {line}") for k in range(300)]
+    rows = [(i, f"{prose(4500 + i, 30)} {line}") for i in range(20)] + [(100, prose(4600, 30))]
+    assert set(leaks(spark, rows, items)) == {(i, k) for i in range(20) for k in range(300)}

@@ -8,13 +8,7 @@ on the candidates, and only what is left meets the full Hamming check.
 
 With ``m = t + 1`` a chain starts with an equal segment, followed by one that
 differs in one bit at most; joining on both, with one bit flipped on one side,
-finds every pair (``RING``). Fingerprints of many words, for a similarity of 0.8,
-allow for more bits than that; there the join is on one equal segment of 16
-bits in any of several orders of the bits (``WIDE``). All later tests lose nothing.
-
-For ``keep_first`` fingerprints only propose. Each different shingle of a text counts
-once, and texts of one group are compared by the exact Jaccard similarity of
-their shingles before they are linked (``verified``).
+finds every pair.
 
 Fingerprints that occur often are joined once. A bucket is linked by a spanning
 forest, not by all its pairs; a bucket with more than ``PIECE`` fingerprints is cut
@@ -27,7 +21,6 @@ fingerprint; a component of null keys alone has a null id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -46,44 +39,31 @@ PIECE = 8_192
 SMALL = 48  # rows of a bucket up to which its pairs are laid out together
 PAIRS = 1 << 20  # pairs tested at once
 STRIDE = 1 << 13  # shingles whose bits are counted at once
-ALIKE = 0.8  # Jaccard similarity of shingles from which texts are near-duplicates
-SPARE = 4.0  # standard deviations of the differing bits that the threshold allows beside their mean
-TOGETHER = 32 << 20  # bytes of shingles compared in one task, about
-SETS = 4_096  # of a root whose fingerprints are compared in one task, twice as many where two pieces meet
 
 
 @dataclass(frozen=True)
 class Ring:
-    """``words`` of 64 bits, cut into ``segments``; links differ in at most ``threshold`` bits.
+    """64 bits cut into ``segments``, one more than the ``threshold`` of bits in which links differ.
 
-    ``flips`` joins on two segments, with at most one bit changed in the second.
-    ``chain`` is the length up to which chains are tested. ``orders`` is the number of
-    orders of the bits that are cut into segments, the first as they are.
+    ``chain`` is the length up to which chains are tested.
     """
 
-    words: int
     segments: int
     threshold: int
-    flips: bool
     chain: int
-    orders: int = 1
+
+    def __post_init__(self):
+        if self.segments != self.threshold + 1:
+            raise ValueError("the join finds every link only with one segment more than bits may differ")
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
         """Offset and width of each segment."""
-        at = [64 * self.words * i // self.segments for i in range(self.segments + 1)]
+        at = [64 * i // self.segments for i in range(self.segments + 1)]
         return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
-def bits_for(similarity: float, bits: int, spare: float = 0.0) -> int:
-    """Bits in which fingerprints of texts of this Jaccard similarity differ on average, and ``spare`` deviations more, rounded up."""
-    cosine = 2 * similarity / (1 + similarity)
-    share = math.acos(cosine) / math.pi
-    return math.ceil(bits * share + spare * math.sqrt(bits * share * (1 - share)))
-
-
-RING = Ring(words=1, segments=5, threshold=4, flips=True, chain=4)
-WIDE = Ring(words=8, segments=32, threshold=bits_for(ALIKE, 512, SPARE), flips=False, chain=4, orders=2)
+RING = Ring(segments=5, threshold=4, chain=4)
 
 
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -100,58 +80,32 @@ def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n)
 
 
-def fingerprint(hashes: np.ndarray, width: int = 1) -> bytes:
-    """The fingerprint, most significant byte first; its last word is that of the plain hash."""
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The fingerprint, most significant byte first."""
     n = len(hashes)
-    if not n:
-        return bytes(8 * width)
-    counts = np.zeros(64 * width, np.int64)
+    counts = np.zeros(64, np.int64)
     for at in range(0, n, STRIDE):
-        some = hashes[at : at + STRIDE]
-        wide = np.empty((len(some), width), ">u8")
-        wide[:, -1] = some
-        for k in range(1, width):
-            wide[:, -1 - k] = _mixed(some, k)
-        bits = np.unpackbits(wide.view(np.uint8).reshape(len(some), 8 * width), axis=1)
+        some = hashes[at : at + STRIDE].astype(">u8")
+        bits = np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1)
         counts += np.add.reduce(bits, axis=0, dtype=np.uint16)
     return np.packbits(2 * counts > n).tobytes()
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another 64-bit hash made from the first: add a multiple of the golden ratio, multiply and fold."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
-    for factor, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, once: bool = False
-) -> DataFrame:
-    """``(key, fp, check, same)`` of every row; ``check`` is a hash of the text that tells rows of one key apart.
-
-    With ``once`` each different shingle counts once, and ``same`` is a hash of the set of them; else it is null.
-    """
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """``(key, fp, check)`` of every row; ``check`` is a hash of the text that tells rows of one key apart."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, same = [], []
-            for x in batch.column(1):
-                hashes = shingles(ascii_words(x.as_py()), shingle)
-                if once:
-                    hashes = np.unique(hashes)
-                found.append(fingerprint(hashes, words))
-                same.append(xxhash.xxh3_128_digest(hashes.tobytes()) if once else None)
-            columns = [batch.column(0), pa.array(found, pa.binary()), batch.column(2), pa.array(same, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "check", "same"])
+            found = [fingerprint(shingles(ascii_words(x.as_py()), shingle)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["key", "fp", "check"])
 
     text_column = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("key"), text_column.alias("text"), F.xxhash64(text_column).alias("check"))
-    return rows.mapInArrow(hashed, "key long, fp binary, check long, same binary")
+    return rows.mapInArrow(hashed, "key long, fp binary, check long")
 
 
-def _matrix(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * words)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -162,41 +116,23 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def _segments(rows: np.ndarray, ring: Ring) -> np.ndarray:
     """Values of the segments, counted from the most significant bit: one row per fingerprint."""
-    if ring.words == 1:
-        values = rows.view(">u8").astype(np.uint64)[:, 0]
-        return np.stack([(values >> np.uint64(64 - a - w)) & np.uint64((1 << w) - 1) for a, w in ring.cuts], axis=1)
-    if {w for _, w in ring.cuts} != {16}:
-        raise ValueError("fingerprints of several words are cut into segments of 16 bits")
-    return rows.view(">u2").astype(np.uint64)
-
-
-def _reordered(rows: np.ndarray, order: int) -> np.ndarray:
-    """The fingerprints with their bits in another order, the same for all; order 0 leaves them."""
-    if not order:
-        return rows
-    places = np.random.default_rng(order).permutation(8 * rows.shape[1])
-    return np.ascontiguousarray(np.packbits(np.unpackbits(rows, axis=1)[:, places], axis=1))
+    values = rows.view(">u8").astype(np.uint64)[:, 0]
+    return np.stack([(values >> np.uint64(64 - a - w)) & np.uint64((1 << w) - 1) for a, w in ring.cuts], axis=1)
 
 
 def _keys(batches: Iterable[pa.RecordBatch], ring: Ring) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, n = _matrix(batch.column(0), ring.words), ring.segments
-        for order in range(ring.orders):
-            values = _segments(_reordered(rows, order), ring)
-            for i in range(n):
-                following = (i + 1) % n
-                width = ring.cuts[following][1]
-                head = np.uint64(order * n + i) << np.uint64(56)
-                if ring.flips:
-                    head = head | values[:, i] << np.uint64(width) | values[:, following]
-                    made = [head, *(head ^ np.uint64(1 << bit) for bit in range(width))]
-                else:
-                    made = [head | values[:, i]]
-                for number, keys in enumerate(made):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.astype(np.int64)), pa.array(np.full(len(rows), number == 0)), _binary(rows)],
-                        names=["bucket", "exact", "fp"],
-                    )
+        rows, n = _matrix(batch.column(0)), ring.segments
+        values = _segments(rows, ring)
+        for i in range(n):
+            following = (i + 1) % n
+            width = ring.cuts[following][1]
+            head = np.uint64(i) << np.uint64(56) | values[:, i] << np.uint64(width) | values[:, following]
+            for number, keys in enumerate([head, *(head ^ np.uint64(1 << bit) for bit in range(width))]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.astype(np.int64)), pa.array(np.full(len(rows), number == 0)), _binary(rows)],
+                    names=["bucket", "exact", "fp"],
+                )
 
 
 def _close(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
@@ -309,11 +245,11 @@ def _forest_of(rows: np.ndarray, exact: np.ndarray, runs: np.ndarray, ring: Ring
 
 
 def _scan(batches: Iterable[pa.RecordBatch], ring: Ring) -> Iterator[pa.RecordBatch]:
-    held = (np.empty((0, 8 * ring.words), np.uint8), np.empty(0, bool), np.empty(0, np.int64))
+    held = (np.empty((0, 8), np.uint8), np.empty(0, bool), np.empty(0, np.int64))
     for batch in batches:
         runs = np.concatenate([held[2], batch.column(0).to_numpy(zero_copy_only=False)])
         exact = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False)])
-        rows = np.concatenate([held[0], _matrix(batch.column(2), ring.words)])
+        rows = np.concatenate([held[0], _matrix(batch.column(2))])
         if not len(runs):
             continue
         last = np.searchsorted(runs, runs[-1])
@@ -351,84 +287,30 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     ``component`` is the smallest key that links lead to, ``root`` its smallest fingerprint.
     """
-    rows = settle(fingerprints(docs, key, text, shingle, ring.words), "fingerprints")
+    rows = settle(fingerprints(docs, key, text, shingle), "fingerprints")
     rooted = _rooted(rows, ring)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lowest, "root").select("fp", "root", "component")
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "check", "root", "component")
 
 
-def _alike(rows: np.ndarray, sets: list[np.ndarray], ring: Ring, alike: float) -> list[tuple[int, int]]:
-    """Links that connect as all pairs do whose fingerprints are near enough and whose sets are at least ``alike``."""
-    found, labels = [], np.arange(len(sets))
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    rows = np.ascontiguousarray(rows)
-    for i in range(1, len(sets)):
-        near = _distance(rows[:i], rows[i : i + 1]) <= ring.threshold
-        near &= np.minimum(sizes[:i], sizes[i]) >= alike * np.maximum(sizes[:i], sizes[i])
-        left = np.flatnonzero(near)
-        while len(left):  # a link takes all sets of its component off the list
-            j, left = int(left[0]), left[1:]
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if common >= alike * (sizes[i] + sizes[j] - common):
-                earlier = labels[: i + 1]
-                earlier[earlier == labels[i]] = labels[j]
-                left = left[labels[left] != labels[j]]
-                found.append((j, i))
-    return found
-
-
-def verified(texts: DataFrame, ring: Ring = WIDE, shingle: int = 5, alike: float = ALIKE, together: int = TOGETHER) -> DataFrame:
-    """Links ``(a, b)`` between the sets of ``texts (root, fp, same, text)``, one row a set, whose Jaccard similarity is at least ``alike``.
-
-    Only sets of one root are compared. A root with more than ``together`` bytes of
-    shingles, or more than ``SETS`` sets, is cut into pieces that meet pairwise in different tasks: no
-    task compares more than about 2 ``SETS`` ** 2 pairs of fingerprints.
-    """
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, ring: Ring = RING) -> DataFrame:
+    """One row of each component of :func:`group`, the one with the smallest key; the columns of ``docs``.
 
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x in enumerate(batch.column(3)):
-                held = np.unique(shingles(ascii_words(x.as_py()), shingle)).tobytes()
-                columns = [*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([held], pa.binary()), pa.array([len(held)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["root", "fp", "same", "held", "size"])
-
-    def compared(table: pa.Table) -> pa.Table:
-        names = table.column("same").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
-        pairs = _alike(_matrix(table.column("fp"), ring.words), sets, ring, alike)
-        return pa.table({"a": pa.array([names[i] for i, _ in pairs], pa.binary()), "b": pa.array([names[j] for _, j in pairs], pa.binary())})
-
-    kind = "root binary, fp binary, same binary, held binary, size long"
-    rows = settle(texts.select("root", "fp", "same", "text").mapInArrow(hashed, kind), "shingles")
-    pieces = F.ceil(F.greatest(F.sum("size") / together, F.count("*") / SETS)).cast("int").alias("pieces")
-    large = settle(rows.groupBy("root").agg(pieces).filter("pieces > 1"), "large")
-    rows = rows.withColumn("part", F.lit(0).cast("long"))
-    if not large.isEmpty():
-        rows = rows.join(large, "root", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("same"), F.col("pieces")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        rows = rows.withColumn("part", F.least("own", "other") * F.col("pieces") + F.greatest("own", "other"))
-    return rows.select("root", "part", "fp", "same", "held").groupBy("root", "part").applyInArrow(compared, "a binary, b binary")
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, ring: Ring = WIDE, alike: float = ALIKE) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest key; the columns of ``docs``.
-
-    A group is connected by pairs whose different shingles have a Jaccard similarity of at least ``alike``.
+    Nulls come after all keys; of texts with one key that with the smaller hash stays, and of equal rows one. Rows are
+    dropped by a table of the keys and text hashes that go, so where it is small no document is moved.
     """
-    rows = settle(fingerprints(docs, key, text, shingle, ring.words, once=True), "fingerprints")
+    rows = settle(group(docs, key, text, shingle, ring).select(F.col(key).alias("key"), "check", "root"), "grouped")
     first = F.struct(F.col("key").isNull().alias("none"), "key", "check")
-    sets = rows.join(_rooted(rows, ring).select("fp", "root"), "fp")
-    sets = settle(sets.groupBy("same").agg(F.first("fp").alias("fp"), F.first("root").alias("root"), F.min(first).alias("first")), "sets")
-    several = sets.groupBy("root").count().filter(F.col("count") > 1).select("root")
-    asked = sets.join(several, "root").select("root", "fp", "same", F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
-    own, check = F.col(key).cast("long").alias("_own"), F.xxhash64(F.col(text).cast("string")).alias("_hash")
-    named = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_check"))
-    texts = docs.select(own, check, F.col(text).cast("string").alias("text")).join(asked, named).dropDuplicates(["same"])
-    linked = components(verified(texts, ring, shingle, alike)).withColumnRenamed("node", "same").withColumnRenamed("root", "head")
-    grouped = sets.join(linked, "same", "left").groupBy(F.coalesce("head", "same").alias("head")).agg(F.min("first").alias("first"))
-    kept = grouped.select(F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
-    rows = docs.select(F.struct("*").alias("_row"), own, check)
-    chosen = rows.join(kept.distinct(), named, "left_semi")
-    return chosen.dropDuplicates(["_own", "_hash"]).select("_row.*")
+    kept = rows.groupBy("root").agg(F.min(first).alias("first"))
+    kept = kept.select(F.col("first.key").alias("_key"), F.col("first.check").alias("_check"))
+    found = rows.groupBy("key", "check").agg(F.count("*").alias("n"))
+    named = F.col("key").eqNullSafe(F.col("_key")) & (F.col("check") == F.col("_check"))
+    found = found.join(kept.withColumn("stays", F.lit(True)), named, "left").select("key", "check", "n", F.col("stays").isNotNull().alias("stays"))
+    marked = settle(found.filter("n > 1 or not stays"), "marked")
+    own = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_check"))
+    single = own.join(marked, named, "left_anti").select("_row.*")
+    repeated = marked.filter("stays")
+    if repeated.isEmpty():
+        return single
+    return single.union(own.join(repeated, named, "left_semi").dropDuplicates(["_key", "_check"]).select("_row.*"))
