@@ -106,11 +106,10 @@ def _overlaps(batches, least: int, share: float, cover: float, enough: int) -> I
     known = Hashes()
     for batch in batches:
         out = []
-        laid = batch.column(3).to_pylist()
-        for key, check, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), laid):
+        for key, check, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             doc = known.of(plain_words(text.as_py()))
             best: dict[int, tuple] = {}
-            for item in items:
+            for item in items.as_py():
                 words = known.of(plain_words(item["text"]))
                 stretches = []
                 for diagonal in item["diagonals"]:

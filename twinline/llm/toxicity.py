@@ -37,6 +37,7 @@ SEVERE = 4  # different associated terms from which a toxic text is severe
 RIDGE = 1e-4
 REJECT = 0.2  # probability of any toxic grade from which a text is rejected
 STEPS = 400
+STRIDE = 256  # texts whose terms are handed on at a time
 
 
 @dataclass(frozen=True)
@@ -58,10 +59,12 @@ def _terms(rows: DataFrame, prefixes: Sequence[int]) -> DataFrame:
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features(text.as_py(), prefixes)) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["key", "grade", "terms"]
-            )
+            for at in range(0, batch.num_rows, STRIDE):  # terms take far more memory than their texts
+                part = batch.slice(at, STRIDE)
+                found = [sorted(features(text.as_py(), prefixes)) for text in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["key", "grade", "terms"]
+                )
 
     return rows.mapInArrow(terms, "key long, grade int, terms array<string>")
 
