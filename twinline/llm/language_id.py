@@ -23,7 +23,7 @@ predicted each; where nothing can be learnt every text is ``und``.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import zstandard
@@ -90,7 +90,7 @@ def fit(
     return {lang: b" ".join(texts)[-size:] for lang, texts in by_language.items()}
 
 
-@cache
+@lru_cache(maxsize=1)  # a worker outlives its job; the compressors of earlier dictionaries must not pile up in it
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> list:
     made = []
     for _, content in dictionaries:
