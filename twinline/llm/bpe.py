@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -49,9 +48,11 @@ class _Words(dict):
         return ids
 
 
-@cache
 def encoder(path: str, special: bool = False):
-    """A function from text to its ids as an array; one per worker and vocabulary file.
+    """A function from text to its ids as an array.
+
+    Every task makes its own, in about a tenth of a second: a worker outlives its
+    job, and an encoder kept in it would lie beside the tables of all later operators.
 
     With ``special`` the separator's own string in a text gives its id, as the
     vocabulary's ``Tokenizer`` does unless told otherwise; without, it is ordinary text.

@@ -23,9 +23,10 @@ predicted each; where nothing can be learnt every text is ``und``.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -90,7 +91,6 @@ def fit(
     return {lang: b" ".join(texts)[-size:] for lang, texts in by_language.items()}
 
 
-@lru_cache(maxsize=1)  # a worker outlives its job; the compressors of earlier dictionaries must not pile up in it
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> list:
     made = []
     for _, content in dictionaries:
@@ -115,22 +115,23 @@ def predict(
     """All rows as ``(_row, lang_pred, score, accepted)``; ``_row`` is the row itself, the score is between 0 and 1."""
     learnt = tuple(dictionaries.items())
 
+    # The compressors are a task's own: a worker outlives its job, and what is kept in it lies beside all later tables.
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
-    def classify(texts):
-        import pandas as pd
-
-        compressors, rows = _compressors(learnt, level), []
-        for x in texts:
-            content = letters(x)
-            if not compressors or not any(map(str.isalpha, content)):  # signs that count as digits or words are no letters
-                rows.append((UNKNOWN, 0.0, False))
-                continue
-            parts = blocks(f" {content} ".encode("utf-8", "replace"))
-            sizes = np.array([sum(len(c.compress(part)) for part in parts) for c in compressors], dtype=float)
-            best = int(sizes.argmin())
-            gap = (np.delete(sizes, best).min() - sizes[best]) / sizes[best] if len(sizes) > 1 else 1.0
-            rows.append((learnt[best][0], min(1.0, float(gap)), bool(gap >= margin)))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "accepted"])
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compressors = _compressors(learnt, level)
+        for texts in batches:
+            rows = []
+            for x in texts:
+                content = letters(x)
+                if not compressors or not any(map(str.isalpha, content)):  # signs that count as digits or words are no letters
+                    rows.append((UNKNOWN, 0.0, False))
+                    continue
+                parts = blocks(f" {content} ".encode("utf-8", "replace"))
+                sizes = np.array([sum(len(c.compress(part)) for part in parts) for c in compressors], dtype=float)
+                best = int(sizes.argmin())
+                gap = (np.delete(sizes, best).min() - sizes[best]) / sizes[best] if len(sizes) > 1 else 1.0
+                rows.append((learnt[best][0], min(1.0, float(gap)), bool(gap >= margin)))
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "accepted"])
 
     scored = docs.select(F.struct("*").alias("_row"), classify(F.col(text).cast("string")).alias("_scored"))
     return scored.select("_row", "_scored.*")
