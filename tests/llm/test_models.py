@@ -257,6 +257,44 @@ def test_a_task_holds_a_bounded_table(spark):
     assert np.allclose(probability[:, :-1].sum(1) + probability[:, -1] * (256 - len(some.alphabet)), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize(("cells", "common"), [(2_000, 1e-2), (2_000, 1e-9), (400, 1e-3), (10**7, 1e-3)])
+def test_contexts_beyond_the_table_score(spark, texts, cells, common):
+    """Every retained context scores, also those that a task's table has no room for."""
+    rows = [(r.doc_id, r.text) for r in texts.select("doc_id", "text").collect()]
+    train = [tokens(t) for i, t in rows if not is_held_out(i)]
+    words = Counter(w for line in train for w in line)
+    total, once = sum(words.values()), sum(n == 1 for n in words.values())
+    depth, counts = 4, {}
+    lines = [suffix_tree.stream(line[:-1]) for line in train]
+    for line in lines:
+        for at in range(depth, len(line := b"\n" * depth + line)):
+            for d in range(depth + 1):
+                counts.setdefault(line[at - d : at], Counter())[line[at]] += 1
+    retained = plain_tree(lines, depth, 5, suffix_tree.DOUBT)
+
+    def chance(context, symbol):
+        own = counts[context]
+        if not context:
+            return (own[symbol] + 0.5) / (sum(own.values()) + 128)
+        return (own[symbol] + len(own) * chance(context[1:], symbol)) / (sum(own.values()) + len(own))
+
+    def plain(text):
+        new, line, score = (once + 0.5) / (total + 1), b"\n" * depth, 0.0
+        for w in tokens(text):
+            spelled = 1.0
+            for symbol in w if w == b"\n" else w + b" ":
+                longest = next(line[len(line) - d :] for d in range(depth, -1, -1) if line[len(line) - d :] in retained)
+                spelled *= chance(longest, symbol)
+                line += bytes([symbol])
+            score += math.log10((1 - new) * (0.5 * words[w] / total + 0.5 * spelled) if words[w] else new)
+        return score
+
+    found = suffix_tree.score(texts, crc_mod("doc_id", 5) == 1, depth=depth, least=5, common=common, cells=cells).collect()
+    assert len(found) == len(rows)
+    by_key = {i: t for i, t in rows}
+    assert all(math.isclose(r.score, plain(by_key[r.doc_id]), rel_tol=1e-5) for r in found)
+
+
 def test_score_without_training(spark, no_docs, texts):
     found = suffix_tree.score(texts, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in found)

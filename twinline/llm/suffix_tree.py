@@ -17,10 +17,14 @@ share of training tokens that were met once.
 
 Counting covers all training texts; equal contexts are counted together before
 they move. Candidates are tested by joins of tables of contexts, which grow with the
-corpus. What has passed is sent to every task as a table of states by symbols, of ``CELLS`` cells at most, which bounds
-a task's memory: should more contexts pass, those with the largest likelihood ratios are
-sent, whatever their share of the corpus. Scoring runs through a table of states, many pieces of texts at a
-time; a piece starts with the ``DEPTH`` symbols before it, which fix its state.
+corpus. What has passed is sent to every task as a table of states by symbols, of ``CELLS`` cells
+at most, which bounds a task's memory. Should more contexts pass, those with the largest likelihood
+ratios are sent, and the rest stay a table of contexts in Spark. The task then knows at which symbols
+a longer context of the rest holds, and asks for them: each symbol with the ``DEPTH`` before it once
+for all texts of a unit of ``UNIT`` bytes. Joins with the rest answer, and the unit is scored with the
+answers. So every retained context scores, wherever it is held. Scoring runs through a table of
+states, many pieces of texts at a time; a piece starts with the ``DEPTH`` symbols before it, which
+fix its state.
 
 Beside it stands a base of single tokens. Tokens that make up at least the share
 ``COMMON`` of the training tokens, at most ``1 / COMMON``, are looked up in the
@@ -41,6 +45,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +64,7 @@ HELD = 1 << 20  # different contexts that a task holds
 BATCH = 1_000  # rows handed to Python at once
 SCORED_AT_ONCE = 1 << 18  # tokens
 PIECE = 512  # bytes scored as one piece
+UNIT = 1 << 23  # bytes of texts that ask together for symbols beyond the table
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -137,7 +143,8 @@ class Tree:
 
     ``contexts`` are keys without the next symbol; ``suffix`` and ``prefix`` are
     the states without the farthest and without the nearest symbol; ``edges`` are
-    counts of next symbols by state.
+    counts of next symbols by state. ``openings`` are the cells, state and farther symbol, of the
+    retained contexts that are one symbol longer than a state and no states themselves.
     """
 
     depth: int
@@ -150,9 +157,23 @@ class Tree:
     kinds: np.ndarray
     edges: tuple[np.ndarray, np.ndarray, np.ndarray]
     retained: np.ndarray
+    openings: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+@dataclass(frozen=True)
+class Rest:
+    """Retained contexts that are no states: ``(d, context, total, kinds)``, and their counts ``(d, key, n)``."""
+
+    contexts: DataFrame
+    counts: DataFrame
+
+
+def _masks(depth: int) -> list[int]:
+    """By depth, the bits of a key that hold its context and next symbol."""
+    return [sum(255 << 8 * (depth + 1 - i) for i in range(1, d + 1)) | 255 for d in range(depth + 1)]
+
+
 def _distributions(parts, depths: np.ndarray) -> np.ndarray:
     """Smoothed next-symbol probabilities of all states; the last column is any one symbol never met."""
     alphabet, suffix, totals, kinds, (state, symbol, count) = parts
@@ -189,28 +210,48 @@ def _tested(cuts: DataFrame, depth: int, least: int, doubt: float, keep: list[in
     return contexts, settle(passed.select("d", "context", "ratio"), "passed")
 
 
-def _closed(passed: DataFrame, depth: int, keep: list[int]) -> DataFrame:
-    """``(d, context)`` of all parts of the contexts: without any of them a state could not be reached, or not be left."""
+def _closed(passed: DataFrame, depth: int, keep: list[int], shifts: int) -> DataFrame:
+    """``(d, context)`` of the parts of the contexts without fewer than ``shifts`` of their nearest symbols.
+
+    One shift gives the suffixes, ``depth`` shifts all parts: without any of them a state could not be reached, or not be left.
+    """
     part = lambda i, d: F.struct(F.lit(d).alias("d"), F.shiftleft("context", 8 * i).bitwiseAND(keep[d] & ~255).alias("context"))
-    parts = F.array(*(F.when(F.col("d") >= i + d, part(i, d)) for i in range(depth) for d in range(1, depth + 1 - i)))
+    parts = F.array(*(F.when(F.col("d") >= i + d, part(i, d)) for i in range(shifts) for d in range(1, depth + 1 - i)))
     return passed.select(F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("part")).select("part.*").distinct()
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, least: int = LEAST, doubt: float = DOUBT, cells: int = CELLS) -> Tree:
-    """The tree of all counted contexts ``(key, n)``."""
-    keep = [sum(255 << 8 * (depth + 1 - i) for i in range(1, d + 1)) | 255 for d in range(depth + 1)]
+    """The tree of all counted contexts ``(key, n)``, as far as a task holds it."""
+    return divide(counts, depth, least, doubt, cells)[0]
+
+
+def divide(
+    counts: DataFrame, depth: int = DEPTH, least: int = LEAST, doubt: float = DOUBT, cells: int = CELLS
+) -> tuple[Tree, Rest | None]:
+    """The tree of all counted contexts ``(key, n)`` as far as a task holds it, and the rest, if any."""
+    keep = _masks(depth)
     cut = F.array(*(F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(keep[d]).alias("key")) for d in range(depth + 1)))
     cuts = counts.select("n", F.explode(cut).alias("cut")).groupBy("cut.d", "cut.key").agg(F.sum("n").alias("n"))
     cuts = settle(cuts.withColumn("context", F.col("key").bitwiseAND(~255)), "contexts")
     contexts, passed = _tested(cuts, depth, least, doubt, keep)
+    retained = settle(_closed(passed, depth, keep, 1), "retained")
     symbols = cuts.filter("d = 0").count()
     few, room = passed, cells // (symbols + 1)
-    states = settle(_closed(few, depth, keep), "states")
+    states = settle(_closed(few, depth, keep, depth), "states")
     while (found := states.count()) > room:  # each turn leaves a task's table smaller
         few = settle(passed.orderBy(F.desc("ratio"), "d", "context").limit(max(1, int(0.9 * few.count() * room / found))), "largest")
-        states = settle(_closed(few, depth, keep), "states")
+        states = settle(_closed(few, depth, keep, depth), "states")
     states = states.union(contexts.filter("d = 0").select("d", "context")).join(contexts, ["d", "context"])
-    states = settle(states.join(few.select("d", "context", F.lit(True).alias("own")), ["d", "context"], "left"), "states")
+    states = settle(states.join(retained.withColumn("own", F.lit(True)), ["d", "context"], "left"), "states")
+    rest, longer = None, np.empty(0, np.int64)
+    if few is not passed:
+        beyond = settle(retained.join(states, ["d", "context"], "left_anti").join(contexts, ["d", "context"]), "rest")
+        rest = Rest(beyond, settle(cuts.join(beyond.select("d", "context"), ["d", "context"]).select("d", "key", "n"), "rest"))
+        shorter = F.element_at(F.array(*(F.lit(k & ~255) for k in keep)), F.col("d")).bitwiseAND(F.col("context"))  # keep[d - 1]
+        next_to = beyond.select(
+            F.shiftleft(F.col("d").cast("long"), 56).bitwiseOR(F.col("context")).alias("name"), (F.col("d") - 1).alias("d"), shorter.alias("context")
+        )
+        longer = next_to.join(states, ["d", "context"], "left_semi").select("name").toArrow()["name"].to_numpy()
     kept = states.orderBy("d", "context").toArrow().to_pandas()
     joined = cuts.join(states.select("d", "context"), ["d", "context"])
     joined = joined.select("d", "context", F.col("key").bitwiseAND(255).alias("symbol"), "n").toArrow().to_pandas()
@@ -230,11 +271,13 @@ def grow(counts: DataFrame, depth: int = DEPTH, least: int = LEAST, doubt: float
     state = places(joined.d.to_numpy(np.int64) << 56 | joined.context.to_numpy(np.int64))
     column = np.searchsorted(alphabet, joined.symbol.to_numpy(np.int64))
     edges = state.astype(np.int32), column.astype(np.int16), joined.n.to_numpy(np.int64)
-    retained = (kept.own == True).to_numpy(bool)  # noqa: E712  null is not retained
-    for d in range(depth, 0, -1):  # a retained context keeps its suffixes
-        retained[suffix[(depths == d) & retained]] = True
-    retained[0] = True
-    return Tree(depth, alphabet, contexts, depths, suffix, prefix, kept.total.to_numpy(np.int64), kept.kinds.to_numpy(np.int64), edges, retained)
+    own = (kept.own == True).to_numpy(bool)  # noqa: E712  null is not retained
+    own[0] = True
+    d, longer = longer >> 56, longer & keep[-1]
+    farther = np.searchsorted(alphabet, longer >> 8 * (depth + 1 - d) & 255)
+    openings = places(d - 1 << 56 | longer & np.array([0, *keep[:-1]])[d] & ~255) * (len(alphabet) + 1) + farther
+    totals, kinds = kept.total.to_numpy(np.int64), kept.kinds.to_numpy(np.int64)
+    return Tree(depth, alphabet, contexts, depths, suffix, prefix, totals, kinds, edges, own, openings), rest
 
 
 class Table:
@@ -260,6 +303,10 @@ class Table:
         parts = tree.alphabet, tree.suffix, tree.totals, tree.kinds, tree.edges
         self.moves = (moves * self.width).ravel()
         self.gain = np.log10(_distributions(parts, tree.depths))[longest].ravel()
+        self.depths, self.open = tree.depths, None
+        if len(tree.openings):
+            self.open = np.zeros(n * self.width, bool)
+            self.open[tree.openings] = True
 
     @classmethod
     def of(cls, tree: Tree) -> Table:
@@ -270,6 +317,10 @@ class Table:
 
     def spell(self, texts: list[bytes], depth: int) -> np.ndarray:
         """log10 probability of each symbol of all texts, one after the other."""
+        return self.trace(texts, depth)[0]
+
+    def trace(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and what is left to the rest: 0, or one more than the state's depth where a longer context holds."""
         pieces = []
         for text in texts:
             text = END * depth + text
@@ -283,15 +334,20 @@ class Table:
             grid[: b - a, lane] = flat[a:b]
         active = np.searchsorted(-lengths[order], -np.arange(depth + PIECE), side="left")
         state, gains = np.zeros(len(pieces), np.int32), np.zeros((PIECE, len(pieces)), np.float32)
+        left, lane = np.zeros(gains.shape if self.open is not None else (PIECE, 0), np.uint8), np.arange(len(pieces))
         for t, row in enumerate(grid):
             n = active[t]
             cell = state[:n] + row[:n]
             if t >= depth:
                 gains[t - depth, :n] = self.gain[cell]
+            if t >= depth and self.open is not None:
+                deep = self.depths[state[:n] // self.width]
+                left[t - depth, :n] = (deep + 1) * self.open[state[:n] + grid[t - 1 - deep, lane[:n]]]
             state[:n] = self.moves[cell]
         lanes = np.empty(len(pieces), np.int64)
         lanes[order] = np.arange(len(pieces))
-        return gains.T[lanes][np.arange(PIECE) < (lengths - depth)[:, None]]
+        own = np.arange(PIECE) < (lengths - depth)[:, None]
+        return gains.T[lanes][own], left.T[lanes][own] if self.open is not None else np.zeros(0, np.uint8)
 
 
 # Scoring
@@ -300,6 +356,7 @@ SCORED = (
     "row long, key long, held_out boolean, n_tokens long, n_common long, base double, score double, "
     "rare array<struct<word:binary,spelled:double>>"
 )
+ASKED = "unit long, row long, key long, held_out boolean, text string, symbol long, gain float"
 
 
 @dataclass(frozen=True)
@@ -327,7 +384,57 @@ class Model:
         return float(np.log10(self.tokens + 0.5 * (self.kinds + 1)))
 
 
-def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _keys(texts: list[bytes], at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Keys, as counted, of symbols left to the rest, with the depth of the table's state in the highest byte."""
+    symbols = np.frombuffer(b"".join(END * depth + text for text in texts), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    place = at + depth * (1 + np.searchsorted(ends, at, side="right"))
+    found = symbols[place] | left[at].astype(np.int64) - 1 << 56
+    for d in range(1, depth + 1):
+        found |= symbols[place - d].astype(np.int64) << 8 * (depth + 1 - d)
+    return found
+
+
+def _ask(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The rows with their unit, and for each unit the symbols left to the rest, with their gains by the table alone."""
+    tree = model.tree
+    table = Table.of(tree)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float32()]
+    names = [x.split()[0] for x in ASKED.split(", ")]
+
+    def given(n: int, unit: int, columns: list) -> pa.RecordBatch:
+        columns = [pa.array(np.full(n, unit)), *columns]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    def met(texts: list[bytes], keys: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, left = table.trace(texts, tree.depth)
+        at = np.flatnonzero(left)
+        keys, one = np.unique(np.concatenate([keys, _keys(texts, at, left, tree.depth)]), return_index=True)
+        return keys, np.concatenate([gains, found[at]])[one]
+
+    none = np.empty(0, np.int64), np.empty(0, np.float32)
+    unit, size, known = None, 0, none
+    for batch in batches:
+        texts, held = [], 0
+        for row, text in zip(batch.column(0), batch.column(3)):
+            unit = row.as_py() if unit is None else unit
+            texts.append(stream(ascii_words(text.as_py())))
+            held += len(texts[-1])
+            if held >= COUNTED:
+                known, size = met(texts, *known), size + held
+                texts, held = [], 0
+        if texts:
+            known, size = met(texts, *known), size + held
+        if batch.num_rows:
+            yield given(batch.num_rows, unit, [*batch.columns, None, None])
+        if size >= UNIT:
+            yield given(len(known[0]), unit, [None] * 4 + list(known))
+            unit, size, known = None, 0, none
+    if unit is not None:
+        yield given(len(known[0]), unit, [None] * 4 + list(known))
+
+
+def _score(batches: Iterable[pa.RecordBatch], model: Model, answers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     tree, find = model.tree, model.common.get
     table = Table.of(tree)
     schema = pa.schema(
@@ -341,7 +448,11 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         every = [w for words in tokens for w in words]
         counts = np.fromiter((find(w, 0) for w in every), np.float64, len(every))
         ends = np.cumsum(np.fromiter((len(w) + (w != END) for w in every), np.int64, len(every)))
-        total = np.concatenate([[0.0], np.cumsum(table.spell([b" ".join(words) for words in tokens], tree.depth), dtype=np.float64)])
+        texts = [b" ".join(words) for words in tokens]
+        gains, left = table.trace(texts, tree.depth)
+        if len(at := np.flatnonzero(left)):
+            gains[at] = answers[1][np.searchsorted(answers[0], _keys(texts, at, left, tree.depth))]
+        total = np.concatenate([[0.0], np.cumsum(gains, dtype=np.float64)])
         spelled = np.diff(total[np.concatenate([[0], ends])])
         seen = counts > 0
         gain, base = np.zeros(len(every)), np.zeros(len(every))
@@ -370,6 +481,38 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             yield scored(rows, tokens)
 
 
+def _answers(asked: DataFrame, rest: Rest, depth: int) -> DataFrame:
+    """``(symbol, gain)`` of all symbols asked for, by the contexts of the rest that are suffixes."""
+    symbols = asked.groupBy("symbol").agg(F.min("gain").alias("gain"))
+    deeper = F.explode(F.sequence(F.shiftright("symbol", 56).cast("int") + 1, F.lit(depth)))
+    own = F.element_at(F.array(*map(F.lit, _masks(depth))), F.col("d") + 1).bitwiseAND(F.col("symbol"))
+    levels = symbols.select("symbol", "gain", deeper.alias("d")).withColumn("key", own)
+    levels = levels.withColumn("context", F.col("key").bitwiseAND(~255)).join(rest.contexts, ["d", "context"])
+    levels = levels.join(rest.counts, ["d", "key"], "left")
+    by_depth = [F.sum(F.when(F.col("d") == d, F.col(c))).alias(f"{c}{d}") for d in range(1, depth + 1) for c in ("n", "kinds", "total")]
+    found = levels.groupBy("symbol", "gain").agg(*by_depth)
+    chance = F.pow(F.lit(10.0), F.col("gain"))
+    for d in range(1, depth + 1):  # as in _distributions; a depth that is not in the rest changes nothing
+        n, kinds, total = (F.coalesce(f"{c}{d}", F.lit(missing)) for c, missing in (("n", 0), ("kinds", 1), ("total", 0)))
+        chance = (n + kinds * chance) / (total + kinds)
+    return found.select("symbol", F.log10(chance).alias("gain"))
+
+
+def _scored_by_units(rows: DataFrame, model: Broadcast[Model], rest: Rest, depth: int) -> DataFrame:
+    """As ``_score``, where contexts beyond the table are joined."""
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("symbol")
+        known = answers["symbol"].to_numpy(), answers["gain"].to_numpy()
+        return pa.Table.from_batches(_score(texts.drop_columns("unit").to_batches(), model.value, known))
+
+    asked = settle(rows.mapInArrow(lambda batches: _ask(batches, model.value), ASKED), "asked")
+    texts = asked.filter("row is not null").select("unit", "row", "key", "held_out", "text")
+    symbols = asked.filter("row is null").select(F.col("unit").alias("unit"), "symbol", "gain")  # told apart from the texts' unit
+    answers = symbols.select("unit", "symbol").join(_answers(symbols, rest, depth), "symbol")
+    return texts.groupBy("unit").cogroup(answers.select("unit", "symbol", "gain").groupBy("unit")).applyInArrow(scored, SCORED)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
     """Tables written inside are handed to Python in batches of few rows, whose texts may be long."""
@@ -391,6 +534,7 @@ def score(
     least: int = LEAST,
     common: float = COMMON,
     mix: float = MIX,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Scores of all rows by a tree grown from the rows that are not held out.
 
@@ -405,7 +549,7 @@ def score(
     counts = train.mapInArrow(lambda batches: _contexts(batches, depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     with small_batches(spark):
         counts = settle(counts, "contexts")
-    tree = grow(counts, depth, least)
+    tree, rest = divide(counts, depth, least, cells=cells)
     words = train.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with small_batches(spark):
         words = settle(words, "words")
@@ -415,8 +559,12 @@ def score(
     model = Model(tree, dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist())), total, kinds, once, mix)
     shared = spark.sparkContext.broadcast(model)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = numbered.select("row", "key", "held_out", "text").mapInArrow(lambda batches: _score(batches, shared.value), SCORED)
+    numbered = numbered.select("row", "key", "held_out", "text")
     with small_batches(spark):
+        if rest:
+            scored = _scored_by_units(numbered, shared, rest, depth)
+        else:
+            scored = numbered.mapInArrow(lambda batches: _score(batches, shared.value), SCORED)
         scored = settle(scored, "scored")
     shared.unpersist()
     rare = scored.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.spelled").join(words, "word", "left")
