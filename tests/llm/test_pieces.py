@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from twinline.llm import pieces
+from twinline.llm import pieces, queries
 
 CHARACTERS = list("ab ▁\n\t é\U0001f388ß<>0x　\x00中́") + ["  ", "the ", "<s>", "<unk>", "<0x0A>", "\r\n", "    "]
 
@@ -91,6 +92,22 @@ def test_rows(spark, odd_docs, library, partitions):
         assert (r.ends[-1] if r.ends else 0) == len((r.text or "").encode()) and r.ends == sorted(r.ends)
 
 
+def sha256(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_query_returns_rows_without_pieces(spark, odd_docs, library, tmp_path):
+    """Null and empty texts are rows with nothing covered, not errors."""
+    odd_docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op13_pieces(spark, str(tmp_path)).collect()
+    want = []
+    for r in odd_docs.collect():
+        ids = library.encode(r.text or "")
+        want.append((r.doc_id, len(ids), sha256(",".join(map(str, ids))), sha256(library.decode(ids)), len((r.text or "").encode())))
+    assert sum(r.n_tokens == 0 for r in got) == 3
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_spans_and_empty_table(spark, odd_docs, no_docs):
     assert pieces.encode(no_docs).collect() == []
     one = odd_docs.filter("doc_id = 10")

@@ -196,7 +196,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
-    covered = F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long")
+    covered = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")  # no piece, no end: element_at would fail
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         "_row.doc_id",
