@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,59 @@ def test_short_and_long_parts_join_alike():
         assert words.join(part) == words._join_long(part)
 
 
+def long_texts():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeehilnorst", k=rng.randint(1, 12))) for _ in range(300)] + ["▁", "\n", "é", "🎈", "", "中"]
+    alphabets = ["acgt", "ABCDefgh0123+/", "的一是不了人我在有他这中大来上国", "▁ ", "\n ", "a\n"]
+    return [" ".join(rng.choices(words, k=2_000))] + ["".join(rng.choices(x, k=rng.choice([41, 700, 3_000]))) for x in alphabets for _ in range(5)]
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 1_000])
+def test_windows_change_nothing(library, monkeypatch, window):
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    words = pieces.vocabulary(pieces.default_path())
+    for text in long_texts():
+        ids, ends = words.encode(text)
+        proto = library.encode(text, return_type="proto").pieces
+        assert ids.tolist() == [p.id for p in proto] and ends.tolist() == [p.end for p in proto]
+        assert words.decode(ids) == library.decode(ids.tolist())
+
+
+@pytest.mark.parametrize("text, most", [("the rain in some place\n" * 40_000, 24), ("acgtta" * 20_000, 130)])
+def test_long_texts_take_few_bytes_a_character(text, most):
+    """Also those that are one part. A list of all parts took 33 bytes, a heap of tuples 269."""
+    words = pieces.Vocabulary.read(pieces.default_path())
+    tracemalloc.start()
+    words.decode(words.encode(text)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most * len(text)
+
+
+def test_bytes_that_are_no_utf8(spark, library):
+    """Each is U+FFFD, as in the library, and one byte of the source."""
+    rng = random.Random(6)
+    kinds = [b"a", b" ", b"the ", b"\xff", b"\xc3", b"\xe4\xb8", b"\xed\xb2\x80", "é".encode(), "中".encode(), "\ufffd".encode(), "▁".encode()]
+    texts = [b"\xff", b"a\xffb", b"\xe4\xb8", b"\xc3 \xa9"] + [b"".join(rng.choices(kinds, k=rng.randint(1, 12))) for _ in range(500)]
+    words = pieces.vocabulary(pieces.default_path())
+    for text in texts:
+        ids, ends = words.encode_bytes(text)
+        assert ids.tolist() == library.encode(text)
+        assert (ends[-1] if len(ends) else 0) == len(text) and np.all(np.diff(ends) >= 0)
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(texts[:50])], "doc_id long, b binary")
+    rows = rows.select("doc_id", F.expr("cast(b AS string)").alias("text"))
+    for r in pieces.encode(rows, decoded=True).select("_row.doc_id", "ids", "ends", "decoded").collect():
+        assert r.ids == library.encode(texts[r.doc_id]) and r.ends[-1] == len(texts[r.doc_id]) and r.decoded == library.decode(r.ids)
+
+
+def test_texts_of_other_columns(spark, library):
+    """A column that is no text, or lies in a struct, is cast."""
+    rows = spark.range(3).select("id", F.struct(F.lit("a b").alias("x")).alias("s"))
+    for name, want in (("id", "2"), ("s.x", "a b")):
+        got = pieces.encode(rows, name).filter("_row.id = 2").first()
+        assert got.ids == library.encode(want) and got._row.asDict(True) == {"id": 2, "s": {"x": "a b"}}
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 @pytest.mark.parametrize("squeeze", [True, False])
 @pytest.mark.parametrize("lead", [True, False])

@@ -12,14 +12,17 @@ bytes. The remembered places project every piece back to the bytes of the origin
 No piece reaches from another character into a mark or into a character that occurs in
 no piece, so a text falls apart before marks and around line feeds, and the parts
 met first are kept in a bounded cache. Whether this holds is read from the vocabulary.
-A part of a text is encoded at ``n log n`` cost whatever its length.
+A part of a text is encoded at ``n log n`` cost whatever its length, a long one cut
+where two characters are neighbours in no piece. Long texts go through Python's objects
+in windows; what is held of a whole text is a few bytes a character.
 
 Decoding concatenates pieces, turns marks into spaces, drops the space of the leading
 mark, and reads runs of byte pieces as UTF-8, with U+FFFD for each byte that is none.
 
 Rows: a null or empty text has no pieces and decodes to an empty text; every other
-text, however long, is encoded whole; repeated rows are each returned. Models other than
-byte-pair ones, or with pieces of the user's own, are refused.
+text, however long, is encoded whole; a byte that is no UTF-8 counts as U+FFFD, of one source
+byte; repeated rows are each returned. Models other than byte-pair ones, or with pieces of the
+user's own, are refused.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +50,9 @@ CACHED_PARTS = 250_000
 SHORT = 40  # characters of a part whose pairs are searched in a list
 NEVER = float("-inf")
 LONGEST_CACHED = 64  # characters
-BATCH = 1 << 20  # characters of texts whose arrays are handed on together
+WINDOW = 1 << 17  # characters of a text, or ids, that are held as Python objects at a time
+BATCH = 1 << 20  # bytes of texts whose arrays are handed on together
+NO_UTF8 = re.compile(rb"\xed[\xb2\xb3][\x80-\xbf]")  # surrogates of single bytes, written as if they were characters
 # Kinds of pieces and of models in the file's format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PAIRS = 2
@@ -144,15 +150,15 @@ class Rules:
         """The normalised text, and for each of its bytes and its end the source byte that it came from."""
         source = text.encode("utf-8", "replace")
         space = MARK_BYTES if self.escape else b" "
-        out, places = bytearray(), []
+        out, places = bytearray(), array("i")
         at, size = 0, len(source)
         steps = self._steps(source)
         at = next((i for i, _, new in steps if new != b" "), size) if self.squeeze else 0
         if at == size:
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int32)
         if self.lead:
             out += space
-            places += [at] * len(space)
+            places += array("i", [at]) * len(space)
         spaced, trailing = self.squeeze, None
         for place, _, new in self._steps(source, at):
             if spaced:
@@ -165,12 +171,12 @@ class Rules:
                     else:
                         trailing = None
                     out += part
-                    places += [place] * len(part)
+                    places += array("i", [place]) * len(part)
                 spaced = self.squeeze and new.endswith(b" ")
         end = size
         if self.squeeze and trailing:
             out, end = out[: trailing[0]], trailing[1]
-        return bytes(out), np.array([*places[: len(out)], end], np.int64)
+        return bytes(out), np.append(np.array(places[: len(out)], np.int32), np.int32(end))
 
     def _steps(self, source: bytes, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
         """``(place, length, replacement)`` along the source."""
@@ -182,6 +188,20 @@ class Rules:
             at += size
 
 
+class Parts(dict):
+    """What ``make`` gives for a part; the short ones met first are kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.make(part)
+        if len(self) < CACHED_PARTS and len(part) <= LONGEST_CACHED:
+            self[part] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """A byte-pair model: ids, scores and rules, and the parts of texts met so far."""
@@ -191,7 +211,6 @@ class Vocabulary:
     scores: list[float]
     rules: Rules
     unknown_text: str
-    parts: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -214,6 +233,12 @@ class Vocabulary:
         normal = [i for i, kind in enumerate(self.kinds) if kind == NORMAL]
         self.ids = {self.pieces[i]: i for i in normal}
         self.score = {self.pieces[i]: self.scores[i] for i in normal}
+        # Equal scores share a rank; the best is 0.
+        ranks = {score: rank for rank, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {piece: ranks[score] for piece, score in self.score.items()}
+        self.neighbours = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.known = {piece: (i, _width(piece)) for piece, i in self.ids.items()}
+        self.parts = Parts(self.encode_part)
         self.bytes = [i for i, kind in enumerate(self.kinds) if kind == BYTE]
         self.unknown = self.kinds.index(UNKNOWN)
         if self.bytes and len(self.bytes) != 256:
@@ -236,7 +261,9 @@ class Vocabulary:
     def join(self, part: str) -> list[str]:
         """The part as pieces and single characters."""
         if len(part) > SHORT:
-            return self._join_long(part)
+            return [symbol for run in self._runs(part) for symbol in (self._join_long(run) if len(run) > SHORT else self.join(run))]
+        if len(part) == 1:
+            return [part]
         symbols, score = list(part), self.score.get
         scores = [score(a + b, NEVER) for a, b in zip(part, part[1:])]
         while scores:
@@ -252,61 +279,69 @@ class Vocabulary:
                 scores[at - 1] = score(symbols[at - 1] + symbols[at], NEVER)
         return symbols
 
+    def _runs(self, part: str) -> Iterator[str]:
+        """The part cut where two characters are neighbours in no piece, over which none can reach."""
+        known, first = self.neighbours, 0
+        for at in range(1, len(part) + 1):
+            if part[at - 1 : at + 1] not in known:
+                yield part[first:at]
+                first = at
+
     def _join_long(self, part: str) -> list[str]:
         """As :meth:`join`, with the pairs in a heap."""
-        symbols, size = list(part), len(part)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        waiting: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < size:
-                both = symbols[left] + symbols[right]
-                known = self.score.get(both)
-                if known is not None:
-                    heapq.heappush(waiting, (-known, left, right, both))
-
-        for left in range(size - 1):
-            offer(left)
+        symbols, size, rank = list(part), len(part), self.rank.get
+        after, before = array("i", range(1, size + 1)), array("i", range(-1, size - 1))
+        # The rank of a pair, then its place: the best first, the leftmost of equals.
+        waiting = [(known << 32) + left for left in range(size - 1) if (known := rank(part[left : left + 2])) is not None]
+        heapq.heapify(waiting)
         while waiting:
-            _, left, right, both = heapq.heappop(waiting)
-            if after[left] != right or symbols[left] + symbols[right] != both or not symbols[left] or not symbols[right]:
-                continue
+            best = heapq.heappop(waiting)
+            left = best & 0xFFFFFFFF
+            right = after[left]
+            if right == size or not symbols[left] or rank(both := symbols[left] + symbols[right]) != best >> 32:
+                continue  # one of the two has been joined since
             symbols[left], symbols[right] = both, ""
-            after[left] = after[right]
-            if after[left] < size:
-                before[after[left]] = left
-            for start in (before[left], left):
-                if start >= 0:
-                    offer(start)
+            after[left] = right = after[right]
+            if right < size:
+                before[right] = left
+                if (known := rank(both + symbols[right])) is not None:
+                    heapq.heappush(waiting, (known << 32) + left)
+            start = before[left]
+            if start >= 0 and (known := rank(symbols[start] + both)) is not None:
+                heapq.heappush(waiting, (known << 32) + start)
         return [symbol for symbol in symbols if symbol]
 
-    def encode_part(self, part: str) -> tuple[bytes, bytes]:
-        """``(ids, widths)``: widths are of normalised bytes, marks as single ones; byte pieces but the last of a character have none."""
-        ids, widths = [], []
+    def encode_part(self, part: str) -> bytes:
+        """Pairs of an id and a width: widths are of normalised bytes, marks as single ones; byte pieces but the last of a character have none."""
+        pairs, known = array("i"), self.known.get
         for piece in self.join(part):
-            known, width = self.ids.get(piece), len(piece.encode()) - 2 * piece.count(MARK)
-            if known is not None:
-                ids.append(known)
-                widths.append(width)
+            found = known(piece)
+            if found is not None:
+                pairs.extend(found)
             elif self.bytes:
-                content = piece.encode()
-                ids += [self.bytes[b] for b in content]
-                widths += [0] * (len(content) - 1) + [width]
-            elif ids and ids[-1] == self.unknown:
-                widths[-1] += width
+                for b in piece.encode():
+                    pairs.append(self.bytes[b])
+                    pairs.append(0)
+                pairs[-1] = _width(piece)
+            elif pairs and pairs[-2] == self.unknown:
+                pairs[-1] += _width(piece)
             else:
-                ids.append(self.unknown)
-                widths.append(width)
-        return array("i", ids).tobytes(), array("i", widths).tobytes()
-
-    def _part(self, part: str) -> tuple[bytes, bytes]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.encode_part(part)
-            if len(self.parts) < CACHED_PARTS and len(part) <= LONGEST_CACHED:
-                self.parts[part] = found
-        return found
+                pairs.extend((self.unknown, _width(piece)))
+        return pairs.tobytes()
+
+    def _cut(self, text: str, lead: str = "", space: str = " ") -> Iterator[list[str]]:
+        """The parts of a text after ``lead``, with its spaces replaced, a window at a time."""
+        at, size = 0, WINDOW
+        while at < len(text):
+            parts = self.cut(lead + text[at : at + size].replace(" ", space))
+            end = at + size
+            if end < len(text):  # the last part may go on
+                if len(parts) == 1:
+                    size *= 2
+                    continue
+                end -= len(parts.pop())
+            yield parts
+            at, size, lead = end, WINDOW, ""
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and for each the source byte at which it ends; it begins where the one before ends, the first at 0."""
@@ -316,37 +351,46 @@ class Vocabulary:
         if rules.replace or rules.squeeze or not rules.escape or MARK in text:
             content, places = rules.normalise(text)
             content = content.decode()
+            cut = self._cut(content)
         else:  # only marks are put in: a mark is one source byte, and the leading one none
-            content = (MARK if rules.lead else "") + text.replace(" ", MARK)
-        get = self.parts.get
-        found = [get(part) or self._part(part) for part in self.cut(content)]
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
-        widths = np.frombuffer(b"".join([x[1] for x in found]), "<i4")
-        ends = np.cumsum(widths, dtype=np.int64)
+            cut = self._cut(text, MARK if rules.lead else "", MARK)
+        pairs, get = bytearray(), self.parts.__getitem__
+        for parts in cut:
+            pairs += b"".join(map(get, parts))
+        ids, widths = np.frombuffer(pairs, "<i4").reshape(-1, 2).T
+        ids, ends = ids.copy(), np.cumsum(widths, dtype="<i4")
         if places is None:
             ends -= rules.lead
-            return ids, ends.astype("<i4")
+            return ids, ends
         # Widths count a mark as one byte; take them back to the normalised bytes.
         written = np.frombuffer(content.encode(), np.uint8)
-        mark = np.zeros(len(written) + 1, bool)
         at = np.array([m.start() for m in re.finditer(MARK_BYTES, written.tobytes())], np.int64)
-        counted = np.ones(len(written), np.int64)
-        mark[at], counted[at + 1], counted[at + 2] = True, 0, 0
-        reached = np.concatenate([[0], np.cumsum(counted)])
-        return ids, places[np.searchsorted(reached, ends, side="right") - 1].astype("<i4") if len(ids) else ids
+        counted = np.ones(len(written), np.int8)
+        counted[at + 1], counted[at + 2] = 0, 0
+        reached = np.concatenate([np.zeros(1, np.int32), np.cumsum(counted, dtype=np.int32)])
+        return ids, places[np.searchsorted(reached, ends, side="right") - 1] if len(ids) else ids
+
+    def encode_bytes(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, of bytes that may be no UTF-8: each that is none is read as U+FFFD, of one source byte."""
+        try:
+            return self.encode(source.decode())
+        except UnicodeDecodeError:
+            # Such a byte becomes a surrogate, which is three bytes, as U+FFFD is.
+            marked = source.decode("utf-8", "surrogateescape").encode("utf-8", "surrogatepass")
+        ids, ends = self.encode(NO_UTF8.sub("\ufffd".encode(), marked).decode())
+        return ids, ends - 2 * np.searchsorted([m.end() for m in NO_UTF8.finditer(marked)], ends, side="right").astype("<i4")
 
     # Decoding
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = self.raw
-        ids = list(ids)
-        content = b"".join([raw[i] for i in ids])
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
+        ids, raw = np.asarray(ids, np.int32), self.raw.__getitem__
+        content = b"".join([b"".join(map(raw, ids[at : at + WINDOW].tolist())) for at in range(0, len(ids), WINDOW)])
         if (self.rules.lead or self.rules.squeeze) and content.startswith(b" ") and self.kinds[ids[0]] == NORMAL:
             content = content[1:]
         try:
             return content.decode()
         except UnicodeDecodeError:
-            return self._mended(ids)
+            return self._mended(ids.tolist())
 
     def _mended(self, ids: list[int]) -> str:
         """Runs of byte pieces read on their own, with U+FFFD for each byte that begins no character."""
@@ -384,6 +428,10 @@ class Vocabulary:
         return "".join(out)
 
 
+def _width(piece: str) -> int:
+    return len(piece.encode()) - 2 * piece.count(MARK)
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     """The model file's vocabulary, once per worker."""
@@ -399,11 +447,13 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded
     ``decoded`` adds the text that the ids decode to, in the same pass.
     """
     path = path or default_path()
+    # A column that is text already goes to the workers once, in its row.
+    own = docs.columns.index(text) if docs.columns.count(text) == 1 and docs.schema[text].dataType == T.StringType() else None
 
     def made(rows: list[tuple[np.ndarray, np.ndarray]], words: Vocabulary) -> list[pa.Array]:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(ids) for ids, _ in rows])]), pa.int32())
-        columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[i] for r in rows]), pa.int32())) for i in (0, 1)]
-        return columns + ([pa.array([words.decode(ids.tolist()) for ids, _ in rows], pa.string())] if decoded else [])
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if len(x) > 1 else x[0], pa.int32())) for x in zip(*rows)]
+        return columns + ([pa.array([words.decode(ids) for ids, _ in rows], pa.string())] if decoded else [])
 
     names = ["_row", "ids", "ends"] + ["decoded"] * decoded
 
@@ -411,15 +461,16 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded
         words = vocabulary(path)
         for batch in batches:
             rows, held, first = [], 0, 0
-            for i, value in enumerate(batch.column(1)):
-                content = value.as_py()
-                rows.append(words.encode(content))
-                held += len(content or "")
+            texts = batch.column(1) if own is None else pc.struct_field(batch.column(0), [own])
+            for i, value in enumerate(texts.cast(pa.binary())):
+                content = value.as_py() or b""
+                rows.append(words.encode_bytes(content))
+                held += len(content)
                 if held >= BATCH or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *made(rows, words)], names)
                     rows, held, first = [], 0, i + 1
 
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"), *([F.col(text).cast("string").alias("_text")] if own is None else []))
     more = T.StructType.fromDDL("ids array<int>, ends array<int>" + ", decoded string" * decoded)
     return rows.mapInArrow(encoded, T.StructType([rows.schema["_row"], *more]))
 
@@ -433,7 +484,7 @@ def decode(ids: Column | str, path: str | None = None) -> Column:
         import pandas as pd
 
         words = vocabulary(path)
-        return pd.Series([None if x is None else words.decode(x.tolist()) for x in column], dtype=object)
+        return pd.Series([None if x is None else words.decode(x) for x in column], dtype=object)
 
     return decoded(ids)
 

@@ -197,11 +197,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     covered = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")  # no piece, no end: element_at would fail
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    listed = F.to_json("ids")  # array_join would hold a text of each id of a row at once
+    listed = F.substring(listed, F.lit(2), F.octet_length(listed) - 2)  # without the brackets
     return encoded.select(
         "_row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(listed, "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         covered.alias("covered_bytes"),
     )
